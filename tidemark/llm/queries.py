@@ -35,6 +35,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_counts import count_tokens
 
@@ -55,7 +61,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model, keep_text=False).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_substring_dedup, op6_token_counts, op9_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_substring_dedup, op4_minhash_near_dedup, op6_token_counts, op9_toxicity)}
 ORACLES: dict[str, str] = {}
 
 
