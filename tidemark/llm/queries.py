@@ -53,6 +53,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_digests(_table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.vector_links import near_vectors
 
@@ -73,7 +79,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model, keep_text=False).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_substring_dedup, op4_minhash_near_dedup, op6_token_counts, op8_embedding_near_dedup, op9_toxicity, op10_exact_topk)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_substring_dedup, op4_minhash_near_dedup, op6_token_counts, op7_pii, op8_embedding_near_dedup, op9_toxicity, op10_exact_topk)}
 ORACLES: dict[str, str] = {}
 
 
