@@ -10,9 +10,9 @@ A pair at the threshold lands in a common child with chance 1 - (1 - similarity)
 with a chance below 1e-4 by the default parameters; a pair in a common node is passed over only when its minwise
 agreement is four standard deviations low.
 
-In a node, documents that agree almost wholly are joined by a spanning tree of pairs instead of all pairs, which
-gives the same components if the tree's pairs are confirmed.  Where one is not, a second pass emits every pair of
-documents whose components still differ.
+A node emits the pairs of a spanning forest with the most agreement instead of all pairs, which gives the same
+components if the forest's pairs are confirmed.  Where they are not, so that a node still holds documents of
+different components, the node is compared exhaustively on the full sets.  Either way a node's output is linear.
 
 Cases: a null or empty text has an empty set, linked with nothing; fewer than five words are one shingle; rows
 that repeat with their doc_id give equal rows; a null doc_id is linked with nothing, has no component and is kept;
@@ -38,8 +38,8 @@ from tidemark.llm.textutil import arrow_map, mix64, split_words, word_hashes
 SHINGLE, VALUES = 5, 64
 LINK = 75  # per cent
 TREES, BRANCHES, LEVELS, SMALL = 5, 2, 3, 1024
-#: Agreeing minwise values out of VALUES: fewer rule a pair out, as many or more let a tree of pairs stand for all.
-LEAST, SURE = 34, 56
+#: Agreeing minwise values out of VALUES: fewer rule a pair out.
+LEAST = 34
 ODD = (mix64(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)).tolist()
 
 
@@ -93,11 +93,11 @@ def _child(path: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
     return mix64(path ^ mix64(at.astype(np.uint64) * np.uint64(1 << 32) + value.astype(np.uint64)))
 
 
-ROW = "path long, rep long, n long, sketch binary, label long"
+ROW = "path long, rep long, n long, sketch binary"
 
 
 def _roots(trees: int, branches: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    """Rows of rep, n, least, label to the first level of all trees; sketch: the lowest byte of each minwise value."""
+    """Rows of rep, n, least to the first level of all trees; sketch: the lowest byte of each minwise value."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         least = _matrix(batch.column(2), np.uint32, VALUES)
@@ -108,7 +108,7 @@ def _roots(trees: int, branches: int) -> Callable[[pa.RecordBatch], pa.RecordBat
             for branch in range(branches):
                 at = _chosen(root, branch)
                 path = _child(root, at, least[np.arange(len(least)), at])
-                out.append(pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(0), batch.column(1), sketch, batch.column(3)], ["path", "rep", "n", "sketch", "label"]))
+                out.append(pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(0), batch.column(1), sketch], ["path", "rep", "n", "sketch"]))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
     return run
@@ -135,101 +135,116 @@ def _agreement(sketch: np.ndarray) -> np.ndarray:
     return out
 
 
-def _node(rep: np.ndarray, n: np.ndarray, sketch: np.ndarray, label: np.ndarray, settled: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs to confirm among the documents of one node."""
-    order = np.argsort(rep, kind="stable")
-    keep = order[np.concatenate(([True], np.diff(rep[order]) != 0))]
-    rep, n, sketch, label = rep[keep], n[keep], sketch[keep], label[keep]
-    m = len(rep)
-    if m < 2:
-        return []
-    agree = _agreement(sketch)
-    may = (agree >= LEAST) & (100 * np.minimum(n[:, None], n[None, :]) >= LINK * np.maximum(n[:, None], n[None, :])) & (label[:, None] != label[None, :])
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    if not settled and m > 2:
-        sure = may & (agree >= SURE)
-        group = np.full(m, -1)
-        for first in range(m):
-            if group[first] >= 0:
-                continue
-            group[first] = first
-            ahead = [first]
-            while ahead:
-                at = ahead.pop()
-                found = np.flatnonzero(sure[at] & (group < 0))
-                if len(found):
-                    group[found] = first
-                    out.append((np.full(len(found), rep[at]), rep[found]))
-                    ahead += found.tolist()
-        may &= group[:, None] != group[None, :]
-    i, j = np.nonzero(np.triu(may, 1))
-    if len(i):
-        out.append((rep[i], rep[j]))
-    return out
+def _sizes_fit(n: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(n[:, None], n[None, :]) >= LINK * np.maximum(n[:, None], n[None, :])
 
 
-FOUND = "a long, b long, path long, rep long, n long, sketch binary, label long"
+def _forest(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a heaviest spanning forest of a matrix of weights, 0 for no edge."""
+    m = len(weight)
+    best, via, left = np.zeros(m, weight.dtype), np.zeros(m, np.int64), np.ones(m, bool)
+    a, b = [], []
+    for _ in range(m):
+        at = int(np.where(left, best, -1).argmax()) if left.any() else -1
+        if not left[at]:
+            break
+        if best[at] > 0:
+            a.append(via[at])
+            b.append(at)
+        left[at] = False
+        closer = left & (weight[at] > best)
+        best[closer] = weight[at][closer]
+        via[closer] = at
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _compare(small: int, settled: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of ROW in order of path to pairs (a, b) of small nodes and the rows of large ones."""
-    names = [c.split()[0] for c in FOUND.split(", ")]
+def _node(rep: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], bool]:
+    """Pairs of a node to confirm, and whether others stay that may be links."""
+    may = _agreement(sketch).astype(np.int16)
+    may[(may < LEAST) | ~_sizes_fit(n) | (rep[:, None] == rep[None, :])] = 0
+    a, b = _forest(may)
+    return (rep[a], rep[b]), np.count_nonzero(may) > 2 * len(a)
+
+
+FOUND = "a long, b long, kind int, path long, rep long, n long, sketch binary"
+#: Kinds of what a comparison gives: a pair to confirm, a row of a node that was too large, a row of one with further pairs.
+PAIR, LARGE, OPEN = 0, 1, 2
+
+
+def _paths(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows in order of path as batches of whole nodes with where nodes start and end, and how many rows of the batch's nodes are known to be too many."""
+    held: list[pa.RecordBatch] = []  # rows of the last path so far, at most ``most``
+    large: int | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        both = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+        held = []
+        path = both.column(0).to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(path)) + 1, [len(path)]))
+        sizes = np.diff(cuts)
+        big = sizes > most
+        if large is not None:
+            big |= path[cuts[:-1]] == large
+        if big[-1]:
+            large = int(path[-1])
+        else:
+            held = [both.slice(cuts[-2])]
+            cuts, big = cuts[:-1], big[:-1]
+        if len(cuts) > 1:
+            yield both, cuts, big
+    for last in held:
+        yield last, np.array([0, last.num_rows]), np.zeros(1, bool)
 
-    def pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a, b = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-        none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *none], names)
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        none = pa.nulls(batch.num_rows, pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, *batch.columns], names)
+def _compare(small: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of ROW in order of path to FOUND."""
+    names = [c.split()[0] for c in FOUND.split(", ")]
+
+    def rows(batch: pa.RecordBatch, at: np.ndarray, kind: int) -> pa.RecordBatch:
+        none = pa.nulls(len(at), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(np.full(len(at), kind, np.int32)), *(c.take(pa.array(at)) for c in batch.columns)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of the last path so far, at most ``small``
-        large: int | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            both = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
-            held = []
-            path = both.column(0).to_numpy()
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(path)) + 1, [len(path)]))
-            rep, n, label = (both.column(i).to_numpy() for i in (1, 2, 4))
-            sketch = _matrix(both.column(3), np.uint8, VALUES)
+        for batch, cuts, big in _paths(batches, small):
+            rep, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            sketch = _matrix(batch.column(3), np.uint8, VALUES)
             sizes = np.diff(cuts)
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            two = cuts[:-1][(sizes == 2) & (cuts[1:] < len(path)) & (path[cuts[:-1]] != (large if large is not None else path[0] ^ 1))]
-            if len(two):
-                may = ((sketch[two] == sketch[two + 1]).sum(1) >= LEAST) & (100 * np.minimum(n[two], n[two + 1]) >= LINK * np.maximum(n[two], n[two + 1])) & (label[two] != label[two + 1]) & (rep[two] != rep[two + 1])
-                found.append((rep[two[may]], rep[(two + 1)[may]]))
-            for k in np.flatnonzero((sizes > 2) | (np.arange(len(sizes)) == len(sizes) - 1) | (path[cuts[:-1]] == (large if large is not None else path[0] ^ 1))):
+            two = cuts[:-1][(sizes == 2) & ~big]
+            may = ((sketch[two] == sketch[two + 1]).sum(1) >= LEAST) & (100 * np.minimum(n[two], n[two + 1]) >= LINK * np.maximum(n[two], n[two + 1])) & (rep[two] != rep[two + 1])
+            found = [(rep[two[may]], rep[two[may] + 1])]
+            still = []
+            for k in np.flatnonzero((sizes > 2) & ~big):
                 lo, hi = cuts[k], cuts[k + 1]
-                if path[lo] == large or hi - lo > small:
-                    large = path[lo]
-                    yield rows(both.slice(lo, hi - lo))
-                elif hi == len(path):
-                    held = [both.slice(lo)]
-                else:
-                    found += _node(rep[lo:hi], n[lo:hi], sketch[lo:hi], label[lo:hi], settled)
-            if found and sum(len(x[0]) for x in found):
-                yield pairs(found)
-        for last in held:
-            found = _node(*(last.column(i).to_numpy() for i in (1, 2)), _matrix(last.column(3), np.uint8, VALUES), last.column(4).to_numpy(), settled)
-            if found:
-                yield pairs(found)
+                pairs, more = _node(rep[lo:hi], n[lo:hi], sketch[lo:hi])
+                found.append(pairs)
+                if more:
+                    still.append(np.arange(lo, hi))
+            over = [np.arange(cuts[k], cuts[k + 1]) for k in np.flatnonzero(big)]
+            if over:
+                yield rows(batch, np.concatenate(over), LARGE)
+            if still:
+                yield rows(batch, np.concatenate(still), OPEN)
+            a, b = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+            if len(a):
+                none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), PAIR, np.int32)), *none], names)
 
     return run
 
 
-def _candidates(classes: DataFrame, settled: bool, trees: int = TREES, branches: int = BRANCHES, levels: int = LEVELS, small: int = SMALL) -> DataFrame:
-    """Distinct pairs a < b to confirm, of classes with rep, n, least, label."""
-    rows = arrow_map(classes.select("rep", "n", "least", "label"), _roots(trees, branches), ROW, rows=4096)
-    out: DataFrame | None = None
+def _candidates(classes: DataFrame, trees: int = TREES, branches: int = BRANCHES, levels: int = LEVELS, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs a < b to confirm, and the rows (path, rep, n, sketch) of nodes with further pairs, of classes with rep, n, least."""
+    rows = arrow_map(classes.select("rep", "n", "least"), _roots(trees, branches), ROW, rows=4096)
+    pairs: DataFrame | None = None
+    still: DataFrame | None = None
     for level in range(levels + 1):
-        found = written(rows.repartition(F.col("path")).sortWithinPartitions("path").mapInArrow(_compare(small if level < levels else 1 << 60, settled), FOUND), "nodes")
-        new = found.where("a is not null").select("a", "b")
-        out = new if out is None else out.unionByName(new)
-        large = found.where("path is not null").select("path", "rep", "n", "sketch", "label")
+        found = written(rows.repartition(F.col("path")).sortWithinPartitions("path").mapInArrow(_compare(small if level < levels else 1 << 60), FOUND), "nodes")
+        new = found.where(F.col("kind") == PAIR).select("a", "b")
+        pairs = new if pairs is None else pairs.unionByName(new)
+        more = found.where(F.col("kind") == OPEN).select("path", "rep", "n", "sketch")
+        still = more if still is None else still.unionByName(more)
+        large = found.where(F.col("kind") == LARGE).select("path", "rep", "n", "sketch")
         if level == levels or not large.limit(1).count():
             break
         if level < levels - 1:
@@ -237,10 +252,10 @@ def _candidates(classes: DataFrame, settled: bool, trees: int = TREES, branches:
         else:
             # What stays large is compared in blocks, each pair of blocks a node of its own.
             blocks = large.groupBy("path").agg(F.ceil(F.count("*") / (small // 2)).cast("long").alias("blocks"))
-            own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-            rows = large.join(blocks, "path").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-            rows = rows.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "rep", "n", "sketch", "label")
-    return out.distinct()
+            split = large.join(written(blocks, "blocks"), "path").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+            split = split.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+            rows = split.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "rep", "n", "sketch")
+    return pairs.distinct(), still
 
 
 def _texts_to_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -248,6 +263,45 @@ def _texts_to_sets(texts: list[str | None]) -> list[np.ndarray]:
     return np.split(value, np.searchsorted(doc, np.arange(1, len(texts))))
 
 
+def _full_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _texts_to_sets(batch.column(1).to_pylist())], pa.binary())], ["rep", "shingles"])
+
+
+def _exhaustive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of path, rep, n, sketch, label, shingles in order of path to links (a, b) that join components of a node."""
+    for batch, cuts, _ in _paths(batches, 1 << 60):
+        out = []
+        rep, n, label = (batch.column(i).to_numpy() for i in (1, 2, 4))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            own = slice(lo, hi)
+            may = (_agreement(_matrix(batch.column(3).slice(lo, hi - lo), np.uint8, VALUES)) >= LEAST) & _sizes_fit(n[own]) & (label[own][:, None] != label[own][None, :])
+            use = np.flatnonzero(may.any(1))
+            if not len(use):
+                continue
+            sets = [np.frombuffer(batch.column(5)[int(lo + i)].as_py(), np.uint64) for i in use]
+            doc = np.repeat(np.arange(len(use)), [len(x) for x in sets])
+            _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            shared = np.cumsum(times > 1) - 1
+            keep = (times > 1)[at]
+            doc, at = doc[keep], shared[at[keep]]
+            both = np.zeros((len(use), len(use)), np.float32)
+            order = np.argsort(at, kind="stable")
+            doc, at = doc[order], at[order]
+            for first in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+                a, b = np.searchsorted(at, (first, first + 4096))
+                has = np.zeros((len(use), 4096), np.float32)
+                has[doc[a:b], at[a:b] - first] = 1
+                both += has @ has.T
+            size = n[own][use].astype(np.float64)
+            linked = may[np.ix_(use, use)] & (100.0 * both >= LINK * (size[:, None] + size[None, :] - both))
+            a, b = _forest(linked.astype(np.int8))
+            out.append((rep[own][use][a], rep[own][use][b]))
+        if out:
+            a, b = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a, b, text, two for each pair, in order, to a, b, linked."""
     held: tuple[int, int, str] | None = None
@@ -284,19 +338,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = written(arrow_map(docs, _sets, "doc_id long, n_shingles long, one long, two long, least binary"), "sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")
     classes = written(full.groupBy("one", "two", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.min("least").alias("least"), F.count("*").alias("copies")), "classes")
-    pairs = written(_candidates(classes.withColumn("label", F.col("rep")), settled=False), "pairs")
-    judged = written(_confirmed(pairs, docs), "judged")
-    label = components(judged.where("linked").select("a", "b"))
-    if judged.where("not linked").limit(1).count():
-        # A refuted pair may have been one of a spanning tree; all pairs across the components found are due then.
-        named = classes.join(label, classes["rep"] == label["v"], "left").select("rep", "n", "least", F.coalesce("label", "rep").alias("label"))
-        rest = _candidates(named, settled=True).join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        rest = written(rest, "pairs")
-        if rest.limit(1).count():
-            more = written(_confirmed(rest, docs), "judged")
-            if more.where("linked").limit(1).count():
-                links = judged.where("linked").unionByName(more.where("linked"))
-                label = components(links.select("a", "b"))
+    pairs, still = _candidates(classes)
+    judged = written(_confirmed(written(pairs, "pairs"), docs), "judged")
+    links = judged.where("linked").select("a", "b")
+    label = components(links)
+    # Nodes that still hold several components, though further pairs of theirs may be links.
+    named = still.join(label, still["rep"] == label["v"], "left").select("path", "rep", "n", "sketch", F.coalesce("label", "rep").alias("label"))
+    named = written(named, "open")
+    apart = written(named.groupBy("path").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("path"), "apart")
+    named = written(named.join(apart, "path"), "open")
+    if named.limit(1).count():
+        texts = docs.join(named.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
+        full = arrow_map(texts, _full_sets, "rep long, shingles binary", rows=128)
+        rows = named.join(full, "rep").select("path", "rep", "n", "sketch", "label", "shingles")
+        more = written(rows.repartition(F.col("path")).sortWithinPartitions("path").mapInArrow(_exhaustive, "a long, b long").distinct(), "links")
+        if more.limit(1).count():
+            label = components(links.unionByName(more))
     copied = written(classes.where("copies > 1").select("one", "two", F.col("n").alias("n_shingles"), "rep"), "copied")
     named = sets.select("doc_id", "n_shingles", "one", "two").join(copied, ["one", "two", "n_shingles"], "left")
     named = named.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
