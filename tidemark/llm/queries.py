@@ -41,6 +41,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.html_blocks import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_counts import count_tokens
 
@@ -79,7 +85,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model, keep_text=False).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_substring_dedup, op4_minhash_near_dedup, op6_token_counts, op7_pii, op8_embedding_near_dedup, op9_toxicity, op10_exact_topk)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_substring_dedup, op4_minhash_near_dedup, op5_html_extraction, op6_token_counts, op7_pii, op8_embedding_near_dedup, op9_toxicity, op10_exact_topk)}
 ORACLES: dict[str, str] = {}
 
 
