@@ -16,18 +16,19 @@ Rank = Callable[[str, str], "float | None"]
 
 
 class Merges:
-    def __init__(self, tokens: Sequence[str], rank: Rank, remember: int = 400_000) -> None:
+    def __init__(self, tokens: Sequence[str], rank: Rank, remember: int = 1_000_000) -> None:
         """tokens: all that may come out, as strings of symbols; rank: of a merge of two neighbours, lowest first, None if there is none."""
         self.rank, self.remember = rank, remember
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.words = list(tokens)
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.machine = ahocorasick.Automaton()
         for t, i in self.ids.items():
             self.machine.add_word(t, i)
         self.machine.make_automaton()
         self._shorter: dict[int, int] = {}
+        self._last: dict[int, tuple[float, int, int]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Plain merging: lowest rank first, leftmost among equals."""
@@ -43,6 +44,23 @@ class Merges:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def last_merge(self, token: int) -> tuple[float, int, int]:
+        """Rank and parts of the merge that makes the token; rank -1 for a single symbol."""
+        known = self._last.get(token)
+        if known is None:
+            word = self.words[token]
+            parts, rank = list(word), -1.0
+            while len(parts) > 2:
+                ranks = [(r, i) for i in range(len(parts) - 1) if (r := self.rank(parts[i], parts[i + 1])) is not None]
+                if not ranks:
+                    break
+                at = min(ranks)[1]
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            if len(parts) == 2 and (r := self.rank(*parts)) is not None:
+                rank = r
+            known = self._last[token] = (rank, self.ids[parts[0]], self.ids[parts[-1]]) if rank >= 0 else (-1.0, token, token)
+        return known
+
     def itself(self, token: int) -> bool:
         known = self.whole.get(token)
         if known is None:
@@ -50,15 +68,34 @@ class Merges:
         return known
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether the two stay apart and whole when their symbols are merged again."""
-        known = self.known.get((left, right))
+        """Whether the two stay apart and whole when their symbols are merged again.
+
+        The merges of both are taken back from the last to the first.  If at some point the parts that touch would
+        have merged before the merge just taken back (or at its rank and further left), they don't stay apart.
+        """
+        key = left << 20 | right
+        known = self.known.get(key)
         if known is None:
-            a, b = self.words[left], self.words[right]
             if len(self.known) >= self.remember:
                 self.known.clear()
-            known = self.known[(left, right)] = self.merge(a + b) == [a, b]
+            known = self.known[key] = self.itself(left) and self.itself(right) and self._apart(left, right)
         return known
 
+    def _apart(self, left: int, right: int) -> bool:
+        words, rank, last, none = self.words, self.rank, self.last_merge, -1.0
+        limit, ties = float("inf"), True
+        while True:
+            across = rank(words[left], words[right])
+            if across is not None and (across < limit or ties and across == limit):
+                return False
+            of_left, of_right = last(left), last(right)
+            if of_left[0] > of_right[0]:
+                limit, ties, left = of_left[0], False, of_left[2]
+            elif of_right[0] != none:
+                limit, ties, right = of_right[0], True, of_right[1]
+            else:
+                return True
+
     def shorter(self, token: int) -> int:
         """The longest token that is a proper prefix of this one; -1: none."""
         found = self._shorter.get(token)
@@ -105,17 +142,23 @@ class Merges:
 
     def prefixes(self, text: str) -> list[int]:
         """Number of tokens of every prefix: entry i is for the first i symbols."""
-        size, words = len(text), self.words
+        size, words, known = len(text), self.words, self.known
         count, last = [0] * (size + 1), [-1] * (size + 1)
-        ends: list[list[int]] = [[] for _ in range(size + 1)]
+        done = 0
         for end, token in self.machine.iter(text):
-            ends[end + 1].append(token)
-        for i in range(1, size + 1):
-            for token in ends[i]:
-                j = i - len(words[token])
-                if self.fits(last[j], token) if j else self.itself(token):
-                    last[i], count[i] = token, count[j] + 1
-                    break
+            i = end + 1
+            if i == done:  # the token of this prefix is known; others that end here cannot fit too
+                continue
+            j = i - len(words[token])
+            if j:
+                fit = known.get(last[j] << 20 | token)
+                if fit is None:
+                    fit = self.fits(last[j], token)
             else:
-                raise ValueError("no sequence of tokens")
+                fit = self.itself(token)
+            if fit:
+                last[i], count[i] = token, count[j] + 1
+                done = i
+        if size and 0 in count[1:]:
+            raise ValueError("no sequence of tokens")
         return count

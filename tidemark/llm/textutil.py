@@ -27,6 +27,22 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
+class Remembered(dict):
+    """Values of a function of short strings, kept up to a number of them."""
+
+    def __init__(self, fn: Callable, most: int, longest: int = 64) -> None:
+        super().__init__()
+        self.fn, self.most, self.longest = fn, most, longest
+
+    def __missing__(self, key: str):
+        value = self.fn(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 

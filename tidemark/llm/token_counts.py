@@ -12,15 +12,15 @@ so other columns and their names don't matter.
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from tidemark.llm.bpe import Merges
-from tidemark.llm.textutil import arrow_map, texts_of
+from tidemark.llm.textutil import Remembered, arrow_map, texts_of
 
 #: The byte-level alphabet keeps these bytes as they are, the others follow from 256 on in byte order.
 PLAIN_BYTES = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -40,24 +40,24 @@ class PrefixCounter:
         self.merges = Merges(list(model["model"]["vocab"]), lambda a, b: ranks.get((a, b)))
         plain = set(PLAIN_BYTES)
         rest = iter(range(256, 512))
-        self.symbol = [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+        self.symbol = {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
         self.special = [t["content"] for t in model.get("added_tokens", [])]
         self.special_at = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.pieces = regex.compile(PIECES)
-        self.units = regex.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+        self.units = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.lead = regex.compile(rf"[{SPACE}]*")
         self.remember = remember
         self._pieces: dict[str, list[int]] = {}
-        self._units: dict[str, int] = {}
+        self._units = Remembered(self.unit, remember)
 
     def piece(self, text: str) -> list[int]:
         """Counts after each character of one piece of the split; entry 0 is 0.  Prefixes end at whole characters."""
         known = self._pieces.get(text)
         if known is None:
-            raw = [c.encode("utf-8", "surrogatepass") for c in text]
-            by_byte = self.merges.prefixes("".join(self.symbol[b] for c in raw for b in c))
-            ends = np.cumsum([0, *map(len, raw)])
-            known = [by_byte[e] for e in ends]
+            raw = text.encode("utf-8", "surrogatepass")
+            known = self.merges.prefixes(raw.decode("latin-1").translate(self.symbol))
+            if len(raw) > len(text):  # only prefixes that end at whole characters count
+                known = [known[0], *(known[i] for i in range(1, len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80)]
             if len(text) <= 64:
                 if len(self._pieces) >= self.remember // 5:
                     self._pieces.clear()
@@ -96,22 +96,12 @@ class PrefixCounter:
         return out
 
     def unit(self, text: str) -> int:
-        known = self._units.get(text)
-        if known is None:
-            known = self.table(text)[-1] if self.special_at is not None and self.special_at.search(text) else self.ordinary(text)[-1]
-            if len(text) <= 64:
-                if len(self._units) >= self.remember:
-                    self._units.clear()
-                self._units[text] = known
-        return known
+        if self.special_at is not None and self.special_at.search(text):
+            return self.table(text)[-1]
+        return sum(self.piece(p)[-1] for p in self.pieces.findall(text))
 
     def count(self, text: str) -> int:
-        known = self._units
-        total = 0
-        for u in self.units.findall(text):
-            n = known.get(u)
-            total += self.unit(u) if n is None else n
-        return total
+        return sum(map(self._units.__getitem__, self.units.findall(text)))
 
     def cut(self, text: str, budget: int) -> int:
         """Length in characters of the longest prefix of at most ``budget`` tokens."""
