@@ -93,7 +93,7 @@ def swaps(groups: Sequence[Sequence[str]]) -> dict[int, list[tuple[list[int], li
     return {features(a)[0]: [(features(a), features(b)) for b in g if b != a] for g in groups for a in g}
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, keep: int = 4096, fairness: float = 1.0, l1: float = 2e-4, l2: float = 1e-4, steps: int = 300, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, keep: int = 4096, fairness: float = 1.0, l1: float = 2e-4, l2: float = 1e-4, steps: int = 300, groups: Sequence[Sequence[str]] = IDENTITY_GROUPS) -> Model:
     """Fits on at most ``per_class`` rows of each label that aren't held out; ``keep`` bounds the features."""
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = rows.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
