@@ -4,27 +4,63 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.packing import pack
+from tidemark.llm.pii import sanitise
+from tidemark.llm.queries import _table
+from tidemark.llm.shared import written
+from tidemark.llm.substring_dedup import cut_texts
+from tidemark.llm.toxicity import fit, score
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+def _sized(docs: DataFrame) -> DataFrame:
+    """``n_chars`` as it is after a change of texts."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, doesn't reject."""
+    model = fit(docs, _table(spark, sf_dir, "labels"))
+    return score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest doc_id."""
+    gone = written(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occurred before."""
+    return _sized(cut_texts(docs))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked and disclosing terms generalised or removed."""
+    return _sized(sanitise(docs))
 
-    from tidemark.llm.packing import pack
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", _packing)]
-#: Learned scores and tokenizers have no SQL; tests hold the stages against brute force.
+STAGES: list[tuple[str, Stage]] = [("toxicity", toxicity), ("minhash_near_dedup", minhash_near_dedup), ("substring_dedup", substring_dedup), ("pii", pii), ("packing", packing)]
+#: A learned classifier and a tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``, each reading what the one before wrote."""
+    docs = _table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, name)
     return docs

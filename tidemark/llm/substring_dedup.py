@@ -297,3 +297,26 @@ def cut_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
 def cut_digests(docs: DataFrame, batches: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of the kept words joined by spaces."""
     return arrow_map(_joined(docs, batches), _cut_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def cut_texts(docs: DataFrame, batches: int = 2) -> DataFrame:
+    """docs, all columns, with repeats cut out of ``text``: the kept words joined by spaces, or the text as it was where none is cut."""
+    spots = repeated_spots(docs, batches).withColumnsRenamed({"doc_id": "__doc", "spots": "__spots"})
+    joined = docs.join(spots.hint("merge"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = batch.columns[:-1]
+        some = np.flatnonzero([s is not None for s in batch.column(batch.num_columns - 1).to_pylist()])
+        if len(some):
+            part = batch.take(pa.array(some))
+            cut = _cut(pa.RecordBatch.from_arrays([pa.array(some), part.column(at), part.column(part.num_columns - 1)], ["doc_id", "text", "spots"]))
+            texts = columns[at].to_pylist()
+            for i, text in zip(some, cut.column(1).to_pylist(), strict=True):
+                texts[i] = text
+            columns[at] = pa.array(texts, pa.string())
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return arrow_map(joined, run, fields)
