@@ -92,7 +92,7 @@ def shards(vectors: DataFrame, overlap: int, most: int, levels: int) -> DataFram
         best = both.groupBy("kind", "vec_id").agg(F.first("embedding").alias("embedding"), F.slice(F.sort_array(F.collect_set(F.struct("near", "shard")), asc=False), 1, overlap).alias("best"))
         members = written(best.select("kind", "vec_id", "embedding", F.inline("best")).select("kind", "vec_id", "embedding", "shard", "near"), "members")
     sizes = members.groupBy("kind", "shard").agg(F.count("*").alias("size"))
-    dense = written(sizes.where(F.col("size") > 2 * most).withColumn("blocks", F.ceil(F.col("size") / most).cast("long")), "dense")
+    dense = written(sizes.where(F.col("size") > most).withColumn("blocks", F.ceil(F.col("size") / (most // 2)).cast("long")), "dense")
     if dense.limit(1).count():
         # What pivots don't divide lies close together: blocks of it, each pair of blocks a shard.
         split = members.join(dense, ["kind", "shard"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
@@ -133,33 +133,29 @@ def pruned(x: np.ndarray, degree: int = 20, pool: int = 48, alpha: float = 1.2)
 
 
 def _lists(table: pa.Table) -> pa.Table:
+    """The list of each vector of a shard: its own neighbours and those that list it."""
     ids = table.column("vec_id").to_numpy()
     near = pruned(_unit(table.column("embedding")))
-    # Each neighbour also learns of the vector that lists it.
     a, k = np.nonzero(near >= 0)
     b = near[a, k]
-    return pa.table({"kind": pa.array([table.column("kind")[0].as_py()] * (2 * len(a)), pa.string()), "vec_id": np.concatenate([ids[a], ids[b]]), "next": np.concatenate([ids[b], ids[a]])})
+    pairs = np.unique(np.concatenate([a * len(ids) + b, b * len(ids) + a]))
+    owner, other = pairs // len(ids), pairs % len(ids)
+    ends = np.searchsorted(owner, np.arange(len(ids) + 1))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[other]))
+    return pa.table({"kind": pa.array([table.column("kind")[0].as_py()] * len(ids), pa.string()), "vec_id": ids, "next": lists})
 
 
-def found_in_range(x: np.ndarray, lists: list[np.ndarray], link: float, beam: int = 8, hops: int = 64) -> np.ndarray:
-    """Boolean matrix: which rows the search finds in range of each row, given lists of neighbours by row number."""
-    m = len(x)
-    width = max(1, max((len(n) for n in lists), default=1))
-    graph = np.full((m, width), -1, np.int64)
-    for i, n in enumerate(lists):
-        graph[i, : len(n)] = n
+def _greedy(x: np.ndarray, ends: np.ndarray, to: np.ndarray, own: np.ndarray, beam: int, hops: int, width: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """The best rows, and their cosines, that a search from the medoid meets for each of the rows ``own``, along at most ``width`` neighbours of each row."""
     middle = int(np.argmax(x @ x.mean(0)))
-    found = np.zeros((m, m), bool)
-    seen = np.zeros((m, m), bool)
-    every = np.arange(m)
-    # Greedy search for all rows at once; each holds its best ``beam`` so far.
-    best = np.full((m, beam), middle)
-    near = np.full((m, beam), -np.inf)
-    near[:, 0] = x @ x[middle]
-    opened = np.zeros((m, beam), bool)
-    opened[:, 1:] = True
+    m = len(own)
+    best, near = np.full((m, beam), middle), np.full((m, beam), -np.inf)
+    near[:, 0] = x[own] @ x[middle]
+    opened = np.ones((m, beam), bool)
+    opened[:, 0] = False
+    seen = np.zeros((m, len(x)), bool)
     seen[:, middle] = True
-    active = every
+    active = np.arange(m)
     for _ in range(hops):
         at = np.where(opened[active], -np.inf, near[active])
         pick = at.argmax(1)
@@ -168,36 +164,54 @@ def found_in_range(x: np.ndarray, lists: list[np.ndarray], link: float, beam: in
         if not len(active):
             break
         opened[active, pick] = True
-        step = graph[best[active, pick]]
-        fresh = (step >= 0) & ~seen[active[:, None], step]
+        node = best[active, pick]
+        slot = ends[node][:, None] + np.arange(width)
+        ok = slot < ends[node + 1][:, None]
+        step = to[np.where(ok, slot, 0)]
+        fresh = ok & ~seen[active[:, None], step]
         seen[np.repeat(active, fresh.sum(1)), step[fresh]] = True
-        sims = np.where(fresh, np.einsum("ad,akd->ak", x[active], x[step]), -np.inf)
+        sims = np.where(fresh, np.einsum("ad,akd->ak", x[own[active]], x[step]), -np.inf)
         all_near = np.concatenate([near[active], sims], 1)
         all_best = np.concatenate([best[active], step], 1)
         all_open = np.concatenate([opened[active], ~fresh], 1)
         top = np.argsort(-all_near, axis=1, kind="stable")[:, :beam]
         near[active], best[active], opened[active] = (np.take_along_axis(v, top, 1) for v in (all_near, all_best, all_open))
-    hit = near >= link
-    found[np.repeat(every, hit.sum(1)), best[hit]] = True
-    found[every, every] = True
-    # From all that is in range, along the lists, until nothing new is.
-    q, at = np.nonzero(found)
-    tested = found.copy()
-    while len(q):
-        ahead = np.zeros((m, m), bool)
-        for lo in range(0, len(q), 1 << 18):
-            step = graph[at[lo : lo + (1 << 18)]]
-            ok = step >= 0
-            ahead[np.repeat(q[lo : lo + (1 << 18)], ok.sum(1)), step[ok]] = True
-        ahead &= ~tested
-        tested |= ahead
-        q, at = np.nonzero(ahead)
-        keep = np.zeros(len(q), bool)
-        for lo in range(0, len(q), 1 << 16):
-            keep[lo : lo + (1 << 16)] = np.einsum("ad,ad->a", x[q[lo : lo + (1 << 16)]], x[at[lo : lo + (1 << 16)]]) >= link
-        q, at = q[keep], at[keep]
-        found[q, at] = True
-    return found
+    return best, near
+
+
+def found_in_range(x: np.ndarray, ends: np.ndarray, to: np.ndarray, link: float, beam: int = 8, hops: int = 48) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that the search finds in range, from lists of neighbours ``to[ends[i]:ends[i + 1]]``."""
+    out_q, out_at = [], []
+    for lo in range(0, len(x), 256):
+        own = np.arange(lo, min(len(x), lo + 256))
+        best, near = _greedy(x, ends, to, own, beam, hops)
+        found = np.zeros((len(own), len(x)), bool)
+        hit = near >= link
+        found[np.repeat(np.arange(len(own)), hit.sum(1)), best[hit]] = True
+        found[np.arange(len(own)), own] = True
+        # From all that is in range, along all of the lists, until nothing new is.
+        tested = found.copy()
+        q, at = np.nonzero(found)
+        while len(q):
+            ahead = np.zeros_like(found)
+            sizes = ends[at + 1] - ends[at]
+            cuts = np.searchsorted(np.cumsum(sizes), np.arange(1 << 20, sizes.sum() + 1, 1 << 20))
+            for part in np.split(np.arange(len(q)), cuts):
+                n = sizes[part]
+                step = to[np.repeat(ends[at[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                ahead[np.repeat(q[part], n), step] = True
+            ahead &= ~tested
+            tested |= ahead
+            q, at = np.nonzero(ahead)
+            keep = np.zeros(len(q), bool)
+            for i in range(0, len(q), 1 << 15):
+                keep[i : i + (1 << 15)] = np.einsum("ad,ad->a", x[own[q[i : i + (1 << 15)]]], x[at[i : i + (1 << 15)]]) >= link
+            q, at = q[keep], at[keep]
+            found[q, at] = True
+        q, at = np.nonzero(found)
+        out_q.append(own[q][own[q] != at])
+        out_at.append(at[own[q] != at])
+    return np.concatenate(out_q), np.concatenate(out_at)
 
 
 def _search(link: float) -> Callable[[pa.Table], pa.Table]:
@@ -206,21 +220,30 @@ def _search(link: float) -> Callable[[pa.Table], pa.Table]:
         order = np.argsort(ids, kind="stable")
         table, ids = table.take(pa.array(order)), ids[order]
         x = _unit(table.column("embedding"))
-        place = {int(v): i for i, v in enumerate(ids)}
-        lists = [np.array([place[v] for v in n or () if v in place and v != own], np.int64) for n, own in zip(table.column("next").to_pylist(), ids.tolist(), strict=True)]
-        found = found_in_range(x, lists, link)
-        found |= found.T
-        np.fill_diagonal(found, False)
+        lists = table.column("next").combine_chunks()
+        owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+        other = lists.flatten().to_numpy()
+        place = np.minimum(np.searchsorted(ids, other), len(ids) - 1)
+        here = (ids[place] == other) & (place != owner)  # neighbours in this shard
+        owner, place = owner[here], place[here]
+        ends = np.searchsorted(owner, np.arange(len(ids) + 1))
+        a, b = found_in_range(x, ends, np.append(place, 0), link)
+        # Links leave as a forest: of each vector the edge by which a walk over the links first comes to it.
+        a, b = np.concatenate([a, b]), np.concatenate([b, a])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        starts = np.searchsorted(a, np.arange(len(ids) + 1))
         parent = np.arange(len(ids))
         reached = np.zeros(len(ids), bool)
-        for first in np.flatnonzero(found.any(1)):
+        for first in np.flatnonzero(np.diff(starts)):
             if reached[first]:
                 continue
             reached[first] = True
-            ahead = [first]
+            ahead = [int(first)]
             while ahead:
                 at = ahead.pop()
-                new = np.flatnonzero(found[at] & ~reached)
+                new = b[starts[at] : starts[at + 1]]
+                new = np.unique(new[~reached[new]])
                 reached[new] = True
                 parent[new] = at
                 ahead += new.tolist()
@@ -233,8 +256,8 @@ def _search(link: float) -> Callable[[pa.Table], pa.Table]:
 def _links(vectors: DataFrame, link: float, overlap: int, most: int, levels: int) -> DataFrame:
     """Links a, b that span what the search finds, from kind, vec_id, embedding."""
     dealt = shards(vectors, overlap, most, levels)
-    lists = dealt.groupBy("kind", "shard").applyInArrow(_lists, "kind string, vec_id long, next long")
-    united = lists.groupBy("kind", "vec_id").agg(F.collect_set("next").alias("next"))
+    lists = dealt.groupBy("kind", "shard").applyInArrow(_lists, "kind string, vec_id long, next array<long>")
+    united = lists.groupBy("kind", "vec_id").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
     graph = written(dealt.join(united, ["kind", "vec_id"], "left").select("kind", "shard", "vec_id", "embedding", "next"), "graph")
     return written(graph.groupBy("kind", "shard").applyInArrow(_search(link), "a long, b long").distinct(), "found")
 
@@ -297,7 +320,7 @@ def audit(vectors: DataFrame, counts: DataFrame, link: float, sample: int = 256)
     return 1.0 if not row["due"] else row["have"] / row["due"]
 
 
-def near_vectors(rows: DataFrame, link: float = LINK, overlap: int = 4, most: int = 4096, levels: int = 6, target: float = 0.95) -> DataFrame:
+def near_vectors(rows: DataFrame, link: float = LINK, overlap: int = 4, most: int = 8192, levels: int = 6, target: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id (smallest vec_id reachable by links, itself included) and kept (the two are equal)."""
     rows = rows.select("vec_id", "embedding", "label")
     kind = F.concat_ws("/", F.col("label").cast("string"), F.size("embedding").cast("string"))
@@ -306,7 +329,7 @@ def near_vectors(rows: DataFrame, link: float = LINK, overlap: int = 4, most: in
     vectors = written(vectors, "vectors")
     while True:
         label = components(_links(vectors, link, overlap, most, levels))
-        counts = written(_counts(vectors, label, link, most), "counts")
+        counts = written(_counts(vectors, label, link, most // 4), "counts")
         if overlap >= 64 or audit(vectors, counts, link) >= target:
             break
         overlap *= 2
