@@ -37,7 +37,7 @@ from tidemark.llm.textutil import arrow_map, mix64, split_words, word_hashes
 
 SHINGLE, VALUES = 5, 64
 LINK = 75  # per cent
-TREES, BRANCHES, LEVELS, SMALL = 5, 2, 3, 1024
+TREES, BRANCHES, LEVELS, SMALL = 5, 2, 3, 2048
 #: Agreeing minwise values out of VALUES: fewer rule a pair out.
 LEAST = 34
 ODD = (mix64(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)).tolist()
@@ -267,6 +267,23 @@ def _full_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _texts_to_sets(batch.column(1).to_pylist())], pa.binary())], ["rep", "shingles"])
 
 
+def _intersections(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets named in ``rows`` with all sets."""
+    doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = (times > 1)[at]
+    doc, at = doc[keep], (np.cumsum(times > 1) - 1)[at[keep]]
+    order = np.argsort(at, kind="stable")
+    doc, at = doc[order], at[order]
+    out = np.zeros((len(rows), len(sets)), np.float32)
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        a, b = np.searchsorted(at, (first, first + 4096))
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[doc[a:b], at[a:b] - first] = 1
+        out += has[rows] @ has.T
+    return out
+
+
 def _exhaustive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of path, rep, n, sketch, label, shingles in order of path to links (a, b) that join components of a node."""
     for batch, cuts, _ in _paths(batches, 1 << 60):
@@ -278,23 +295,15 @@ def _exhaustive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             use = np.flatnonzero(may.any(1))
             if not len(use):
                 continue
+            # Of two documents that may still link, one at least is outside the largest component.
+            kinds, of, times = np.unique(label[own][use], return_inverse=True, return_counts=True)
+            odd = np.flatnonzero(of != times.argmax())
             sets = [np.frombuffer(batch.column(5)[int(lo + i)].as_py(), np.uint64) for i in use]
-            doc = np.repeat(np.arange(len(use)), [len(x) for x in sets])
-            _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            shared = np.cumsum(times > 1) - 1
-            keep = (times > 1)[at]
-            doc, at = doc[keep], shared[at[keep]]
-            both = np.zeros((len(use), len(use)), np.float32)
-            order = np.argsort(at, kind="stable")
-            doc, at = doc[order], at[order]
-            for first in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
-                a, b = np.searchsorted(at, (first, first + 4096))
-                has = np.zeros((len(use), 4096), np.float32)
-                has[doc[a:b], at[a:b] - first] = 1
-                both += has @ has.T
+            both = _intersections(sets, odd)
             size = n[own][use].astype(np.float64)
-            linked = may[np.ix_(use, use)] & (100.0 * both >= LINK * (size[:, None] + size[None, :] - both))
-            a, b = _forest(linked.astype(np.int8))
+            linked = np.zeros((len(use), len(use)), np.int8)
+            linked[odd] = may[np.ix_(use[odd], use)] & (100.0 * both >= LINK * (size[odd][:, None] + size[None, :] - both))
+            a, b = _forest(np.maximum(linked, linked.T))
             out.append((rep[own][use][a], rep[own][use][b]))
         if out:
             a, b = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
@@ -328,7 +337,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sides = pairs.select(F.col("a").alias("doc_id"), "a", "b").unionByName(pairs.select(F.col("b").alias("doc_id"), "a", "b"))
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(sides, "doc_id").select("a", "b", "doc_id", "text")
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(sides.hint("merge"), "doc_id").select("a", "b", "doc_id", "text")
     return texts.repartition("a", "b").sortWithinPartitions("a", "b", "doc_id").select("a", "b", "text").mapInArrow(_confirm, "a long, b long, linked boolean")
 
 
@@ -348,7 +357,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = written(named.groupBy("path").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("path"), "apart")
     named = written(named.join(apart, "path"), "open")
     if named.limit(1).count():
-        texts = docs.join(named.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
+        texts = docs.join(named.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id").select("doc_id", "text")
         full = arrow_map(texts, _full_sets, "rep long, shingles binary", rows=128)
         rows = named.join(full, "rep").select("path", "rep", "n", "sketch", "label", "shingles")
         more = written(rows.repartition(F.col("path")).sortWithinPartitions("path").mapInArrow(_exhaustive, "a long, b long").distinct(), "links")
