@@ -12,16 +12,19 @@ empty table; only ``doc_id`` and ``text`` are read, so other columns and their n
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.textutil import crc_of, split_words
+from tidemark.llm.textutil import SLICE_ROWS, crc_of, split_words
 
 #: (document, start in it, ids, tokens of the document)
 Piece = tuple["int | None", int, np.ndarray, int]
@@ -31,11 +34,19 @@ COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 class WordTokens:
     """Ids of texts by a ``tokenizers`` file whose pieces never hold white space, so that words can be remembered."""
 
-    def __init__(self, path: str, remember: int = 1_000_000) -> None:
+    def __init__(self, path: str, remember: int = 2_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model, self.remember = Tokenizer.from_file(path), remember
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        mark = spec["model"]["end_of_word_suffix"]
+        self.is_end = np.zeros(1 + max(self.model.get_vocab().values()), bool)
+        self.is_end[[i for t, i in self.model.get_vocab().items() if t.endswith(mark)]] = True
+        # Words of these characters, without special strings, keep their split when lower-cased: many go to the library in one text.
+        self.plain = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+").fullmatch
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.forget()
 
     def forget(self) -> None:
@@ -44,28 +55,46 @@ class WordTokens:
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            ids = [e.ids for e in self.model.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            n, flat = len(self.slot), np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-            while n + len(part) > len(self.size):
-                self.size, self.start = np.concatenate([self.size, np.zeros_like(self.size)]), np.concatenate([self.start, np.zeros_like(self.start)])
-            while self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.size[n : n + len(part)] = sizes
-            self.start[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-            self.slot.update(zip(part, range(n, n + len(part)), strict=True))
+        plain, rest = [], []
+        for w in words:
+            (plain if w.isascii() and w.isalpha() or self.plain(w) else rest).append(w)
+        for at in range(0, len(plain), 256):
+            part = plain[at : at + 256]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            pieces = np.cumsum([1 if w.isalpha() else len(self.split(w.lower())) for w in part])
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != pieces[-1]:
+                rest += part
+                continue
+            ends = ends[pieces - 1]
+            self.store(part, np.diff(ends, prepend=0), ids)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            each = [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(part, add_special_tokens=False)]
+            self.store(part, np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each))
+
+    def store(self, part: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
+        n = len(self.slot)
+        while n + len(part) > len(self.size):
+            self.size, self.start = np.concatenate([self.size, np.zeros_like(self.size)]), np.concatenate([self.start, np.zeros_like(self.start)])
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.size[n : n + len(part)] = sizes
+        self.start[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.slot.update(zip(part, range(n, n + len(part)), strict=True))
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind one another, and where each text starts and the last ends."""
         words, codes, offsets = split_words(column)
         if len(self.slot) + len(words) > self.remember:
             self.forget()
-        self.learn([w for w in words if w not in self.slot])
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))[codes] if len(words) else codes
+        slots = np.fromiter((self.slot.get(w, -1) for w in words), np.int64, len(words))
+        if len(new := np.flatnonzero(slots < 0)):
+            self.learn([words[i] for i in new])
+            slots[new] = np.fromiter((self.slot[words[i]] for i in new), np.int64, len(new))
+        slots = slots[codes]
         sizes = self.size[slots]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         at = np.repeat(self.start[slots] - ends[:-1], sizes) + np.arange(ends[-1])
@@ -170,8 +199,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = 4096, with_ids
 
         end = np.array([end_id], np.uint32)
         for big in batches:
-            for at in range(0, big.num_rows, 256):
-                batch = big.slice(at, 256)
+            for at in range(0, big.num_rows, 4 * SLICE_ROWS):
+                batch = big.slice(at, 4 * SLICE_ROWS)
                 flat, ends = tokens.ids(batch.column(1))
                 done: list[list[Piece]] = []
                 for i, doc in enumerate(batch.column(0).to_pylist()):
