@@ -201,23 +201,27 @@ class FingerprintIndex:
     def add(self, docs: DataFrame, remember: bool = True) -> DataFrame:
         """Verdicts on the entries of ``docs`` (see ``_judge``) against all documents before; they join the index if ``remember``."""
         rows = arrow_map(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), _entries, ENTRY)
-        run = rows.where(~F.col("repeat")).select("doc", "at", "fp", "ctx")
+        settled = written(rows, "entries")
+        run = settled.where(~F.col("repeat")).select("doc", "at", "fp", "ctx")
         if remember:
-            settled = written(rows, "entries")
-            run = written(settled.where(~F.col("repeat")).select("doc", "at", "fp", "ctx").repartition(F.col("fp")).sortWithinPartitions("fp", "ctx", "doc", "at"), "run")
-        else:
-            settled = written(rows, "entries")
-            run = settled.where(~F.col("repeat")).select("doc", "at", "fp", "ctx")
+            run = written(run.repartition(F.col("fp")).sortWithinPartitions("fp", "ctx", "doc", "at"), "run")
         merged = run.withColumn("new", F.lit(True))
         for old in self.runs:
             merged = merged.unionByName(old.withColumn("new", F.lit(False)))
         verdicts = written(_ordered(merged).mapInArrow(_judge, VERDICT), "verdicts")
-        out = verdicts.unionByName(settled.where("repeat").select("doc", "at", F.lit(1).alias("verdict")))
+        repeats = written(settled.where("repeat").select("doc", "at", F.lit(1).alias("verdict")), "repeats")
+        dropped(settled)
         if remember:
             self.runs.append(run)
             if len(self.runs) >= self.fanout:
                 self.compact()
-        return out
+        return verdicts.unionByName(repeats)
+
+    def clear(self) -> None:
+        """Deletes all runs."""
+        for run in self.runs:
+            dropped(run)
+        self.runs = []
 
     def compact(self) -> None:
         """All runs become one, with the first entry of each kind."""
@@ -273,11 +277,12 @@ def repeated_spots(docs: DataFrame, batches: int = 2) -> DataFrame:
         if i < len(edges):
             part = part.where(F.col("doc_id") <= edges[i])
         parts.append(index.add(part, remember=i < len(edges)))
+    index.clear()
     verdicts = parts[0]
     for part in parts[1:]:
         verdicts = verdicts.unionByName(part)
     doubtful = verdicts.where("verdict = 2").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("at").alias("spots"))
-    texts = docs.where(F.col("doc_id").isNotNull()).join(doubtful, "doc_id").select("doc_id", "text", "spots")
+    texts = docs.where(F.col("doc_id").isNotNull()).join(doubtful.hint("merge"), "doc_id").select("doc_id", "text", "spots")
     windows = written(arrow_map(texts, _windows, ENTRY), "windows")
     late = _ordered(windows.where(~F.col("repeat")).withColumn("new", F.lit(True))).mapInArrow(_judge, VERDICT).where("verdict = 1")
     repeats = verdicts.where("verdict = 1").select("doc", "at").unionByName(windows.where("repeat").select("doc", "at")).unionByName(late.select("doc", "at"))
@@ -286,7 +291,7 @@ def repeated_spots(docs: DataFrame, batches: int = 2) -> DataFrame:
 
 def _joined(docs: DataFrame, batches: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
-    return docs.join(repeated_spots(docs, batches), "doc_id", "left").select("doc_id", "text", "spots")
+    return docs.join(repeated_spots(docs, batches).hint("merge"), "doc_id", "left").select("doc_id", "text", "spots")
 
 
 def cut_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
