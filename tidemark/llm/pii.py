@@ -147,7 +147,7 @@ def sanitise(docs: DataFrame, **parameters: float) -> DataFrame:
     found = spans(docs, **parameters)
     named = F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by"))), F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("by"))))
     marks = found.select("doc_id", "hash", F.array_sort(named).alias("marks")).where(F.size("marks") > 0).groupBy("doc_id", "hash").agg(F.first("marks").alias("marks"))
-    text = F.col("text")
+    text = F.col("row.text")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, m: Column) -> Column:
@@ -157,5 +157,7 @@ def sanitise(docs: DataFrame, **parameters: float) -> DataFrame:
 
     done = F.aggregate("marks", start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
     names = docs.columns
-    joined = docs.withColumn("__hash", F.xxhash64("text")).join(marks.withColumnsRenamed({"doc_id": "__doc", "hash": "__key", "marks": "__marks"}), (F.col("doc_id") == F.col("__doc")) & (F.col("__hash") == F.col("__key")), "left").withColumnRenamed("__marks", "marks")
-    return joined.select(*(F.when(F.col("marks").isNotNull(), done).otherwise(text).alias("text") if n == "text" else F.col(f"`{n}`") for n in names))
+    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"))
+    marks = marks.withColumnsRenamed({"doc_id": "of", "hash": "key"})
+    joined = rows.join(marks, (F.col("row.doc_id") == F.col("of")) & (F.xxhash64("row.text") == F.col("key")), "left")
+    return joined.select(*(F.when(F.col("marks").isNotNull(), done).otherwise(text).alias("text") if n == "text" else F.col(f"row.`{n}`") for n in names))

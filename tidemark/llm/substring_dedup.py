@@ -306,9 +306,11 @@ def cut_digests(docs: DataFrame, batches: int = 2) -> DataFrame:
 
 def cut_texts(docs: DataFrame, batches: int = 2) -> DataFrame:
     """docs, all columns, with repeats cut out of ``text``: the kept words joined by spaces, or the text as it was where none is cut."""
-    spots = repeated_spots(docs, batches).withColumnsRenamed({"doc_id": "__doc", "spots": "__spots"})
-    joined = docs.join(spots.hint("merge"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
     names = docs.columns
+    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"))
+    spots = repeated_spots(docs, batches).withColumnRenamed("doc_id", "of")
+    free = "spots" + "_" * max(map(len, names))  # longer than any name there is
+    joined = rows.join(spots.hint("merge"), F.col("row.doc_id") == F.col("of"), "left").select(*(F.col(f"row.`{n}`") for n in names), F.col("spots").alias(free))
     at = names.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
