@@ -16,11 +16,12 @@ Rank = Callable[[str, str], "float | None"]
 
 
 class Merges:
-    def __init__(self, tokens: Sequence[str], rank: Rank, remember: int = 1_000_000) -> None:
+    def __init__(self, tokens: Sequence[str], rank: Rank, remember: int = 600_000) -> None:
         """tokens: all that may come out, as strings of symbols; rank: of a merge of two neighbours, lowest first, None if there is none."""
         self.rank, self.remember = rank, remember
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.words = list(tokens)
+        self.sizes = [len(t) for t in tokens]
         self.known: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.machine = ahocorasick.Automaton()
@@ -106,50 +107,56 @@ class Merges:
 
     def longest(self, text: str) -> list[int]:
         """The longest token that starts at each position, from one pass of the automaton; -1: none."""
-        out, words = [-1] * len(text), self.words
-        for end, token in self.machine.iter(text):
-            at = end - len(words[token]) + 1
-            if out[at] < 0 or len(words[out[at]]) < len(words[token]):
-                out[at] = token
+        out, sizes = [-1] * len(text), self.sizes
+        for end, token in self.machine.iter(text):  # by end, so what comes later at a start is longer
+            out[end + 1 - sizes[token]] = token
         return out
 
     def encode(self, text: str) -> list[int]:
         """Tokens of ``text``, whose every symbol must be a token, by backtracking over longest matches."""
-        size, words = len(text), self.words
+        size, sizes, known = len(text), self.sizes, self.known
         if not size:
             return []
         first = self.longest(text)
-        open_ = (1 << (size + 1)) - 1  # bit field: positions from which an end may still be reached
+        failed = 0  # bit field: positions from which the end can't be reached
         tokens: list[int] = []
-        at, token = 0, first[0]
+        at, token, last = 0, first[0], -1
         while at < size:
-            end = at + len(words[token])
-            if open_ >> end & 1 and (self.fits(tokens[-1], token) if tokens else self.itself(token)):
-                tokens.append(token)
-                at = end
-                token = first[at] if at < size else -1
-                continue
-            token_ = self.shorter(token)
-            if token_ >= 0:
-                token = token_
+            end = at + sizes[token]
+            if not failed >> end & 1:
+                if last < 0:
+                    fit = self.itself(token)
+                else:
+                    fit = known.get(last << 20 | token)
+                    if fit is None:
+                        fit = self.fits(last, token)
+                if fit:
+                    tokens.append(token)
+                    at, last = end, token
+                    if at < size:
+                        token = first[at]
+                    continue
+            token = self.shorter(token)
+            if token >= 0:
                 continue
-            open_ &= ~(1 << at)
+            failed |= 1 << at
             if not tokens:
                 raise ValueError("no sequence of tokens")
             token = tokens.pop()
-            at -= len(words[token])
+            last = tokens[-1] if tokens else -1
+            at -= sizes[token]
         return tokens
 
     def prefixes(self, text: str) -> list[int]:
         """Number of tokens of every prefix: entry i is for the first i symbols."""
-        size, words, known = len(text), self.words, self.known
+        size, sizes, known = len(text), self.sizes, self.known
         count, last = [0] * (size + 1), [-1] * (size + 1)
         done = 0
         for end, token in self.machine.iter(text):
             i = end + 1
             if i == done:  # the token of this prefix is known; others that end here cannot fit too
                 continue
-            j = i - len(words[token])
+            j = i - sizes[token]
             if j:
                 fit = known.get(last[j] << 20 | token)
                 if fit is None:
