@@ -164,3 +164,46 @@ def test_normalize_and_promote(spark, tmp_path):
     assert {r["txn_id"] for r in t["transactions"].collect()} == {"0b24", "1c25"} and t["customers"].count() == 2
     reg = spark.createDataFrame([("v1", 1, "production")], "version string, created_at int, stage string")
     assert R.next_version(reg).first()["stage"] == "production"
+
+
+def test_bundle_survives_a_round_trip(scored, spark):
+    from tidemark.operators import experiments as E
+
+    m = N.fit_trees(scored, ["p", "amount"], rounds=4, depth=2, valid=scored, patience=2)
+    b, v = C.isotonic(scored)
+    again, b2, v2, manifest = E.unpack(E.ship(spark, m, b, v, algorithm="trees").first()["bundle"])
+    assert manifest == {"algorithm": "trees"} and (b == b2).all() and (v == v2).all()
+    rows = m.binned(scored).select(m.margin().alias("x"), again.margin().alias("y")).where("x <> y")
+    assert rows.count() == 0
+
+
+def test_recorded_payments_are_seen_and_asked_ones_are_not(spark):
+    from tidemark.plans.features import compute, peek
+    from tidemark.plans.spec import CARD_RISK
+    from tidemark.streaming import desk
+
+    schema = "txn_id long, us long, card_id long, merchant_id long, category string, cents long"
+    t = spark.createDataFrame([(1, 1000, 1, 1, "a", 500)], schema)
+    asked = spark.createDataFrame([(-1, 2000, 1, 1, "a", 900), (-2, 3000, 1, 1, "a", 900)], schema)
+    cb = spark.createDataFrame([], "txn_id long, txn_us long, reported_us long, card_id long, merchant_id long, category string, cents long")
+    spec = CARD_RISK.only(["card__count_all", "card__max_amount_7d"])
+    assert {tuple(r)[2:] for r in peek(spec, t, cb, asked).collect()} == {(5.0, 1)} or {(r["card__count_all"], r["card__max_amount_7d"]) for r in peek(spec, t, cb, asked).collect()} == {(1, 5.0)}
+    late = compute(spec, desk.record(t, asked), cb).where("txn_id = -2").first()
+    assert (late["card__count_all"], late["card__max_amount_7d"]) == (2, 9.0)
+
+
+def test_streaming_rejects_what_is_late_and_leaves_its_state(spark, tmp_path):
+    from tidemark.plans.spec import CARD_RISK
+    from tidemark.streaming import features as ST
+
+    schema = "txn_id long, us long, card_id long, merchant_id long, category string, cents long, is_txn boolean"
+    spec = CARD_RISK.only(["card__count_all", "card__count_1h"])
+    batches = [[(1, 100, 1, 1, "a", 5, True), (2, 100, 1, 1, "a", 5, True)], [(3, 50, 1, 1, "a", 5, True), (4, 100, 1, 1, "a", 5, True), (5, 101, 1, 1, "a", 5, True)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+        for f in (tmp_path / "in" / f"{i}").glob("part-*"):
+            (tmp_path / "files").mkdir(exist_ok=True)
+            f.rename(tmp_path / "files" / f"{i}.parquet")
+    stream = ST.rate_limited(spark, schema, str(tmp_path / "files"), 1)
+    got = {r["txn_id"]: (r["late"], r["card__count_all"]) for r in ST.replay(ST.stateful(stream, spec), "late").collect()}
+    assert got == {1: (False, 0.0), 2: (False, 0.0), 3: (True, None), 4: (False, 0.0), 5: (False, 3.0)}

@@ -237,20 +237,24 @@ class Trees:
         return dict(sorted(zip(self.columns, share.tolist(), strict=True), key=lambda x: (-x[1], x[0])))
 
 
-def fit_trees(df: DataFrame, columns: list[str], y: str = "y", rounds: int = 20, depth: int = 4, rate: float = 0.2, lam: float = 1.0, least: float = 1.0, bins: int = 32, gradients=logloss_gradients) -> Trees:  # noqa: ANN001
+def fit_trees(df: DataFrame, columns: list[str], y: str = "y", rounds: int = 20, depth: int = 4, rate: float = 0.2, lam: float = 1.0, least: float = 1.0, bins: int = 32, gradients=logloss_gradients, weight: str | None = None, valid: DataFrame | None = None, patience: int = 5) -> Trees:  # noqa: ANN001
     """Histogram boosting: a level of a tree is one aggregation by node, column and bin.
 
     A column and bin come from exploding ``bins``; partial sums combine before the shuffle, and what returns to the
-    driver is bounded by nodes, columns and bins.  Margins are stored every five trees to keep plans short.
+    driver is bounded by nodes, columns and bins.  Margins are stored every five trees to keep plans short.  With rows
+    to validate on, trees stop ``patience`` rounds after the best average precision and those after it are dropped.
     """
+    from tidemark.operators.metrics import average_precision
+
     q = [i / bins for i in range(1, bins)]
     got = df.agg(*(F.percentile(F.col(c).cast("double"), q).alias(c) for c in columns), F.avg(F.col(y).cast("double")).alias("__rate")).first()
     rate0 = min(max(got["__rate"] or 0.5, 1e-6), 1 - 1e-6)
     model = Trees(columns, [sorted(set(got[c] or [])) for c in columns], math.log(rate0 / (1 - rate0)))
-    rows = stored(model.binned(df).select("bins", F.col(y).cast("double").alias("y"), F.lit(model.base).alias("margin")), "boost")
+    rows = stored(model.binned(df).select("bins", F.col(y).cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), F.lit(model.base).alias("margin")), "boost")
+    best_round, best_ap = 0, -1.0
     for turn in range(rounds):
         g, h = gradients(F.col("margin"), F.col("y"))
-        grads = rows.select("bins", g.alias("g"), h.alias("h"))
+        grads = rows.select("bins", (g * F.col("w")).alias("g"), (h * F.col("w")).alias("h"))
         total = grads.agg(F.sum("g").alias("g"), F.sum("h").alias("h")).first()
         root = Node(-rate * total["g"] / (total["h"] + lam))
         open_ = [(root, total["g"], total["h"])]
@@ -288,6 +292,14 @@ def fit_trees(df: DataFrame, columns: list[str], y: str = "y", rounds: int = 20,
         rows = rows.withColumn("margin", F.col("margin") + model.value(root))
         if turn % 5 == 4:
             rows = stored(rows, "boost")
+        if valid is not None:
+            ap = average_precision(model.binned(valid).select(F.col(y).alias("y"), model.margin().alias("p"))).first()[0] or 0.0
+            if ap > best_ap:
+                best_round, best_ap = turn, ap
+            elif turn - best_round >= patience:
+                break
+    if valid is not None:
+        del model.trees[best_round + 1 :]
     return model
 
 

@@ -22,11 +22,12 @@ from tidemark.plans.spec import HOUR, Agg, FeatureSpec
 DAY = 24 * HOUR
 
 
-def events(txns: DataFrame, chargebacks: DataFrame) -> DataFrame:
-    """Both streams as one: chargebacks stand at the time they are reported."""
+def events(txns: DataFrame, chargebacks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Both streams as one: chargebacks stand at the time they are reported.  ``is_txn`` is null for events that are only asked about."""
     cols = ["txn_id", "us", "card_id", "merchant_id", "category", "cents"]
     reported = chargebacks.withColumn("us", F.col("reported_us")).select(*cols, F.lit(False).alias("is_txn"))
-    return txns.select(*cols, F.lit(True).alias("is_txn")).unionByName(reported)
+    both = txns.select(*cols, F.lit(True).alias("is_txn")).unionByName(reported)
+    return both if asked is None else both.unionByName(asked.select(*cols, F.lit(None).cast("boolean").alias("is_txn")))
 
 
 def _value(column: str | None) -> Column:
@@ -50,7 +51,7 @@ def _running(ev: DataFrame, keys: tuple[str, ...], sums: list[tuple], last: list
     own = [_delta(*m[:3]).alias(names[m]) for m in sums]
     none = [F.lit(None).cast("bigint").alias(c) for c in [f"last_{s}" for s in last] + [f"first_{s}" for s in first]]
     times = [F.when(F.col("is_txn") == (s == "txn"), F.col("us")).alias(f"{kind}_{s}") for kind, of in (("last", last), ("first", first)) for s in of]
-    id_ = F.when(F.col("is_txn"), F.col("txn_id")).alias("txn_id")
+    id_ = F.when(F.coalesce("is_txn", F.lit(True)), F.col("txn_id")).alias("txn_id")
     parts = [ev.select(id_, "us", *keys, *own, *times)]
     for span in sorted({m[3] for m in sums if m[3]}):
         gone = [(-_delta(*m[:3]) if m[3] == span else F.lit(None)).alias(names[m]) for m in sums]
@@ -86,15 +87,21 @@ def _finish(agg: Agg, names: dict) -> Column:
 
 def _sliding(ev: DataFrame, keys: tuple[str, ...], span: int, aggs: list[Agg]) -> DataFrame:
     """Transactions with maxima and distinct counts of the span before each of them."""
-    rows = ev.where("is_txn").withColumn("chunk", F.explode(F.array(F.floor(F.col("us") / span), F.floor(F.col("us") / span) + 1)))
+    rows = ev.where("coalesce(is_txn, true)").withColumn("chunk", F.explode(F.array(F.floor(F.col("us") / span), F.floor(F.col("us") / span) + 1)))
     w = Window.partitionBy(*keys, "chunk").orderBy("us").rangeBetween(-span, -1)
-    cols = [(F.max(_value(a.column)).over(w) / F.lit(100.0) if a.op == "max" and a.column == "amount" else F.max(_value(a.column)).over(w) if a.op == "max" else F.size(F.collect_set(_value(a.column)).over(w)).cast("bigint")).alias(a.name) for a in aggs]
+    seen = {a.column: F.when(F.col("is_txn"), _value(a.column)) for a in aggs}
+    cols = [(F.max(seen[a.column]).over(w) / F.lit(100.0 if a.column == "amount" else 1.0) if a.op == "max" else F.size(F.collect_set(seen[a.column]).over(w)).cast("bigint")).alias(a.name) for a in aggs]
     return rows.select("txn_id", "us", "chunk", *cols).where(F.col("chunk") == F.floor(F.col("us") / span)).select("txn_id", *(a.name for a in aggs))
 
 
-def compute(spec: FeatureSpec, txns: DataFrame, chargebacks: DataFrame) -> DataFrame:
-    """txn_id, us and all features of the declaration, one row for each transaction."""
-    ev = events(txns, chargebacks)
+def peek(spec: FeatureSpec, txns: DataFrame, chargebacks: DataFrame, asked: DataFrame) -> DataFrame:
+    """Features of events that are asked about but never happen: they see the past, and nothing sees them."""
+    return compute(spec, txns, chargebacks, asked)
+
+
+def compute(spec: FeatureSpec, txns: DataFrame, chargebacks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """txn_id, us and all features of the declaration, one row for each transaction, or for each event that is asked about."""
+    ev = events(txns, chargebacks, asked)
     running, sliding = defaultdict(list), defaultdict(list)
     for a in spec.aggs:
         (sliding[a.keys, a.span] if a.op in ("max", "distinct") and a.span else running[a.keys]).append(a)
@@ -110,4 +117,4 @@ def compute(spec: FeatureSpec, txns: DataFrame, chargebacks: DataFrame) -> DataF
         parts.append(got.select("txn_id", *(_finish(a, names).alias(a.name) for a in aggs)))
     parts += [_sliding(ev, keys, span, aggs) for (keys, span), aggs in sliding.items()]
     out = reduce(lambda a, b: a.join(b, "txn_id"), parts)
-    return txns.select("txn_id", "us").join(out, "txn_id").select("txn_id", "us", *spec.names)
+    return (txns if asked is None else asked).select("txn_id", "us").join(out, "txn_id").select("txn_id", "us", *spec.names)

@@ -13,16 +13,18 @@ from tidemark.functions import scalars as S
 from tidemark.operators import calibration as C
 from tidemark.operators import decisions as D
 from tidemark.operators import drift as X
+from tidemark.operators import experiments as E
 from tidemark.operators import labels as L
 from tidemark.operators import metrics as M
 from tidemark.operators import models as N
 from tidemark.operators import relational as R
 from tidemark.operators import sketches as K
-from tidemark.plans.features import compute, events
+from tidemark.plans.features import compute, events, peek
 from tidemark.plans.spec import CARD_RISK, HOUR, Agg
 from tidemark.sources import storage
 from tidemark.sources import tables as T
 from tidemark.sources.shared import shared_path
+from tidemark.streaming import desk
 from tidemark.streaming import features as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -869,3 +871,120 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("export_subset", sql(f"SELECT txn_id FROM txn WHERE us >= {START + 15 * DAY} OR txn_id IN (SELECT txn_id FROM cb)", "cb"))
 def export_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.export_subset(*_txns(spark, sf_dir), START + 20 * DAY, 5 * DAY).select("txn_id")
+
+
+@query("constraints", sql("SELECT rule, CASE rule WHEN 'amount above zero' THEN (SELECT CAST(count(*) AS BIGINT) FROM txn WHERE cents <= 0) ELSE 0 END AS n FROM (SELECT unnest(['amount above zero', 'one row per transaction', 'card has a customer', 'chargeback has a transaction', 'reported after the transaction']) AS rule)", "txn"))
+def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return storage.violations(*_txns(spark, sf_dir), T.customers(spark, sf_dir))
+
+
+# Questions, verdicts and hypothetical payments.
+
+PEEK = ["card__count_24h", "card__sum_amount_7d", "card__max_amount_7d", "card__distinct_merchant_24h", "card__since_last", "card__mean_amount_all", "merchant__count_30d", "global__cb_count_30d"]
+ASKED = f"asked AS (SELECT -1 - card_id AS txn_id, {START + 20 * DAY} AS us, card_id, card_id % 7 AS merchant_id, 'view' AS category, 12345 AS cents FROM (SELECT DISTINCT card_id FROM txn))"
+
+
+def _asked(t: DataFrame) -> DataFrame:
+    return t.select("card_id").distinct().select((-1 - F.col("card_id")).alias("txn_id"), F.lit(START + 20 * DAY).alias("us"), "card_id", (F.col("card_id") % 7).alias("merchant_id"), F.lit("view").alias("category"), F.lit(12345).cast("bigint").alias("cents"))
+
+
+def _peek_sql() -> str:
+    def one(a: Agg) -> str:
+        v = "cents" if a.column == "amount" else a.column
+        same = "".join(f" AND e.{k} = q.{k}" for k in a.keys)
+        low = f" AND e.us >= q.us - {a.span}" if a.span else ""
+        where = f"FROM ev e WHERE e.us < q.us{low}{same} AND {'' if a.stream == 'txn' else 'NOT '}e.is_txn"
+        what = {"count": "CAST(count(*) AS BIGINT)", "sum": f"round(coalesce(sum({v}), 0) / 100.0::DOUBLE, 6)", "max": f"max({v}) / 100.0::DOUBLE", "distinct": f"CAST(count(DISTINCT {v}) AS BIGINT)", "since_last": "round((q.us - max(e.us)) / 1000000.0::DOUBLE, 6)", "mean": f"round(sum({v}) / nullif(count(*), 0)::DOUBLE / 100.0::DOUBLE, 6)"}[a.op]
+        return f"(SELECT {what.replace('q.us', str(START + 20 * DAY))} {where}) AS {a.name}"
+
+    return "SELECT txn_id, " + ", ".join(one(a) for a in CARD_RISK.aggs if a.name in PEEK) + " FROM asked q"
+
+
+@query("what_if", sql(_peek_sql(), "ev", more=ASKED))
+def what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, cb = _txns(spark, sf_dir)
+    spec = CARD_RISK.only(PEEK)
+    return _rounded(desk.what_if(spec, t, cb, _asked(t)), spec.names)
+
+
+@query("what_if_leaves_no_trace", sql("SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT card_id FROM txn)", "txn"))
+def what_if_leaves_no_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, cb = _txns(spark, sf_dir)
+    spec = CARD_RISK.only(PEEK)
+    once = peek(spec, t, cb, _asked(t))
+    again = peek(spec, t, cb, _asked(t).unionByName(_asked(t).withColumn("txn_id", F.col("txn_id") - 10_000)))
+    return once.intersect(again).agg(F.count("*").alias("n"))
+
+
+@query("resolve_case", sql(f"SELECT txn_id, {START + 30 * DAY} AS reported_us, cents FROM acted WHERE action = 'review' AND y = 1 AND txn_id % 2 = 1", "acted"))
+def resolve_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queue = D.bayes(_scored(spark, sf_dir)).where("action = 'review'")
+    verdicts = queue.where("txn_id % 2 = 1").select("txn_id", (F.col("y") == 1).alias("is_fraud"))
+    return desk.resolve(queue, verdicts, START + 30 * DAY)[1].select("txn_id", "reported_us", "cents")
+
+
+@query("resolve_queue", sql("SELECT txn_id FROM acted WHERE action = 'review' AND txn_id % 2 = 0", "acted"))
+def resolve_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queue = D.bayes(_scored(spark, sf_dir)).where("action = 'review'")
+    return desk.resolve(queue, queue.where("txn_id % 2 = 1").select("txn_id", (F.col("y") == 1).alias("is_fraud")), START)[0].select("txn_id")
+
+
+@query("score_manual", sql(f"SELECT CAST(count(*) AS BIGINT) AS card__count_all FROM txn WHERE card_id = 3 AND us < {START + 20 * DAY}", "txn"))
+def score_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, cb = _txns(spark, sf_dir)
+    payment = _asked(t).where("card_id = 3")
+    return compute(CARD_RISK.only(["card__count_all"]), desk.record(t, payment), cb).where("txn_id < 0").select("card__count_all")
+
+
+@query("idempotent_decisions", sql("SELECT txn_id, CASE WHEN txn_id % 2 = 0 THEN 'approve' ELSE action END AS action FROM acted", "acted"))
+def idempotent_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scored(spark, sf_dir)
+    seen = s.where("txn_id % 2 = 0").select("txn_id", "p", F.lit("approve").alias("action"))
+    return desk.decide(s, seen).select("txn_id", "action")
+
+
+# Studies.
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    f = _model_frame(spark, sf_dir).withColumnRenamed("p", "level")
+    return f.where(F.col("us") < HALF), f.where(F.col("us") >= HALF)
+
+
+STUDY = ["level", "amount", "night"]
+
+
+@query("hyper_search")
+def hyper_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _model_frame(spark, sf_dir).withColumnRenamed("p", "level")
+    return E.search(f, STUDY, {"depth": [2, 3]}, L.rolling_folds(START, START + 30 * DAY, 2), rounds=2)
+
+
+@query("retraining_backtest")
+def retraining_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _labelled(spark, sf_dir).withColumns({"level": F.col("p"), "night": S.is_night(F.col("us"))}).select("txn_id", "us", "y", "reported_us", *STUDY)
+    return E.backtest(f, STUDY, [(START + d * DAY, START + (d + 5) * DAY) for d in (20, 25)], 4 * DAY, 10 * DAY, rounds=2, depth=2)
+
+
+@query("imbalance_study")
+def imbalance_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.imbalance_study(*_parts(spark, sf_dir), STUDY, rounds=2, depth=2)
+
+
+@query("model_comparison")
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = {"rules": E.rules("amount", "night"), "logistic": E.logistic(STUDY), "trees": E.trees(STUDY, rounds=3, depth=2)}
+    return E.comparison(*_parts(spark, sf_dir), models, "card_id")
+
+
+@query("leaf_ftrl")
+def leaf_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.leaf_ftrl(*_parts(spark, sf_dir), STUDY, ["us", "txn_id"], rounds=2, depth=2)
+
+
+@query("train_bundle")
+def train_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, valid = _parts(spark, sf_dir)
+    model = N.fit_trees(train, STUDY, rounds=3, depth=2, valid=valid)
+    fixed = C.isotonic(model.binned(valid).select("y", N.sigmoid(model.margin()).alias("p")))
+    return E.ship(spark, model, *fixed, spec=CARD_RISK.version, algorithm="boosted trees")

@@ -80,3 +80,31 @@ def markdown(df: DataFrame, rows: int = 200) -> str:
     got = df.limit(rows).collect()
     line = lambda cells: "| " + " | ".join(map(str, cells)) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, got)])
+
+
+def bootstrap(spark: SparkSession, database: str, tables: dict[str, DataFrame]) -> dict[str, int]:
+    """Creates a database, loads tables into it, gathers their statistics and gives their sizes."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    sizes = {}
+    for name, df in tables.items():
+        df.write.mode("overwrite").saveAsTable(f"{database}.{name}")
+        spark.sql(f"ANALYZE TABLE {database}.{name} COMPUTE STATISTICS")
+        sizes[name] = spark.table(f"{database}.{name}").count()
+    return sizes
+
+
+def violations(txns: DataFrame, chargebacks: DataFrame, customers: DataFrame) -> DataFrame:
+    """rule and n of rows that break a constraint."""
+    repeated = txns.groupBy("txn_id").count().where("count > 1")
+    rules = {
+        "amount above zero": txns.where("cents <= 0"),
+        "one row per transaction": repeated,
+        "card has a customer": txns.join(customers, "card_id", "left_anti"),
+        "chargeback has a transaction": chargebacks.join(txns, "txn_id", "left_anti"),
+        "reported after the transaction": chargebacks.where("reported_us <= txn_us"),
+    }
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n") for rule, df in rules.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
