@@ -34,7 +34,7 @@ COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 class WordTokens:
     """Ids of texts by a ``tokenizers`` file whose pieces never hold white space, so that words can be remembered."""
 
-    def __init__(self, path: str, remember: int = 2_000_000) -> None:
+    def __init__(self, path: str, remember: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -211,5 +211,6 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = 4096, with_ids
                     yield rows(done)
         if done := packer.drain(last=True):
             yield rows(done)
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, COLUMNS + (", ids array<int>" if with_ids else ""))

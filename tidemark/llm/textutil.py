@@ -23,6 +23,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 out = fn(batch.slice(at, rows))
                 if out is not None and out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, schema)
 
