@@ -12,25 +12,26 @@ read, so other columns and their names don't matter.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.bpe import Merges
-from tidemark.llm.textutil import arrow_map, texts_of
+from tidemark.llm.textutil import Remembered, arrow_map, texts_of
 
 MARK = "▁"
+codecs.register_error("replace-each", lambda e: ("\ufffd", e.start + 1))
 #: The kinds of a piece in the model's file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
 class PieceCodec:
-    def __init__(self, path: str, remember: int = 600_000) -> None:
+    def __init__(self, path: str, remember: int = 1_300_000) -> None:
         from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
         model = model_pb2.ModelProto()
@@ -49,41 +50,55 @@ class PieceCodec:
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.shown = [p.piece.replace(MARK, " ") if p.type == NORMAL else "" if p.type == CONTROL else " ⁇ " for p in model.pieces]
+        self.controls = {i for i, p in enumerate(model.pieces) if p.type == CONTROL}
+        self.spaced = {i for i, p in normal if p.piece.startswith(MARK)}
         self.units = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
-        self.remember = remember
-        self._units: dict[str, tuple[tuple[int, ...], str]] = {}
-
-    def unit(self, text: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a unit, and the same in decimal joined by commas."""
-        known = self._units.get(text)
-        if known is None:
-            ids: list[int] = []
-            at, known_chars = 0, self.merges.ids
-            for i, c in enumerate(text):
-                if c not in known_chars:
-                    ids += [self.id_of[t] for t in self.merges.encode(text[at:i])]
-                    ids += [self.byte_id[b] for b in c.encode("utf-8")] if self.byte_id else [self.unknown]
-                    at = i + 1
-            ids += [self.id_of[t] for t in self.merges.encode(text[at:])]
-            known = (tuple(ids), ",".join(map(str, ids)))
-            if len(text) <= 64:
-                if len(self._units) >= self.remember:
-                    self._units.clear()
-                self._units[text] = known
-        return known
-
-    def parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+        self._units = Remembered(self.unit, remember)
+
+    def unit(self, text: str) -> str | tuple[str, str]:
+        """Ids of a unit in decimal, joined by commas, and the text that they decode to where it isn't the unit's own."""
+        ids: list[int] = []
+        at, known_chars = 0, self.merges.ids
+        for i, c in enumerate(text):
+            if c not in known_chars:
+                ids += [self.id_of[t] for t in self.merges.encode(text[at:i])]
+                ids += [self.byte_id[b] for b in c.encode("utf-8")] if self.byte_id else [self.unknown]
+                at = i + 1
+        ids += [self.id_of[t] for t in self.merges.encode(text[at:] if at else text)]
+        shown, joined = self.text(ids), ",".join(map(str, ids))
+        return joined if shown == text.replace(MARK, " ") else (joined, shown)
+
+    def both(self, text: str) -> tuple[str, str]:
+        """All ids in decimal, joined by commas, and the text that they decode to.
+
+        No character reaches over units, so both follow from those of the units in turn.
+        """
         if not text:
-            return []
-        get = self._units.get
-        return [get(u) or self.unit(u) for u in self.units.findall(self.prefix + text.replace(" ", MARK))]
+            return "", ""
+        units = self.units.findall(self.prefix + text.replace(" ", MARK))
+        parts = list(map(self._units.__getitem__, units))
+        try:
+            joined, shown = ",".join(parts), "".join(units).replace(MARK, " ")
+        except TypeError:  # some unit decodes to another text
+            joined = ",".join(p if isinstance(p, str) else p[0] for p in parts)
+            shown = "".join(u.replace(MARK, " ") if isinstance(p, str) else p[1] for u, p in zip(units, parts, strict=True))
+        return joined, self.trimmed(shown)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(p[0] for p in self.parts(text)))
+        joined = self.both(text)[0]
+        return list(map(int, joined.split(","))) if joined else []
 
     def decode(self, ids: Iterable[int]) -> str:
-        """Pieces joined, marks as spaces, without the space in front; runs of bytes as UTF-8."""
+        """Pieces joined, marks as spaces, without the space in front; runs of bytes as UTF-8, a replacement for each byte that fits nowhere."""
         ids = list(ids)
+        first = next((i for i in ids if i not in self.controls), None)
+        text = self.text(ids)
+        return self.trimmed(text) if first in self.spaced else text
+
+    def trimmed(self, text: str) -> str:
+        return text[1:] if self.prefix and text.startswith(" ") else text
+
+    def text(self, ids: list[int]) -> str:
         if not self.byte_of.keys().isdisjoint(ids):
             out: list[str] = []
             run = bytearray()
@@ -92,13 +107,11 @@ class PieceCodec:
                     run.append(self.byte_of[i])
                     continue
                 if run:
-                    out.append(run.decode("utf-8", "replace"))
+                    out.append(run.decode("utf-8", "replace-each"))
                     run.clear()
                 out.append(self.shown[i])
-            text = "".join(out) + run.decode("utf-8", "replace")
-        else:
-            text = "".join(map(self.shown.__getitem__, ids))
-        return text[1:] if self.prefix and text.startswith(" ") else text
+            return "".join(out) + run.decode("utf-8", "replace-each")
+        return "".join(map(self.shown.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -137,11 +150,10 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
         model = codec(path)
         sizes, of_ids, of_text = [], [], []
         for text in texts_of(batch.column(1)):
-            parts = model.parts(text)
-            ids = list(chain.from_iterable(p[0] for p in parts))
-            sizes.append(len(ids))
-            of_ids.append(_digest(",".join([p[1] for p in parts])))
-            of_text.append(_digest(model.decode(ids)))
+            joined, shown = model.both(text)
+            sizes.append(joined.count(",") + 1 if joined else 0)
+            of_ids.append(_digest(joined))
+            of_text.append(_digest(shown))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows=128)
