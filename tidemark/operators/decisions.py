@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import cumulative
+
 ACTIONS = ("approve", "review", "decline")
 
 
@@ -79,17 +81,17 @@ def top_rows(df: DataFrame, n: int, score: str = "p", key: str = "txn_id") -> Da
 def budget(df: DataFrame, rate: float) -> DataFrame:
     """The ceil(rate * n) highest scores are reviewed, one at least; equal scores by txn_id.
 
-    The score at the edge comes from counts per score, so that nothing is sorted as a whole.
+    The score at the edge comes from counts per score, and places among its ties from ranges of ids, so that no task
+    sorts the whole.
     """
     n = df.count()
     k = max(1, -(-int(round(rate * n * 1e9)) // 10**9)) if n else 0
-    edge = edge_score(df, k)
-    marked = df.join(F.broadcast(edge), F.lit(True), "left") if n else df.withColumns({"edge": F.lit(None).cast("double"), "above": F.lit(0)})
-    ties = df.join(F.broadcast(edge), F.col("p") == F.col("edge")).orderBy("txn_id").limit(k) if n else None
-    if ties is None:
+    if not n:
         return df.withColumn("action", F.lit("approve"))
-    picked = ties.withColumn("r", F.row_number().over(Window.orderBy("txn_id"))).where(F.col("r") + F.col("above") <= k).select("txn_id", F.lit(True).alias("tie"))
-    out = marked.join(picked, "txn_id", "left")
+    edge = edge_score(df, k)
+    ties = df.join(F.broadcast(edge), F.col("p") == F.col("edge")).select("txn_id", "above", F.lit(1).alias("n"))
+    picked = cumulative(ties, "txn_id", ["n"]).where(F.col("c_n") + F.col("above") <= k).select("txn_id", F.lit(True).alias("tie"))
+    out = df.join(F.broadcast(edge)).join(picked, "txn_id", "left")
     action = F.when((F.col("p") > F.col("edge")) | F.coalesce("tie", F.lit(False)), "review").otherwise("approve")
     return out.withColumn("action", action).drop("edge", "above", "tie")
 
@@ -97,8 +99,8 @@ def budget(df: DataFrame, rate: float) -> DataFrame:
 def edge_score(df: DataFrame, k: int, score: str = "p") -> DataFrame:
     """edge and above: the k-th highest score, and how many rows lie above it."""
     levels = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("edge")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("edge")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return levels.withColumn("above", before).where((F.col("above") < k) & (F.col("above") + F.col("n") >= k)).select("edge", "above")
+    above = cumulative(levels, "edge", ["n"], descending=True, strict=True).withColumnRenamed("c_n", "above")
+    return above.where((F.col("above") < k) & (F.col("above") + F.col("n") >= k)).select("edge", "above")
 
 
 def conformal_quantile(df: DataFrame, score: Column, alpha: float) -> DataFrame:
@@ -107,8 +109,7 @@ def conformal_quantile(df: DataFrame, score: Column, alpha: float) -> DataFrame:
     n = rows.count()
     k = -(-int(round((n + 1) * (1 - alpha) * 1e9)) // 10**9)
     levels = rows.groupBy("s").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("s"))
-    return levels.withColumn("upto", upto).where(F.col("upto") >= k).agg(F.min("s").alias("q"))
+    return cumulative(levels, "s", ["n"]).where(F.col("c_n") >= k).agg(F.min("s").alias("q"))
 
 
 def conformal(df: DataFrame, alpha_fraud: float = 0.05, alpha_legit: float = 0.002) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import cumulative
+
 FLOOR = 1e-4
 
 
@@ -39,10 +41,9 @@ def ks(ref: DataFrame, cur: DataFrame, column: str) -> DataFrame:
     x = F.col(column)
     rows = ref.select(x.alias("x"), F.lit(1).alias("r")).unionByName(cur.select(x.alias("x"), F.lit(0).alias("r"))).where("x is not null")
     counts = rows.groupBy("x").agg(F.sum("r").alias("n_ref"), F.sum(1 - F.col("r")).alias("n_cur"))
-    up = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     total = counts.agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"))
-    cum = counts.select(F.sum("n_ref").over(up).alias("a"), F.sum("n_cur").over(up).alias("b")).join(F.broadcast(total))
-    return cum.agg(F.max(F.abs(F.col("a") / F.col("t_ref") - F.col("b") / F.col("t_cur"))).alias("ks"))
+    cum = cumulative(counts, "x", ["n_ref", "n_cur"]).join(F.broadcast(total))
+    return cum.agg(F.max(F.abs(F.col("c_n_ref") / F.col("t_ref") - F.col("c_n_cur") / F.col("t_cur"))).alias("ks"))
 
 
 def feature_drift(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Ranking and calibration metrics over label and score columns.
 
-All of them start from counts per distinct score, which combine before the shuffle; what is ordered afterwards is
-as long as the scores are distinct, not as the rows.
+All of them start from counts per distinct score, which combine before the shuffle; running sums over the scores
+are taken in ranges (``ordered``), so that no task holds them all.
 """
 
 from __future__ import annotations
@@ -9,45 +9,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import cumulative, ranged
+
 
 def levels(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """p, n and pos: rows and positives of each distinct score."""
     return df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("bigint")).alias("pos"))
 
 
-def _down() -> Window:
-    return Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-
-
 def average_ranks(df: DataFrame, key: str = "txn_id", p: str = "p") -> DataFrame:
     """key and rank from 1, equal scores sharing the mean of their places."""
     lv = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = lv.select("p", (upto - (F.col("n") - 1) / 2.0).alias("rank"))
+    ranks = cumulative(lv, "p", ["n"]).select("p", (F.col("c_n") - (F.col("n") - 1) / 2.0).alias("rank"))
     return df.select(key, F.col(p).alias("p")).join(ranks, "p").select(key, "rank")
 
 
 def roc_auc(df: DataFrame) -> DataFrame:
     """roc_auc by ranks; null with one class only."""
-    lv = levels(df)
-    below = F.coalesce(F.sum(F.col("n") - F.col("pos")).over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = F.sum(F.col("pos") * (2 * F.col("below") + (F.col("n") - F.col("pos"))))
-    both = F.sum("pos") * F.sum(F.col("n") - F.col("pos"))
-    return lv.withColumn("below", below).agg((won / (2 * F.nullif(both, F.lit(0)))).alias("roc_auc"))
+    lv = cumulative(levels(df).withColumn("neg", F.col("n") - F.col("pos")), "p", ["neg"], strict=True)
+    won = F.sum(F.col("pos") * (2 * F.col("c_neg") + F.col("neg")))
+    both = F.sum("pos") * F.sum("neg")
+    return lv.agg((won / (2 * F.nullif(both, F.lit(0)))).alias("roc_auc"))
 
 
 def pr_points(df: DataFrame) -> DataFrame:
     """p, precision and recall at each distinct score, taking all rows from it upwards."""
     lv = levels(df)
     total = lv.agg(F.sum("pos").alias("total"))
-    cum = lv.select("p", F.sum("n").over(_down()).alias("taken"), F.sum("pos").over(_down()).alias("hits"))
+    cum = cumulative(lv, "p", ["n", "pos"], descending=True).select("p", F.col("c_n").alias("taken"), F.col("c_pos").alias("hits"))
     return cum.join(F.broadcast(total)).select("p", (F.col("hits") / F.col("taken")).alias("precision"), (F.col("hits") / F.nullif("total", F.lit(0))).alias("recall"))
 
 
 def average_precision(df: DataFrame) -> DataFrame:
-    lv = levels(df)
-    cum = lv.select("pos", F.sum("n").over(_down()).alias("taken"), F.sum("pos").over(_down()).alias("hits"))
-    return cum.agg((F.sum(F.col("pos") * F.col("hits") / F.col("taken")) / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
+    cum = cumulative(levels(df), "p", ["n", "pos"], descending=True)
+    return cum.agg((F.sum(F.col("pos") * F.col("c_pos") / F.col("c_n")) / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
 
 
 def precision_at_recall(df: DataFrame, target: float) -> DataFrame:
@@ -81,13 +76,16 @@ def log_loss(df: DataFrame, floor: float = 1e-15) -> DataFrame:
 def calibration_bins(df: DataFrame, bins: int = 15, key: str = "txn_id") -> DataFrame:
     """bin, n, mean_p and rate of bins of equal mass, larger ones first; equal scores in the order of the key.
 
-    A row's place is the number of rows of lower scores and its place within its own score; only the latter is
-    counted row by row, in parts by score.
+    A row's place is the number of rows before its score and range of keys, and its place within them.
     """
-    lv = df.groupBy(F.col("p").alias("lp")).agg(F.count("*").alias("n"))
-    before = lv.select("lp", F.coalesce(F.sum("n").over(Window.orderBy("lp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    place = F.row_number().over(Window.partitionBy("p").orderBy(key)) - 1
-    rows = df.withColumn("own", place).join(before, F.col("p") == F.col("lp")).withColumn("at", F.col("own") + F.col("before"))
+    rows = ranged(df, key, "keys")
+    cells = rows.groupBy("p", "keys").agg(F.count("*").alias("n"))
+    scores = cumulative(cells.groupBy("p").agg(F.sum("n").alias("n")), "p", ["n"], strict=True).select("p", F.col("c_n").alias("lower"))
+    over = Window.partitionBy("p").orderBy("keys").rowsBetween(Window.unboundedPreceding, -1)
+    before = cells.withColumn("ahead", F.coalesce(F.sum("n").over(over), F.lit(0))).join(scores, "p").select("p", "keys", (F.col("ahead") + F.col("lower")).alias("before"))
+    total = df.agg(F.count("*").alias("total"))
+    place = F.row_number().over(Window.partitionBy("p", "keys").orderBy(key)) - 1
+    rows = rows.withColumn("own", place).join(before, ["p", "keys"]).join(F.broadcast(total)).withColumn("at", F.col("own") + F.col("before"))
     small, extra = F.floor(F.col("total") / bins), F.col("total") % bins
     bin_ = F.when(F.col("at") < extra * (small + 1), F.floor(F.col("at") / (small + 1))).otherwise(extra + F.floor((F.col("at") - extra * (small + 1)) / F.greatest(small, F.lit(1))))
     return rows.groupBy(bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg(F.col("y").cast("double")).alias("rate"))

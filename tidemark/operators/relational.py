@@ -88,7 +88,7 @@ def next_version(registry: DataFrame) -> DataFrame:
     promoted = registry.join(to, registry["version"] == to["__to"], "left")
     some = registry.where("stage = 'candidate'").agg((F.count("*") > 0).alias("__some"))
     stage = F.when(F.col("__to").isNotNull(), "production").when((F.col("stage") == "production") & F.col("__some"), "archived").otherwise(F.col("stage"))
-    return promoted.crossJoin(F.broadcast(some)).withColumn("stage", stage).drop("__to", "__some")
+    return promoted.join(F.broadcast(some)).withColumn("stage", stage).drop("__to", "__some")
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
