@@ -166,94 +166,80 @@ def _node(rep: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[tuple[np.
     return (rep[a], rep[b]), np.count_nonzero(may) > 2 * len(a)
 
 
-FOUND = "a long, b long, kind int, path long, rep long, n long, sketch binary"
-#: Kinds of what a comparison gives: a pair to confirm, a row of a node that was too large, a row of one with further pairs.
-PAIR, LARGE, OPEN = 0, 1, 2
+FOUND = "a long, b long, path long, rep long, n long, sketch binary"
 
 
-def _paths(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows in order of path as batches of whole nodes with where nodes start and end, and how many rows of the batch's nodes are known to be too many."""
-    held: list[pa.RecordBatch] = []  # rows of the last path so far, at most ``most``
-    large: int | None = None
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows in order of path as batches of whole nodes, and where nodes start and the last ends."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         both = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
-        held = []
         path = both.column(0).to_numpy()
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(path)) + 1, [len(path)]))
-        sizes = np.diff(cuts)
-        big = sizes > most
-        if large is not None:
-            big |= path[cuts[:-1]] == large
-        if big[-1]:
-            large = int(path[-1])
-        else:
-            held = [both.slice(cuts[-2])]
-            cuts, big = cuts[:-1], big[:-1]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(path)) + 1))
+        held = [both.slice(cuts[-1])]
         if len(cuts) > 1:
-            yield both, cuts, big
+            yield both, cuts
     for last in held:
-        yield last, np.array([0, last.num_rows]), np.zeros(1, bool)
+        yield last, np.array([0, last.num_rows])
 
 
-def _compare(small: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of ROW in order of path to FOUND."""
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ROW in order of path to pairs to confirm (a, b), and the rows of nodes with further pairs."""
     names = [c.split()[0] for c in FOUND.split(", ")]
-
-    def rows(batch: pa.RecordBatch, at: np.ndarray, kind: int) -> pa.RecordBatch:
-        none = pa.nulls(len(at), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.array(np.full(len(at), kind, np.int32)), *(c.take(pa.array(at)) for c in batch.columns)], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, cuts, big in _paths(batches, small):
-            rep, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            sketch = _matrix(batch.column(3), np.uint8, VALUES)
-            sizes = np.diff(cuts)
-            two = cuts[:-1][(sizes == 2) & ~big]
-            may = ((sketch[two] == sketch[two + 1]).sum(1) >= LEAST) & (100 * np.minimum(n[two], n[two + 1]) >= LINK * np.maximum(n[two], n[two + 1])) & (rep[two] != rep[two + 1])
-            found = [(rep[two[may]], rep[two[may] + 1])]
-            still = []
-            for k in np.flatnonzero((sizes > 2) & ~big):
-                lo, hi = cuts[k], cuts[k + 1]
-                pairs, more = _node(rep[lo:hi], n[lo:hi], sketch[lo:hi])
-                found.append(pairs)
-                if more:
-                    still.append(np.arange(lo, hi))
-            over = [np.arange(cuts[k], cuts[k + 1]) for k in np.flatnonzero(big)]
-            if over:
-                yield rows(batch, np.concatenate(over), LARGE)
-            if still:
-                yield rows(batch, np.concatenate(still), OPEN)
-            a, b = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-            if len(a):
-                none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), PAIR, np.int32)), *none], names)
-
-    return run
+    for batch, cuts in _paths(batches):
+        rep, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        sketch = _matrix(batch.column(3), np.uint8, VALUES)
+        sizes = np.diff(cuts)
+        two = cuts[:-1][sizes == 2]
+        may = ((sketch[two] == sketch[two + 1]).sum(1) >= LEAST) & (100 * np.minimum(n[two], n[two + 1]) >= LINK * np.maximum(n[two], n[two + 1])) & (rep[two] != rep[two + 1])
+        found = [(rep[two[may]], rep[two[may] + 1])]
+        still = []
+        for k in np.flatnonzero(sizes > 2):
+            lo, hi = cuts[k], cuts[k + 1]
+            pairs, more = _node(rep[lo:hi], n[lo:hi], sketch[lo:hi])
+            found.append(pairs)
+            if more:
+                still.append(np.arange(lo, hi))
+        if still:
+            at = pa.array(np.concatenate(still))
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, *(c.take(at) for c in batch.columns)], names)
+        a, b = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+        if len(a):
+            none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *none], names)
 
 
 def _candidates(classes: DataFrame, trees: int = TREES, branches: int = BRANCHES, levels: int = LEVELS, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs a < b to confirm, and the rows (path, rep, n, sketch) of nodes with further pairs, of classes with rep, n, least."""
+    """Distinct pairs a < b to confirm, and the rows (path, rep, n, sketch) of nodes with further pairs, of classes with rep, n, least.
+
+    Nodes are counted first, which combines before the shuffle, so that no task gathers a node that is too large.
+    """
     rows = arrow_map(classes.select("rep", "n", "least"), _roots(trees, branches), ROW, rows=4096)
     pairs: DataFrame | None = None
     still: DataFrame | None = None
     for level in range(levels + 1):
-        found = written(rows.repartition(F.col("path")).sortWithinPartitions("path").mapInArrow(_compare(small if level < levels else 1 << 60), FOUND), "nodes")
-        new = found.where(F.col("kind") == PAIR).select("a", "b")
+        large = None
+        if level < levels:
+            over = written(rows.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > small), "over")
+            if over.limit(1).count():
+                large = rows.join(over, "path")
+                rows = rows.join(over, "path", "left_anti")
+        found = written(rows.repartition(F.col("path")).sortWithinPartitions("path").mapInArrow(_compare, FOUND), "nodes")
+        new = found.where("a is not null").select("a", "b")
         pairs = new if pairs is None else pairs.unionByName(new)
-        more = found.where(F.col("kind") == OPEN).select("path", "rep", "n", "sketch")
+        more = found.where("path is not null").select("path", "rep", "n", "sketch")
         still = more if still is None else still.unionByName(more)
-        large = found.where(F.col("kind") == LARGE).select("path", "rep", "n", "sketch")
-        if level == levels or not large.limit(1).count():
+        if large is None:
             break
         if level < levels - 1:
-            rows = arrow_map(large, _branch(branches), ROW, rows=4096)
+            rows = written(arrow_map(large.select("path", "rep", "n", "sketch"), _branch(branches), ROW, rows=4096), "branches")
         else:
             # What stays large is compared in blocks, each pair of blocks a node of its own.
-            blocks = large.groupBy("path").agg(F.ceil(F.count("*") / (small // 2)).cast("long").alias("blocks"))
-            split = large.join(written(blocks, "blocks"), "path").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-            split = split.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+            split = large.withColumn("blocks", F.ceil(F.col("size") / (small // 2)).cast("long"))
+            split = split.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
             rows = split.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "rep", "n", "sketch")
     return pairs.distinct(), still
 
@@ -286,7 +272,7 @@ def _intersections(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
 
 def _exhaustive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of path, rep, n, sketch, label, shingles in order of path to links (a, b) that join components of a node."""
-    for batch, cuts, _ in _paths(batches, 1 << 60):
+    for batch, cuts in _paths(batches):
         out = []
         rep, n, label = (batch.column(i).to_numpy() for i in (1, 2, 4))
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
