@@ -19,7 +19,9 @@ def _tokenizer(name: str) -> str:
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Python workers import this package; a driver that only put it on its own path has not told them.
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH")]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
