@@ -70,7 +70,9 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def _txns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     # Python workers import this package; a driver that only put it on its own path has not told them.
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH")]))
     t = T.from_events(spark, sf_dir)
     return t, T.chargebacks(t)
 
@@ -707,6 +709,16 @@ def stream_card_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("txn_id", *(F.round(n, 6).alias(n) for n in CARD_ONLY))
 
 
+KEYED = [a.name for a in CARD_RISK.aggs if a.keys and a.keys != ("card_id",)]
+_KEYED_COLS = ", ".join(f"CAST({agg_sql(a, 'ev')} AS DOUBLE) AS {a.name}" for a in CARD_RISK.aggs if a.name in KEYED)
+
+
+@query("stream_keyed_features", sql(f"SELECT * EXCLUDE (is_txn) FROM (SELECT txn_id, is_txn, {_KEYED_COLS} FROM ev) WHERE is_txn", "ev"))
+def stream_keyed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = ST.replay_groups(lambda: _stream(spark, sf_dir), CARD_RISK.only(KEYED))
+    return got.select("txn_id", *(F.round(n, 6).alias(n) for n in KEYED))
+
+
 @query("parity_diff", sql("SELECT f AS feature, (SELECT CAST(count(*) AS BIGINT) FROM txn) AS rows, 0::BIGINT AS null_mismatch, 0::BIGINT AS mismatch FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in CARD_ONLY) + "]) AS f)", "txn"))
 def parity_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = compute(CARD_RISK.only(CARD_ONLY), *_txns(spark, sf_dir))

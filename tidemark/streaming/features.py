@@ -104,7 +104,9 @@ def stateful(stream: DataFrame, spec: FeatureSpec) -> DataFrame:
                 out.append((r.txn_id, r.us, False, *held.features()))
             held.events.append((int(r.us), int(r.cents), int(r.merchant_id), r.category, bool(r.is_txn)))
         state.update(held.tuple())
-        yield pd.DataFrame(out, columns=["txn_id", "us", "late", *names])
+        if out:
+            rows = pd.DataFrame(out, columns=["txn_id", "us", "late", *names])
+            yield rows.astype(dict.fromkeys(names, "float64"))
 
     schema = "txn_id long, us long, late boolean, " + ", ".join(f"{n} double" for n in names)
     return stream.groupBy(*keys).applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.NoTimeout)
@@ -119,6 +121,22 @@ def replay(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def replay_groups(stream_of, spec: FeatureSpec) -> DataFrame:  # noqa: ANN001
+    """txn_id and all features of a declaration: one stream for each key group, joined by transaction.
+
+    ``stream_of()`` opens the events anew.  A group without keys would be one state for everything and is refused;
+    its features come from the batch plan, whose tasks hold a day each.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for a in spec.aggs:
+        groups.setdefault(a.keys, []).append(a.name)
+    out = None
+    for keys, names in groups.items():
+        got = replay(stateful(stream_of(), spec.only(names)), "-".join(keys)).where("not late").select("txn_id", *names)
+        out = got if out is None else out.join(got, "txn_id")
+    return out
+
+
 def deduplicated(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """Each txn_id once within the delay, whatever way it was written."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["txn_id"])
