@@ -107,27 +107,29 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, keep: int = 4
     y = got.column("toxic").to_numpy().astype(float)
     if not len(y):
         return Model()
+    # Hashes become places in a dictionary; of all lists only places, counts and row numbers stay.
     lists = got.column("features").combine_chunks()
-    ends = lists.offsets.to_numpy().astype(np.int64)
-    cols = lists.values.to_numpy()[ends[0] : ends[-1]]
-    vals = got.column("times").combine_chunks().values.to_numpy().astype(float)
-    ends = ends - ends[0]
-    of_row = np.repeat(np.arange(len(y)), np.diff(ends))
+    sizes = np.diff(lists.offsets.to_numpy())
+    coded = lists.flatten().dictionary_encode()
+    known, cols = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    vals = got.column("times").combine_chunks().flatten().to_numpy()
+    del got, lists, coded
+    of_row = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
 
     weight = np.where(y == 1, total.get(1, 0) / max(1, (y == 1).sum()), total.get(0, 0) / max(1, (y == 0).sum()))
     weight /= weight.sum()
-    known, cols = np.unique(cols, return_inverse=True)
-    n1 = np.bincount(cols, y[of_row], len(known))
-    n0 = np.bincount(cols, 1 - y[of_row], len(known))
+    n1 = np.bincount(cols[(y == 1)[of_row]], minlength=len(known))
+    n0 = np.bincount(cols, minlength=len(known)) - n1
     a, b = (n1 + 0.5) / (y.sum() + 1), (n0 + 0.5) / ((1 - y).sum() + 1)
     z = np.abs(np.log(a / b)) / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
     swap = swaps(groups)
-    best = np.argsort(-z, kind="stable")[:keep]
+    best = np.lexsort((known, -z))[:keep]
     chosen = np.union1d(best[z[best] > 2], np.flatnonzero(np.isin(known, list(swap))))
     place = np.full(len(known), -1)
     place[chosen] = np.arange(len(chosen))
     use = place[cols] >= 0
-    row, col, val = of_row[use], place[cols[use]], vals[use]
+    row, col, val = of_row[use], place[cols[use]], vals[use].astype(float)
+    del of_row, cols, vals, use
 
     pairs: list[tuple[list[int], list[int], float]] = []  # features lost and gained by a swap, and the weight of its documents
     at = {int(known[c]): int(place[c]) for c in chosen}
