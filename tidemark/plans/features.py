@@ -36,12 +36,14 @@ def _value(column: str | None) -> Column:
 
 def _moments(agg: Agg) -> list[tuple[str, str, str | None, int | None]]:
     """Running sums (stream, power, column, span) that an invertible aggregate is made of."""
-    powers = {"count": "0", "sum": "1", "mean": "01", "std": "012"}.get(agg.op, "")
+    powers = {"count": "0", "sum": "1", "mean": "01", "std": "01hl"}.get(agg.op, "")
     return [(agg.stream, p, agg.column if p != "0" else None, agg.span) for p in powers]
 
 
 def _delta(stream: str, power: str, column: str | None) -> Column:
-    v = {"0": F.lit(1).cast("bigint"), "1": _value(column).cast("bigint"), "2": _value(column).cast("decimal(19,0)") * _value(column).cast("decimal(19,0)")}[power]
+    """What an event adds to a running sum; squares are two sums, of their high and low 32 bits, that stay in 64 bits."""
+    x = _value(column).cast("bigint")
+    v = {"0": lambda: F.lit(1).cast("bigint"), "1": lambda: x, "h": lambda: F.shiftright(x * x, 32), "l": lambda: (x * x).bitwiseAND(F.lit((1 << 32) - 1))}[power]()
     return F.when(F.col("is_txn") == (stream == "txn"), v)
 
 
@@ -52,20 +54,19 @@ def _running(ev: DataFrame, keys: tuple[str, ...], sums: list[tuple], last: list
     none = [F.lit(None).cast("bigint").alias(c) for c in [f"last_{s}" for s in last] + [f"first_{s}" for s in first]]
     times = [F.when(F.col("is_txn") == (s == "txn"), F.col("us")).alias(f"{kind}_{s}") for kind, of in (("last", last), ("first", first)) for s in of]
     id_ = F.when(F.coalesce("is_txn", F.lit(True)), F.col("txn_id")).alias("txn_id")
-    parts = [ev.select(id_, "us", *keys, *own, *times)]
+    # One struct is the key throughout, null parts included, so that window and join share one exchange and one sort.
+    key = F.struct(*keys, F.lit(0)).alias("key")
+    parts = [ev.select(id_, "us", key, *own, *times)]
     for span in sorted({m[3] for m in sums if m[3]}):
         gone = [(-_delta(*m[:3]) if m[3] == span else F.lit(None)).alias(names[m]) for m in sums]
-        parts.append(ev.select(F.lit(None).cast(ev.schema["txn_id"].dataType).alias("txn_id"), (F.col("us") + span).alias("us"), *keys, *gone, *none))
+        parts.append(ev.select(F.lit(None).cast(ev.schema["txn_id"].dataType).alias("txn_id"), (F.col("us") + span).alias("us"), key, *gone, *none))
     rows = reduce(DataFrame.unionByName, parts).withColumn("day", F.floor(F.col("us") / DAY))
     how = {n: F.sum for n in names.values()} | {f"last_{s}": F.max for s in last} | {f"first_{s}": F.min for s in first}
-    days = rows.groupBy(*keys, "day").agg(*(f(n).alias(n) for n, f in how.items()))
-    over = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    before = days.select(*keys, "day", *(f(n).over(over).alias(f"b_{n}") for n, f in how.items()))
-    within = Window.partitionBy(*keys, "day").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
-    own_key = [f"k_{k}" for k in keys]
-    before = before.withColumnsRenamed({k: f"k_{k}" for k in keys} | {"day": "k_day"})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own_key, strict=True)], F.col("day") == F.col("k_day"))
-    joined = rows.select("*", *(f(n).over(within).alias(f"w_{n}") for n, f in how.items())).where(F.col("txn_id").isNotNull()).join(before, same)
+    days = rows.groupBy("key", "day").agg(*(f(n).alias(n) for n, f in how.items()))
+    over = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select("key", "day", *(f(n).over(over).alias(f"b_{n}") for n, f in how.items()))
+    within = Window.partitionBy("key", "day").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+    joined = rows.select("*", *(f(n).over(within).alias(f"w_{n}") for n, f in how.items())).where(F.col("txn_id").isNotNull()).join(before, ["key", "day"])
     joins = {"m": lambda n: F.coalesce(f"b_{n}", F.lit(0)) + F.coalesce(f"w_{n}", F.lit(0)), "l": lambda n: F.coalesce(f"w_{n}", f"b_{n}"), "f": lambda n: F.coalesce(f"b_{n}", f"w_{n}")}
     return joined.select("txn_id", "us", *(joins[n[0]](n).alias(n) for n in how))
 
@@ -80,7 +81,8 @@ def _finish(agg: Agg, names: dict) -> Column:
         return F.when(got[0] > 0, got[1] / got[0] / 100.0)
     if agg.op == "std":
         n, s = got[0].cast("decimal(12,0)"), got[1].cast("decimal(18,0)")
-        return F.when(got[0] > 0, F.sqrt(F.greatest((n * got[2].cast("decimal(26,0)") - s * s).cast("double"), F.lit(0.0))) / got[0] / 100.0)
+        squares = (got[2].cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(10,0)") + got[3].cast("decimal(19,0)")).cast("decimal(26,0)")
+        return F.when(got[0] > 0, F.sqrt(F.greatest((n * squares - s * s).cast("double"), F.lit(0.0))) / got[0] / 100.0)
     last = agg.op == "since_last"
     return (F.col("us") - F.col(f"{'last' if last else 'first'}_{agg.stream}")) / 1e6
 
