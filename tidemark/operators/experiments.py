@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import calibration as C
+from tidemark.operators import decisions as D
 from tidemark.operators import drift as X
 from tidemark.operators import labels as L
 from tidemark.operators import metrics as M
@@ -132,19 +133,13 @@ def comparison(train: DataFrame, test: DataFrame, models: dict[str, Fit], cluste
         began = time.time()
         score = fit(train)
         took = time.time() - began
-        rows = score(test).withColumn("r", F.percent_rank().over(_by_score()))
-        sums = {"hits": F.when((F.col("r") <= at) & (F.col("y") == 1), 1).otherwise(0), "pos": F.col("y")}
+        rows = D.budget(score(test), at)
+        sums = {"hits": F.when((F.col("action") == "review") & (F.col("y") == 1), 1).otherwise(0), "pos": F.col("y")}
         band = M.cluster_bootstrap(rows, cluster, sums, F.try_divide("hits", "pos"), n_boot=50).first()
         out.append((name, took, M.average_precision(rows).first()[0], interval_text(band)))
     return train.sparkSession.createDataFrame(out, "model string, fit_seconds double, average_precision double, recall string")
 
 
-def _by_score():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.desc("p"))
-
-
 def interval_text(row) -> str:  # noqa: ANN001
     """A point with its interval, as reports print it."""
     return "-" if row["point"] is None else f"{row['point']:.4f} ({row['low']:.4f}-{row['high']:.4f})"
