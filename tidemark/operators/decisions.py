@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import cumulative
+from tidemark.sources.shared import stored
 
 ACTIONS = ("approve", "review", "decline")
 
@@ -79,36 +80,35 @@ def top_rows(df: DataFrame, n: int, score: str = "p", key: str = "txn_id") -> Da
 
 
 def budget(df: DataFrame, rate: float) -> DataFrame:
-    """The ceil(rate * n) highest scores are reviewed, one at least; equal scores by txn_id.
+    """The ceil(rate * n) highest scores are reviewed, one at least; equal scores by txn_id; rows without a score are approved.
 
     The score at the edge comes from counts per score, and places among its ties from ranges of ids, so that no task
     sorts the whole.
     """
-    n = df.count()
-    k = max(1, -(-int(round(rate * n * 1e9)) // 10**9)) if n else 0
+    levels = stored(df.where(F.col("p").isNotNull()).groupBy("p").agg(F.count("*").alias("n")), "levels")
+    n = levels.agg(F.sum("n")).first()[0]
     if not n:
         return df.withColumn("action", F.lit("approve"))
-    edge = edge_score(df, k)
-    ties = df.join(F.broadcast(edge), F.col("p") == F.col("edge")).select("txn_id", "above", F.lit(1).alias("n"))
-    picked = cumulative(ties, "txn_id", ["n"]).where(F.col("c_n") + F.col("above") <= k).select("txn_id", F.lit(True).alias("tie"))
-    out = df.join(F.broadcast(edge)).join(picked, "txn_id", "left")
-    action = F.when((F.col("p") > F.col("edge")) | F.coalesce("tie", F.lit(False)), "review").otherwise("approve")
-    return out.withColumn("action", action).drop("edge", "above", "tie")
+    k = max(1, -(-int(round(rate * n * 1e9)) // 10**9))
+    edge, above = edge_score(levels, k)
+    ties = df.where(F.col("p") == edge).select("txn_id", F.lit(1).alias("n"))
+    picked = cumulative(ties, "txn_id", ["n"]).where(F.col("c_n") + above <= k).select("txn_id", F.lit(True).alias("tie"))
+    out = df.join(picked, "txn_id", "left")
+    return out.withColumn("action", F.when((F.col("p") > edge) | F.coalesce("tie", F.lit(False)), "review").otherwise("approve")).drop("tie")
 
 
-def edge_score(df: DataFrame, k: int, score: str = "p") -> DataFrame:
-    """edge and above: the k-th highest score, and how many rows lie above it."""
-    levels = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("edge")).agg(F.count("*").alias("n"))
-    above = cumulative(levels, "edge", ["n"], descending=True, strict=True).withColumnRenamed("c_n", "above")
-    return above.where((F.col("above") < k) & (F.col("above") + F.col("n") >= k)).select("edge", "above")
+def edge_score(levels: DataFrame, k: int) -> tuple[float, int]:
+    """The k-th highest score, and how many rows lie above it, of p and n per distinct score."""
+    above = cumulative(levels, "p", ["n"], descending=True, strict=True)
+    row = above.where((F.col("c_n") < k) & (F.col("c_n") + F.col("n") >= k)).first()
+    return row["p"], row["c_n"]
 
 
 def conformal_quantile(df: DataFrame, score: Column, alpha: float) -> DataFrame:
     """q: the ceil((n + 1)(1 - alpha))-th smallest score; null, for no bound, where there are too few."""
-    rows = df.select(score.alias("s")).where("s is not null")
-    n = rows.count()
+    levels = stored(df.select(score.alias("s")).where("s is not null").groupBy("s").agg(F.count("*").alias("n")), "levels")
+    n = levels.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     k = -(-int(round((n + 1) * (1 - alpha) * 1e9)) // 10**9)
-    levels = rows.groupBy("s").agg(F.count("*").alias("n"))
     return cumulative(levels, "s", ["n"]).where(F.col("c_n") >= k).agg(F.min("s").alias("q"))
 
 

@@ -17,7 +17,7 @@ from tidemark.operators import drift as X
 from tidemark.operators import labels as L
 from tidemark.operators import metrics as M
 from tidemark.operators import models as N
-from tidemark.sources.shared import shared_path
+from tidemark.sources.shared import shared_path, stored
 
 #: Fits on rows of columns and y; gives rows the score p.
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
@@ -117,7 +117,7 @@ def imbalance_study(train: DataFrame, test: DataFrame, columns: list[str], **how
     out = []
     for name, (rows, own, after) in strategies.items():
         score = trees(columns, **how, **own)(rows)
-        raw, base = score(test), score(train)
+        raw, base = (stored(score(x).select("txn_id", "y", "p"), "scores") for x in (test, train))
         if after:
             raw, base = raw.withColumn("p", after(F.col("p"))), base.withColumn("p", after(F.col("p")))
         fixed = raw.withColumn("p", C.interpolate(F.col("p"), *C.isotonic(base)))
@@ -133,7 +133,7 @@ def comparison(train: DataFrame, test: DataFrame, models: dict[str, Fit], cluste
         began = time.time()
         score = fit(train)
         took = time.time() - began
-        rows = D.budget(score(test), at)
+        rows = D.budget(stored(score(test), "scores"), at)
         sums = {"hits": F.when((F.col("action") == "review") & (F.col("y") == 1), 1).otherwise(0), "pos": F.col("y")}
         band = M.cluster_bootstrap(rows, cluster, sums, F.try_divide("hits", "pos"), n_boot=50).first()
         out.append((name, took, M.average_precision(rows).first()[0], interval_text(band)))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import stored
+
 PARTS = 256
 
 
@@ -23,6 +25,8 @@ def ranged(df: DataFrame, by: str, name: str, parts: int = PARTS) -> DataFrame:
 
 def cumulative(df: DataFrame, by: str, sums: Sequence[str], descending: bool = False, strict: bool = False, prefix: str = "c_") -> DataFrame:
     """``df``, whose values of ``by`` are distinct, with sums over all rows up to each (before each, if strict)."""
+    # Ranges, totals and rows are three readings of the same rows, which may be dear to compute.
+    df = stored(df, "ordered")
     order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     parts = ranged(df, by, "__range")
     within = Window.partitionBy("__range").orderBy(order(by)).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
