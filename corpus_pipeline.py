@@ -48,7 +48,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=200_000)
 
 
 STAGES: list[tuple[str, Stage]] = [("toxicity", toxicity), ("minhash_near_dedup", minhash_near_dedup), ("substring_dedup", substring_dedup), ("pii", pii), ("packing", packing)]

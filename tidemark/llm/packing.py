@@ -24,7 +24,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.textutil import SLICE_ROWS, crc_of, split_words
+from tidemark.llm.textutil import SLICE_ROWS, crc_of, small_batches, split_words
 
 #: (document, start in it, ids, tokens of the document)
 Piece = tuple["int | None", int, np.ndarray, int]
@@ -34,7 +34,7 @@ COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 class WordTokens:
     """Ids of texts by a ``tokenizers`` file whose pieces never hold white space, so that words can be remembered."""
 
-    def __init__(self, path: str, remember: int = 700_000) -> None:
+    def __init__(self, path: str, remember: int = 690_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -101,9 +101,9 @@ class WordTokens:
         return self.flat[at], ends[offsets]
 
 
-@lru_cache(maxsize=2)
-def tokens_of(path: str) -> WordTokens:
-    return WordTokens(path)
+@lru_cache(maxsize=1)
+def tokens_of(path: str, remember: int) -> WordTokens:
+    return WordTokens(path, remember)
 
 
 class SumOfSquares:
@@ -167,14 +167,15 @@ class SumOfSquares:
         return done
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = 4096, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = 4096, with_ids: bool = False, remember: int = 690_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
 
     A document is its text's ids and then ``end_id``.  ``sequence_id`` holds the task's number and a count within it.
+    ``remember`` bounds the words whose ids a worker keeps, about 200 bytes each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = tokens_of(path), SumOfSquares(size)
+        tokens, packer = tokens_of(path, remember), SumOfSquares(size)
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 40
         made = 0
@@ -213,4 +214,5 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = 4096, with_ids
             yield rows(done)
         pa.default_memory_pool().release_unused()
 
+    small_batches(docs)
     return docs.select("doc_id", "text").mapInArrow(run, COLUMNS + (", ids array<int>" if with_ids else ""))

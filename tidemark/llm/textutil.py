@@ -14,6 +14,13 @@ from pyspark.sql import DataFrame
 SLICE_ROWS = 512
 
 
+def small_batches(df: DataFrame, rows: int = 2048) -> None:
+    """Bounds the rows of a batch between Spark and Python for the session: texts are long."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
     """Apply ``fn`` to slices of at most ``rows`` rows; the output has the DDL ``schema``."""
 
@@ -25,6 +32,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                     yield out
         pa.default_memory_pool().release_unused()  # the worker lives on
 
+    small_batches(df)
     return df.mapInArrow(run, schema)
 
 

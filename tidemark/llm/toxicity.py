@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep_text: bool
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, codes, offsets = split_words(batch.column(batch.schema.get_field_index("text")))
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         for w in words:
             if w not in known:
