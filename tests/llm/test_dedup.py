@@ -195,6 +195,19 @@ def test_vector_links_equal_brute_force(spark, most):
         assert got == want
 
 
+def test_linked_dense_groups_of_vectors_are_joined(spark):
+    """Each vector's nearest are all of its own group; two groups' centres have cosine 0.95, and searches start in a third, larger one."""
+    rng = np.random.default_rng(3)
+    one, two = np.eye(16)[0], 0.95 * np.eye(16)[0] + np.sqrt(1 - 0.95**2) * np.eye(16)[1]
+    rows = []
+    for k, noise in enumerate((0.0, 0.002)):
+        groups = [c + noise * rng.normal(size=16) for c, n in ((one, 200), (two, 200), (np.eye(16)[2], 500)) for _ in range(n)]
+        rows += [(1000 * k + i, [float(np.float32(v)) for v in x], k) for i, x in enumerate(groups)]
+    got = {r["vec_id"]: tuple(r)[1:] for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == links_literally(rows)
+    assert {v[1] for v in got.values()} == {0, 400, 1000, 1400}
+
+
 def test_vector_tables_without_rows(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert near_vectors(none).count() == 0 and top_products(none).count() == 0

@@ -2,8 +2,9 @@
 
 Vectors of one label are dealt to the shards of their ``overlap`` nearest pivots; shards that are too large are
 split again by pivots of their own, and each vector keeps its best ``overlap`` shards, so copies stay bounded.  In
-every shard each vector gets a list of neighbours by robust pruning.  The lists of a vector from all its shards
-are united.  Then each shard searches for all its vectors at once: a greedy search from the shard's medoid, and
+every shard each vector gets a list of neighbours by robust pruning; then all pairs of the shard are compared, and
+links between groups that the lists don't join are added to them, so that dense groups, whose members' nearest are
+all their own, lose no link to each other.  The lists of a vector from all its shards are united.  Then each shard searches for all its vectors at once: a greedy search from the shard's medoid, and
 from what is in range an expansion along the united lists until nothing new is in range, by cosine in double
 precision.  Links leave a shard as a spanning forest.  Then every pair within a component is verified, in blocks
 where the component is large, which finds links that no shard held and counts each link once; no pair leaves its
@@ -132,17 +133,56 @@ def pruned(x: np.ndarray, degree: int = 20, pool: int = 48, alpha: float = 1.2)
     return out
 
 
-def _lists(table: pa.Table) -> pa.Table:
-    """The list of each vector of a shard: its own neighbours and those that list it."""
-    ids = table.column("vec_id").to_numpy()
-    near = pruned(_unit(table.column("embedding")))
-    a, k = np.nonzero(near >= 0)
-    b = near[a, k]
-    pairs = np.unique(np.concatenate([a * len(ids) + b, b * len(ids) + a]))
-    owner, other = pairs // len(ids), pairs % len(ids)
-    ends = np.searchsorted(owner, np.arange(len(ids) + 1))
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[other]))
-    return pa.table({"kind": pa.array([table.column("kind")[0].as_py()] * len(ids), pa.string()), "vec_id": ids, "next": lists})
+def _joined(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row that each of ``m`` rows reaches along the edges a, b."""
+    least = np.arange(m)
+    while True:
+        lo = np.minimum(least[a], least[b])
+        new = least.copy()
+        np.minimum.at(new, least[a], lo)
+        np.minimum.at(new, least[b], lo)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == least).all():
+            return least
+        least = new
+
+
+def bridges(x: np.ndarray, a: np.ndarray, b: np.ndarray, link: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that, with those among the edges a, b, join all rows that links of the shard join: every pair of rows is compared."""
+    m = len(x)
+    near = np.concatenate([np.einsum("ad,ad->a", x[a[lo : lo + 32768]], x[b[lo : lo + 32768]]) for lo in range(0, len(a), 32768)] or [np.zeros(0)])
+    least = _joined(m, a[near >= link], b[near >= link])
+    out_a, out_b = [], []
+    for lo in range(0, m, 256):
+        hit = x[lo : lo + 256] @ x.T >= link
+        for r in np.flatnonzero((hit & (least[lo : lo + 256][:, None] != least)).any(1)):
+            to = np.flatnonzero(hit[r] & (least != least[lo + r]))
+            parts, first = np.unique(least[to], return_index=True)
+            out_a.append(np.full(len(parts), lo + r))
+            out_b.append(to[first])
+            least[np.isin(least, parts)] = least[lo + r]
+    return np.concatenate([*out_a, np.zeros(0, np.int64)]), np.concatenate([*out_b, np.zeros(0, np.int64)])
+
+
+def _lists(link: float) -> Callable[[pa.Table], pa.Table]:
+    """The list of each vector of a shard: its own neighbours, those that list it, and the bridges between groups that no list joins."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("vec_id").to_numpy()
+        x = _unit(table.column("embedding"))
+        near = pruned(x)
+        a, k = np.nonzero(near >= 0)
+        b = near[a, k]
+        more = bridges(x, a, b, link)
+        a, b = np.concatenate([a, more[0]]), np.concatenate([b, more[1]])
+        pairs = np.unique(np.concatenate([a * len(ids) + b, b * len(ids) + a]))
+        owner, other = pairs // len(ids), pairs % len(ids)
+        ends = np.searchsorted(owner, np.arange(len(ids) + 1))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[other]))
+        return pa.table({"kind": pa.array([table.column("kind")[0].as_py()] * len(ids), pa.string()), "vec_id": ids, "next": lists})
+
+    return run
 
 
 def _greedy(x: np.ndarray, ends: np.ndarray, to: np.ndarray, own: np.ndarray, beam: int, hops: int, width: int = 32) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +296,7 @@ def _search(link: float) -> Callable[[pa.Table], pa.Table]:
 def _links(vectors: DataFrame, link: float, overlap: int, most: int, levels: int) -> DataFrame:
     """Links a, b that span what the search finds, from kind, vec_id, embedding."""
     dealt = shards(vectors, overlap, most, levels)
-    lists = dealt.groupBy("kind", "shard").applyInArrow(_lists, "kind string, vec_id long, next array<long>")
+    lists = dealt.groupBy("kind", "shard").applyInArrow(_lists(link), "kind string, vec_id long, next array<long>")
     united = lists.groupBy("kind", "vec_id").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
     graph = written(dealt.join(united, ["kind", "vec_id"], "left").select("kind", "shard", "vec_id", "embedding", "next"), "graph")
     return written(graph.groupBy("kind", "shard").applyInArrow(_search(link), "a long, b long").distinct(), "found")
