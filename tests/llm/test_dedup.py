@@ -6,8 +6,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm import near_dedup
+from tidemark.llm import near_dedup, vector_links
 from tidemark.llm.components import components
 from tidemark.llm.exact_topk import top_products
 from tidemark.llm.near_dedup import near_duplicates
@@ -208,6 +209,25 @@ def test_linked_dense_groups_of_vectors_are_joined(spark):
     assert {v[1] for v in got.values()} == {0, 400, 1000, 1400}
 
 
+def test_labels_split_several_times_are_dealt_by_their_own_pivots(spark):
+    """Share of links found by production overlap before any retry; the third label holds shorter vectors."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k, d in enumerate((16, 16, 12)):
+        base = rng.normal(size=(400, d))
+        rows += [(10000 * k + i, (base[i % 400] + 0.1 * rng.normal(size=d)).tolist(), f"{k}/{d}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, kind string")
+    df = df.orderBy(F.xxhash64("vec_id"))  # kinds mixed in every slice
+    found = components(vector_links._links(df, 0.93, 4, 100, 6))
+    have = vector_links._counts(df, found, 0.93, 2048).agg(F.sum("n_links")).first()[0]
+    due = 0
+    for k in {r[2] for r in rows}:
+        x = np.array([r[1] for r in rows if r[2] == k], np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        due += int((x @ x.T >= 0.93).sum()) - len(x)
+    assert 0.95 * due <= have <= due
+
+
 def test_vector_tables_without_rows(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert near_vectors(none).count() == 0 and top_products(none).count() == 0

@@ -55,14 +55,14 @@ def _deal(members: DataFrame, pivots: DataFrame, overlap: int) -> DataFrame:
         for big in batches:
             for at in range(0, big.num_rows, 1024):
                 batch = big.slice(at, 1024)
-                x = _unit(batch.column(2))
                 shard = batch.column(3).to_numpy()
+                _, kind = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
                 out_row, out_shard, out_near = [], [], []
-                for s in np.unique(shard):
-                    rows = np.flatnonzero(shard == s)
+                for k, s in np.unique(np.stack([kind, shard], 1), axis=0):  # shards of other kinds have the same numbers
+                    rows = np.flatnonzero((kind == k) & (shard == s))
                     own = batch.column(4)[int(rows[0])].values
                     p = _unit(own)
-                    near = x[rows] @ p.T
+                    near = _unit(batch.column(2).take(pa.array(rows))) @ p.T
                     best = np.argsort(-near, axis=1, kind="stable")[:, :overlap]
                     out_row.append(np.repeat(rows, best.shape[1]))
                     out_shard.append((s * 131 + 1 + best).ravel())
