@@ -228,6 +228,27 @@ def test_labels_split_several_times_are_dealt_by_their_own_pivots(spark):
     assert 0.95 * due <= have <= due
 
 
+def test_audit_sees_lost_links_of_few_vectors(spark):
+    """2 % of vectors have links, and those of half of the pairs are lost."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 24))
+    x[1:80:2] = x[0:80:2]
+    vectors = spark.createDataFrame([("k", i, v.tolist()) for i, v in enumerate(x)], "kind string, vec_id long, embedding array<float>")
+    counts = spark.createDataFrame([(i, 1) for i in range(40)], "vec_id long, n_links long")
+    assert 0.4 <= vector_links.audit(vectors, counts, 0.93) <= 0.6
+
+
+def test_all_pairs_are_compared_when_the_last_overlap_misses_the_target(spark, monkeypatch):
+    rows = vectors(250, 0)
+    monkeypatch.setattr(vector_links, "audit", lambda *_: 0.0)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    real = vector_links._links
+    # Every graph but one of all pairs loses all links.
+    monkeypatch.setattr(vector_links, "_links", lambda v, link, overlap, most, levels: real(v, link, overlap, most, levels) if not levels else v.sparkSession.createDataFrame([], "a long, b long"))
+    got = {r["vec_id"]: tuple(r)[1:] for r in near_vectors(df, overlap=64, most=60).collect()}
+    assert got == links_literally(rows)
+
+
 def test_vector_tables_without_rows(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert near_vectors(none).count() == 0 and top_products(none).count() == 0

@@ -10,8 +10,8 @@ precision.  Links leave a shard as a spanning forest.  Then every pair within a
 where the component is large, which finds links that no shard held and counts each link once; no pair leaves its
 task, only counts do.
 
-``audit`` compares the links of a bounded sample, half of it vectors with links, with brute force; when its recall
-is below ``target`` the graph is built again with twice the overlap.
+``audit`` compares the links of a sample with brute force; when its recall is below ``target`` the graph is built
+again with twice the overlap, and after the last overlap all pairs of a label are compared.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label or
 vec_id, link with nothing and stay in the result (a null vec_id as its own component, null); vectors of another
@@ -331,19 +331,33 @@ def _counts(vectors: DataFrame, label: DataFrame, link: float, most: int) -> Dat
     return split.groupBy("label", "low", "high").applyInArrow(_verify(link), "vec_id long, n_links long").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
 
 
-def audit(vectors: DataFrame, counts: DataFrame, link: float, sample: int = 256) -> float:
-    """Share of the links of at most ``sample`` vectors that the search has found; 1 where they have none."""
-    some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample // 2)
-    linked = vectors.join(counts.where("n_links > 0").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample // 2).select("vec_id"), "vec_id", "left_semi")
-    picked = some.unionByName(linked).distinct().toArrow()
-    if not picked.num_rows:
-        return 1.0
-    by: dict[tuple[str, int], list[int]] = {}
-    rows = picked.column("embedding").combine_chunks()
-    kinds = picked.column("kind").to_pylist()
-    for i, k in enumerate(kinds):
-        by.setdefault(k, []).append(i)
-    own = {k: (np.array([picked.column("vec_id")[i].as_py() for i in v]), _unit(rows.take(pa.array(v)))) for k, v in by.items()}
+def audit(vectors: DataFrame, counts: DataFrame, link: float, enough: int = 256) -> float:
+    """Share of the links of sampled vectors that the search has found, of all links or as a mean over vectors, whichever is less; 1 where there are none.
+
+    The sample is drawn by hash whatever was found, and grows, to the whole table if need be, until brute force finds
+    links of ``enough`` of its vectors.
+    """
+    parts = vectors.count() // 1024 + 1
+    part = F.pmod(F.xxhash64("vec_id", F.lit("audit")), F.lit(parts))
+    n, share, due, have, at, width = 0, 0.0, 0, 0, 0, 1
+    while at < parts and n < enough:
+        picked = vectors.where((part >= at) & (part < at + width)).select("kind", "vec_id", "embedding").toArrow()
+        at, width = at + width, min(16, 2 * width)
+        if not picked.num_rows:
+            continue
+        rows, kinds = picked.column("embedding").combine_chunks(), np.array(picked.column("kind").to_pylist(), object)
+        ids = picked.column("vec_id").to_numpy()
+        own = {k: (ids[kinds == k], _unit(rows.take(pa.array(np.flatnonzero(kinds == k))))) for k in set(kinds.tolist())}
+        true = vectors.select("kind", "vec_id", "embedding").mapInArrow(_due(own, link), "vec_id long, due long").groupBy("vec_id").agg(F.sum("due").alias("due"))
+        both = true.join(counts.select("vec_id", F.col("n_links").alias("have")), "vec_id", "left").select("due", F.coalesce("have", F.lit(0)).alias("have"))
+        row = both.agg(F.count("*").alias("n"), F.sum(F.col("have") / F.col("due")).alias("share"), F.sum("due").alias("due"), F.sum("have").alias("have")).first()
+        if row["n"]:
+            n, share, due, have = n + row["n"], share + row["share"], due + row["due"], have + row["have"]
+    return min(share / n, have / due) if n else 1.0
+
+
+def _due(own: dict[str, tuple[np.ndarray, np.ndarray]], link: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How many of a batch's vectors each of ``own``, ids and unit vectors by kind, is linked with, where any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,13 +365,15 @@ def audit(vectors: DataFrame, counts: DataFrame, link: float, sample: int = 256)
             ids = batch.column(1).to_numpy()
             for k in set(kind.tolist()) & own.keys():
                 at = np.flatnonzero(kind == k)
-                near = own[k][1] @ _unit(batch.column(2).take(pa.array(at))).T >= link
-                near &= own[k][0][:, None] != ids[at][None, :]
-                yield pa.RecordBatch.from_arrays([pa.array(own[k][0]), pa.array(near.sum(1).astype(np.int64))], ["vec_id", "due"])
+                y = _unit(batch.column(2).take(pa.array(at)))
+                some, x = own[k]
+                for lo in range(0, len(some), 512):
+                    near = x[lo : lo + 512] @ y.T >= link
+                    near &= some[lo : lo + 512][:, None] != ids[at][None, :]
+                    n = near.sum(1).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(some[lo : lo + 512][n > 0]), pa.array(n[n > 0])], ["vec_id", "due"])
 
-    due = vectors.select("kind", "vec_id", "embedding").mapInArrow(run, "vec_id long, due long").groupBy("vec_id").agg(F.sum("due").alias("due"))
-    row = due.join(counts.select("vec_id", F.col("n_links").alias("have")), "vec_id", "left").agg(F.sum("due").alias("due"), F.sum(F.coalesce("have", F.lit(0))).alias("have")).first()
-    return 1.0 if not row["due"] else row["have"] / row["due"]
+    return run
 
 
 def near_vectors(rows: DataFrame, link: float = LINK, overlap: int = 4, most: int = 8192, levels: int = 6, target: float = 0.95) -> DataFrame:
@@ -370,9 +386,10 @@ def near_vectors(rows: DataFrame, link: float = LINK, overlap: int = 4, most: in
     while True:
         label = components(_links(vectors, link, overlap, most, levels))
         counts = written(_counts(vectors, label, link, most // 4), "counts")
-        if overlap >= 64 or audit(vectors, counts, link) >= target:
+        if not levels or audit(vectors, counts, link) >= target:
             break
-        overlap *= 2
+        # Without levels each pair of blocks of a label is a shard, so that all pairs of the label are compared.
+        overlap, levels = (2 * overlap, levels) if overlap < 64 else (overlap, 0)
     out = rows.select("vec_id").join(counts, "vec_id", "left").join(label, F.col("vec_id") == F.col("v"), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
