@@ -108,6 +108,15 @@ def test_terms_that_give_an_entity_away_are_generalised(spark):
     assert "zed@corp.com" not in texts[1] and "orblax" not in texts[1] and "[EMAIL]" in texts[1] and texts[12] == rows[6][1]
 
 
+def test_a_term_far_from_an_entity_of_two_documents_is_generalised(spark):
+    filler = " ".join(f"about tea and the {'weather rain'.split()[i % 2]} today" for i in range(20))
+    rows = [(i, f"Zorblax began. {filler} write to zed@corp.com") for i in range(2)]
+    rows += [(10 + i, f"someone began. {filler} write {i}") for i in range(400)]
+    texts = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert texts[0] == texts[1] == f"[TERM] began. {filler} write to [EMAIL]"
+    assert texts[10] == rows[2][1]
+
+
 def test_odd_rows_of_personal_data(odd, none):
     assert pii.digests(odd).count() == 11 and pii.digests(none).count() == 0 and pii.sanitise(none).count() == 0
     got = pii.sanitise(odd)

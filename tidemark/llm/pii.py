@@ -1,11 +1,11 @@
 """Personal data and the terms that give it away, by DataFrame functions alone.
 
 Four kinds of personal data are found by patterns and checks.  Then the corpus says how strongly terms reveal the
-entities found: for a term t in the surroundings of an entity e, the pointwise mutual information
-log(p(t, e) / (p(t) p(e))) is set against the entity's own information -log p(e), with probabilities from counts
+entities found: for a term t anywhere in a document with an entity e, the pointwise mutual information
+log(p(t | e) / p(t)) is set against the entity's own information -log p(e), with probabilities from counts
 over all documents.  From a share ``disclose`` of it the term is a disclosure, and is generalised wherever it
-stands in a document with the entity; from a share ``remove`` it is removed.  Entities and pairs in fewer than
-``support`` documents are left out, as a single document says nothing about either.
+stands in a document with the entity; from a share ``remove`` it is removed.  As few documents say little about
+p(t | e), it is drawn towards p(t) as if ``prior`` further documents had the entity and words as any document has.
 
 Cases: a null or empty text has no spans; a null doc_id has base spans but no terms; rows that repeat with their
 doc_id and text give equal rows; texts that differ under one doc_id are judged apart; spans of different kinds may
@@ -34,8 +34,6 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Characters before and behind an entity whose words are its surroundings.
-AROUND = 100
 SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint>"
 
 
@@ -72,14 +70,12 @@ def _places(text: Column, pattern: Column) -> Column:
 def _found(kind: str, text: Column) -> Column:
     rank = KINDS.index(kind)
     places = F.filter(F.when(_may(kind, text), _places(text, F.lit(PATTERNS[kind]))), lambda p: _fits(kind, p["value"]))
-    left = lambda p: F.regexp_replace(F.substring(text, F.greatest(p["start"] - AROUND + 1, F.lit(1)).cast("int"), F.least(p["start"], F.lit(AROUND)).cast("int")), r"^\p{L}+", "")
-    right = lambda p: F.regexp_replace(F.substring(text, (p["end"] + 1).cast("int"), F.lit(AROUND)), r"\p{L}+$", "")
-    whole = F.transform(places, lambda p: F.struct(p["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), p["end"].alias("end"), F.lower(p["value"]).alias("value"), F.concat_ws(" ", left(p), right(p)).alias("around")))
-    return F.coalesce(whole, F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string,around:string>>"))
+    whole = F.transform(places, lambda p: F.struct(p["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), p["end"].alias("end"), F.lower(p["value"]).alias("value")))
+    return F.coalesce(whole, F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"))
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, hash of the text, and base: all base spans with values and surroundings, by start and kind."""
+    """doc_id, hash of the text, and base: all base spans with values, by start and kind."""
     text = F.coalesce("text", F.lit(""))
     spans = F.array_sort(F.concat(*(_found(k, text) for k in KINDS)))
     return docs.select("doc_id", F.xxhash64("text").alias("hash"), spans.alias("base"))
@@ -89,27 +85,26 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
 
 
-def disclosures(docs: DataFrame, found: DataFrame, disclose: float, support: int) -> DataFrame:
+def disclosures(docs: DataFrame, found: DataFrame, disclose: float, prior: float) -> DataFrame:
     """kind, value, word and share: how much of the entity's information each word gives, where it is ``disclose`` or more."""
-    seen = found.where(F.col("doc_id").isNotNull()).select("doc_id", F.inline("base")).select("doc_id", "kind", "value", "around")
-    own = seen.groupBy("kind", "value").agg(F.count_distinct("doc_id").alias("of_entity")).where(F.col("of_entity") >= support)
-    pairs = seen.select("doc_id", "kind", "value", F.explode(_words(F.col("around"))).alias("word")).distinct()
-    pairs = pairs.groupBy("kind", "value", "word").agg(F.count("*").alias("of_both")).where(F.col("of_both") >= support)
-    pairs = written(pairs.join(own, ["kind", "value"]), "pairs")
-    if not pairs.limit(1).count():
-        return pairs.select("kind", "value", "word", F.lit(0.0).alias("share"))
+    seen = found.where(F.col("doc_id").isNotNull() & (F.size("base") > 0)).select("doc_id", "hash", F.inline("base")).select("doc_id", "hash", "kind", "value").distinct()
+    own = seen.groupBy("kind", "value").agg(F.count_distinct("doc_id").alias("of_entity"))
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("hash"), _words(F.col("text")).alias("words"))
+    pairs = texts.join(seen, ["doc_id", "hash"]).select("doc_id", "kind", "value", F.explode("words").alias("word")).distinct()
+    pairs = pairs.groupBy("kind", "value", "word").agg(F.count("*").alias("of_both")).join(own, ["kind", "value"])
     total = docs.count()
     words = docs.where("text is not null").select(F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("of_word"))
-    known = F.log2(F.col("of_both") * F.lit(float(total)) / (F.col("of_word") * F.col("of_entity")))
+    general = F.col("of_word") / F.lit(float(max(total, 1)))
+    known = F.log2((F.col("of_both") + prior * general) / (F.col("of_entity") + prior) / general)
     share = F.when(F.col("of_entity") < total, known / F.log2(F.lit(float(total)) / F.col("of_entity"))).otherwise(0.0)
     return pairs.join(words, "word").select("kind", "value", "word", share.alias("share")).where(F.col("share") >= disclose)
 
 
-def spans(docs: DataFrame, disclose: float = 0.95, remove: float = 0.999, support: int = 3) -> DataFrame:
+def spans(docs: DataFrame, disclose: float = 0.95, remove: float = 0.999, prior: float = 0.5) -> DataFrame:
     """doc_id, hash, base and terms: arrays of spans; a term's value says whether it is to be removed ("") or generalised ("[TERM]")."""
     docs = docs.select("doc_id", "text")
     found = written(find(docs), "found")
-    told = written(disclosures(docs, found, disclose, support), "told")
+    told = written(disclosures(docs, found, disclose, prior), "told")
     if not told.limit(1).count():
         return found.withColumn("terms", F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"))
     have = found.where(F.col("doc_id").isNotNull()).select("doc_id", "hash", F.inline("base")).select("doc_id", "hash", "kind", "value").distinct()
