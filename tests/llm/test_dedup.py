@@ -117,6 +117,16 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == link_literally(rows)
 
 
+def test_a_repeated_document_is_held_against_the_other_of_its_pair(spark):
+    rows = []
+    for i in range(20):  # similarity 0.6, and the smaller doc_id occurs twice
+        words = [f"w{i}x{k}" for k in range(100)]
+        other = words[:76] + [f"y{i}x{k}" for k in range(24)]
+        rows += [(2 * i, " ".join(words)), (2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 60 and {r["doc_id"]: tuple(r)[1:] for r in got} == link_literally(rows)
+
+
 def test_large_nodes_branch_and_end_in_blocks(spark, monkeypatch):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(90)]

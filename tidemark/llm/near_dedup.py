@@ -298,19 +298,24 @@ def _exhaustive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a, b, text, two for each pair, in order, to a, b, linked."""
-    held: tuple[int, int, str] | None = None
+    """Rows of a, b, doc_id, text in order, those of a before those of b, to a, b, linked, for each two texts of a and b."""
+    pair: tuple[int, int] | None = None
+    left: dict[str, None] = {}
+    right: set[str] = set()
     for batch in batches:
-        a, b, text = (batch.column(i).to_pylist() for i in range(3))
+        a, b, doc, text = (batch.column(i).to_pylist() for i in range(4))
         out: list[tuple[int, int]] = []
         sides: list[str] = []
-        for row in zip(a, b, text, strict=True):
-            if held is not None and held[:2] == row[:2]:
-                out.append(row[:2])
-                sides += [held[2], row[2]]
-                held = None
-            else:
-                held = row
+        for *own, of, t in zip(a, b, doc, text, strict=True):
+            if pair != tuple(own):
+                pair, left, right = (own[0], own[1]), {}, set()
+            if of == pair[0]:
+                left[t] = None
+            elif t not in right:
+                right.add(t)
+                for x in left:
+                    out.append(pair)
+                    sides += [x, t]
         linked = []
         for at in range(0, len(sides), 64):
             sets = _texts_to_sets(sides[at : at + 64])
@@ -324,7 +329,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sides = pairs.select(F.col("a").alias("doc_id"), "a", "b").unionByName(pairs.select(F.col("b").alias("doc_id"), "a", "b"))
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(sides.hint("merge"), "doc_id").select("a", "b", "doc_id", "text")
-    return texts.repartition("a", "b").sortWithinPartitions("a", "b", "doc_id").select("a", "b", "text").mapInArrow(_confirm, "a long, b long, linked boolean")
+    return texts.repartition("a", "b").sortWithinPartitions("a", "b", "doc_id").select("a", "b", "doc_id", "text").mapInArrow(_confirm, "a long, b long, linked boolean")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -343,7 +348,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = written(named.groupBy("path").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("path"), "apart")
     named = written(named.join(apart, "path"), "open")
     if named.limit(1).count():
-        texts = docs.join(named.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id").select("doc_id", "text")
+        texts = docs.join(named.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id").select("doc_id", "text").distinct()
         full = arrow_map(texts, _full_sets, "rep long, shingles binary", rows=128)
         rows = named.join(full, "rep").select("path", "rep", "n", "sketch", "label", "shingles")
         more = written(rows.repartition(F.col("path")).sortWithinPartitions("path").mapInArrow(_exhaustive, "a long, b long").distinct(), "links")
