@@ -207,3 +207,21 @@ def test_streaming_rejects_what_is_late_and_leaves_its_state(spark, tmp_path):
     stream = ST.rate_limited(spark, schema, str(tmp_path / "files"), 1)
     got = {r["txn_id"]: (r["late"], r["card__count_all"]) for r in ST.replay(ST.stateful(stream, spec), "late").collect()}
     assert got == {1: (False, 0.0), 2: (False, 0.0), 3: (True, None), 4: (False, 0.0), 5: (False, 3.0)}
+
+
+def test_adversarial_validation_takes_as_many_rows_as_the_operator(spark, monkeypatch):
+    import inspect
+
+    from tidemark import queries
+
+    bound, seen = inspect.signature(queries.X.adversarial), {}
+
+    def held(*a, **b):
+        args = bound.bind(*a, **b)
+        args.apply_defaults()
+        seen.update(args.arguments)
+        return 0.5, {"amount": 1.0}
+
+    monkeypatch.setattr(queries, "_halves", lambda *_: (None, None))
+    monkeypatch.setattr(queries.X, "adversarial", held)
+    assert queries.adversarial_validation(spark, "").count() == 2 and seen["n"] == 200_000

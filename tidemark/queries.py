@@ -681,7 +681,7 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("adversarial_validation")
 def adversarial_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref, cur = _halves(spark, sf_dir)
-    auc, gain = X.adversarial(ref, cur, ["amount", "p", "merchant_id"], n=2000)
+    auc, gain = X.adversarial(ref, cur, ["amount", "p", "merchant_id"])
     return spark.createDataFrame([("auc", auc), *gain.items()], "name string, value double")
 
 
