@@ -124,6 +124,12 @@ def test_odd_rows_of_personal_data(odd, none):
     assert {r["doc_id"]: r["text"] for r in got.collect()}[6] == "naïve é漢🙂 [EMAIL] [IP] idiot"
 
 
+def test_personal_data_of_rows_with_a_null_id_are_masked(spark):
+    rows = [(None, "write to a@b.cc"), (None, "from 1.2.3.4"), (None, "tea"), (None, None), (1, "a@b.cc")]
+    got = [tuple(r) for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, "write to [EMAIL]"), (None, "from [IP]"), (None, "tea"), (None, None), (1, "[EMAIL]")], key=str)
+
+
 def test_labeller_on_pages_it_has_not_seen():
     model, rng = H.trained(), random.Random(12345)
     made = [H.made_page(rng) for _ in range(200)]

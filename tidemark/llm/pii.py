@@ -154,5 +154,5 @@ def sanitise(docs: DataFrame, **parameters: float) -> DataFrame:
     names = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"))
     marks = marks.withColumnsRenamed({"doc_id": "of", "hash": "key"})
-    joined = rows.join(marks, (F.col("row.doc_id") == F.col("of")) & (F.xxhash64("row.text") == F.col("key")), "left")
+    joined = rows.join(marks, F.col("row.doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("row.text") == F.col("key")), "left")
     return joined.select(*(F.when(F.col("marks").isNotNull(), done).otherwise(text).alias("text") if n == "text" else F.col(f"row.`{n}`") for n in names))
