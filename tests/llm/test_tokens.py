@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from tidemark.llm.packing import SumOfSquares, WordTokens, pack
+from tidemark.llm.packing import SumOfSquares, WordTable, WordTokens, pack
 from tidemark.llm.sentence_pieces import PieceCodec, decode_ids, encode_digests, encode_texts
 from tidemark.llm.token_counts import PrefixCounter, count_tokens, prefix_tables, truncate_texts
 
@@ -53,13 +53,26 @@ def test_pieces_equal_the_library(path):
 
 def test_words_equal_the_library(path):
     own, lib = WordTokens(path("word_bpe_49k.json")), Tokenizer.from_file(path("word_bpe_49k.json"))
-    texts = odd_texts(1500, 4, "ΣİǺ̇ß")
+    rng = random.Random(5)
+    texts = odd_texts(1500, 4, "ΣİǺ̇ßÉéÀ×÷") + ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCéÉß019.,-'") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
     flat, ends = own.ids(pa.array([*texts, None]))
     for i, t in enumerate(texts):
         assert flat[ends[i] : ends[i + 1]].tolist() == lib.encode(t, add_special_tokens=False).ids
     assert ends[-1] == ends[-2]
 
 
+def test_words_that_are_forgotten_or_clash(path):
+    own, few = WordTokens(path("word_bpe_49k.json")), WordTokens(path("word_bpe_49k.json"), remember=50)
+    texts = [f"word{i % 700} x{i} café" for i in range(2000)]
+    want = own.ids(pa.array(texts))
+    got = [few.ids(pa.array(texts[i : i + 100])) for i in range(0, 2000, 100)]
+    assert np.concatenate([g[0] for g in got]).tolist() == want[0].tolist()
+    table = WordTable(np.uint16)
+    key, check = np.array([5, 5, 1 << 16 | 5, 7], np.uint64), np.array([1, 2, 1, 1], np.uint32)
+    table.add(key, check, np.array([1, 2, 0, 1]), np.array([9, 8, 7, 6]))
+    assert table.find(key, check).tolist() == [0, 1, 2, 3] and table.find(key, check + np.uint32(5)).tolist() == [-1] * 4
+
+
 @pytest.mark.parametrize("lengths", [[2049] * 400, [1] * 500, [4095, 1] * 100, list(range(1, 600))])
 def test_windows_hold_every_id_once(lengths):
     packer, done = SumOfSquares(4096, most_open=50), []

@@ -14,91 +14,243 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.textutil import SLICE_ROWS, crc_of, small_batches, split_words
+from tidemark.llm.substring_dedup import Hashes
+from tidemark.llm.textutil import SLICE_ROWS, crc_of, mix64, small_batches, words_as_bytes
 
 #: (document, start in it, ids, tokens of the document)
 Piece = tuple["int | None", int, np.ndarray, int]
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Pieces up to so many bytes are merged here; the rank of a pair that doesn't merge.
+LONGEST, NEVER = 24, np.iinfo(np.int32).max
+LETTER, DIGIT, SIGN, FOREIGN = range(4)
+#: Classes of bytes.  Apostrophes and what special strings begin with are left to the library, as is what isn't ASCII.
+CLASS = np.full(256, FOREIGN, np.uint8)
+CLASS[0x21:0x7F] = SIGN
+CLASS[[ord(c) for c in "'<"]] = FOREIGN
+CLASS[0x30:0x3A] = DIGIT
+CLASS[0x41:0x5B] = CLASS[0x61:0x7B] = LETTER
+
+
+def _byte_chars() -> list[str]:
+    """The character that stands for each byte: itself where it can be seen, else the next from U+0100 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(0x100, 0x200))
+    return [chr(b if b in seen else next(hidden)) for b in range(256)]
+
+
+def byte_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits, never zero, and 32 bits of each run of bytes."""
+    values = mix64(np.arange(256, dtype=np.uint64))[data]
+    key = Hashes(values).of(ends[:-1], ends[1:])
+    check = Hashes(values, 0xD1342543DE82EF95).of(ends[:-1], ends[1:])
+    return key | (key == 0), (check >> np.uint64(32)).astype(np.uint32)
+
+
+class WordTable:
+    """Ids of words by two hashes of them, in arrays: an open-addressed table, about 50 bytes a word."""
+
+    def __init__(self, kind: type) -> None:
+        self.bits, self.n, self.used = 16, 0, 0
+        self.key, self.slot = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.check, self.size, self.start = np.zeros(1 << 15, np.uint32), np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int64)
+        self.flat = np.zeros(1 << 17, kind)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The slot of each word, -1 where it isn't known."""
+        out = np.full(len(key), -1, np.int64)
+        mask = np.uint64((1 << self.bits) - 1)
+        left, at = np.arange(len(key)), key & mask
+        while len(left):
+            there, slot = self.key[at], self.slot[at]
+            hit = (there == key[left]) & (self.check[slot] == check[left])
+            out[left[hit]] = slot[hit]
+            go = ~hit & (there != 0)
+            left, at = left[go], (at[go] + np.uint64(1)) & mask
+        return out
+
+    def _place(self, key: np.ndarray, slot: np.ndarray) -> None:
+        mask = np.uint64((1 << self.bits) - 1)
+        left, at = np.arange(len(key)), key & mask
+        while len(left):
+            free = self.key[at] == 0
+            self.key[at[free]] = key[left[free]]
+            self.slot[at[free]] = slot[left[free]]
+            go = (self.key[at] != key[left]) | (self.slot[at] != slot[left])  # of several for one place the last has it
+            left, at = left[go], (at[go] + np.uint64(1)) & mask
+
+    def add(self, key: np.ndarray, check: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        """New words, the ids of each behind those of the one before."""
+        while self.n + len(key) > len(self.size):
+            self.check, self.size, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.check, self.size, self.start))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        own = slice(self.n, self.n + len(key))
+        self.check[own], self.size[own], self.start[own] = check, size, self.used + np.cumsum(size) - size
+        self.flat[self.used : self.used + len(flat)] = flat
+        if 2 * (self.n + len(key)) > 1 << self.bits:
+            old, slots = self.key, self.slot
+            while 2 * (self.n + len(key)) > 1 << self.bits:
+                self.bits += 1
+            self.key, self.slot = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._place(old[old != 0], slots[old != 0])
+        self._place(key, np.arange(self.n, self.n + len(key), dtype=np.int32))
+        self.n, self.used = self.n + len(key), self.used + len(flat)
+
+
 class WordTokens:
-    """Ids of texts by a ``tokenizers`` file whose pieces never hold white space, so that words can be remembered."""
+    """Ids of texts by a ``tokenizers`` file whose pieces never hold white space, so that words can be remembered.
 
-    def __init__(self, path: str, remember: int = 690_000) -> None:
+    Words of ASCII and the letters U+00C0 to U+00FF are cut into pieces and merged here, many words at once; all
+    others, and pieces longer than ``LONGEST`` bytes, go to the library.
+    """
+
+    def __init__(self, path: str, remember: int = 1_500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model, self.remember = Tokenizer.from_file(path), remember
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        mark = spec["model"]["end_of_word_suffix"]
-        self.is_end = np.zeros(1 + max(self.model.get_vocab().values()), bool)
-        self.is_end[[i for t, i in self.model.get_vocab().items() if t.endswith(mark)]] = True
-        # Words of these characters, without special strings, keep their split when lower-cased: many go to the library in one text.
-        self.plain = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+").fullmatch
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+            spec = json.load(f)["model"]
+        vocab, end = spec["vocab"], spec["end_of_word_suffix"]
+        self.kind = np.uint16 if max(self.model.get_vocab().values()) < 1 << 16 else np.uint32
+        chars = _byte_chars()
+        self.first, self.last = (np.array([vocab[c + e] for c in chars], np.int32) for e in ("", end))
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["merges"]]
+        left, right = (np.array([vocab[p[i]] for p in pairs], np.uint64) for i in (0, 1))
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        # Ranks of pairs in an open-addressed table: places by a multiplied key.
+        self.bits = 2 + len(pairs).bit_length()
+        self.pair, self.rank = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, NEVER, np.int32)
+        key = (left << np.uint64(32) | right) + np.uint64(1)
+        todo, at = np.arange(len(key)), self._spot(key)
+        while len(todo):
+            free = self.pair[at] == 0
+            self.pair[at[free]], self.rank[at[free]] = key[todo[free]], todo[free]
+            go = self.pair[at] != key[todo]
+            todo, at = todo[go], (at[go] + 1) & ((1 << self.bits) - 1)
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.size, self.start = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
-
-    def learn(self, words: list[str]) -> None:
-        plain, rest = [], []
-        for w in words:
-            (plain if w.isascii() and w.isalpha() or self.plain(w) else rest).append(w)
-        for at in range(0, len(plain), 256):
-            part = plain[at : at + 256]
-            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            pieces = np.cumsum([1 if w.isalpha() else len(self.split(w.lower())) for w in part])
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) != pieces[-1]:
-                rest += part
+        self.table = WordTable(self.kind)
+
+    def _spot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, NEVER where they don't merge."""
+        key = ((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)) + np.uint64(1)
+        at = self._spot(key)
+        there = self.pair[at]
+        out = np.where(there == key, self.rank[at], NEVER)
+        left_over = np.flatnonzero((there != key) & (there != 0))
+        at = at[left_over]
+        while len(left_over):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            there = self.pair[at]
+            hit = there == key[left_over]
+            out[left_over[hit]] = self.rank[at[hit]]
+            go = ~hit & (there != 0)
+            left_over, at = left_over[go], at[go]
+        return out
+
+    def merged(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of one to LONGEST bytes, padded by -1, and how many each has: the best pair first, the leftmost of equals."""
+        ids, count = np.full((len(start), LONGEST), -1, np.int32), size.astype(np.int32).copy()
+        order = np.argsort(size, kind="stable")
+        cuts = np.searchsorted(size[order], np.arange(1, LONGEST + 2))
+        for n in range(1, LONGEST + 1):
+            rows = order[cuts[n - 1] : cuts[n]]
+            if not len(rows):
                 continue
-            ends = ends[pieces - 1]
-            self.store(part, np.diff(ends, prepend=0), ids)
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            each = [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(part, add_special_tokens=False)]
-            self.store(part, np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each))
-
-    def store(self, part: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
-        n = len(self.slot)
-        while n + len(part) > len(self.size):
-            self.size, self.start = np.concatenate([self.size, np.zeros_like(self.size)]), np.concatenate([self.start, np.zeros_like(self.start)])
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.size[n : n + len(part)] = sizes
-        self.start[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.slot.update(zip(part, range(n, n + len(part)), strict=True))
+            s = self.first[data[start[rows][:, None] + np.arange(n)]]
+            s[:, -1] = self.last[data[start[rows] + n - 1]]
+            r = self.ranks(s[:, :-1].ravel(), s[:, 1:].ravel()).reshape(len(rows), n - 1)
+            for width in range(n, 1, -1):
+                k = r.argmin(1)
+                best = r[np.arange(len(r)), k]
+                stop = best == NEVER
+                if stop.any():
+                    ids[rows[stop], :width], count[rows[stop]] = s[stop], width
+                    rows, s, r, k, best = rows[~stop], s[~stop], r[~stop], k[~stop], best[~stop]
+                    if not len(rows):
+                        break
+                row = np.arange(len(rows))
+                s[row, k + 1] = self.made[best]
+                keep = np.ones(s.shape, bool)
+                keep[row, k] = False
+                s = s[keep].reshape(-1, width - 1)
+                keep = keep[:, :-1]
+                if width > 2:
+                    r = r[keep].reshape(-1, width - 2)
+                    inner = np.flatnonzero(k > 0)
+                    r[inner, k[inner] - 1] = self.ranks(s[inner, k[inner] - 1], s[inner, k[inner]])
+                    inner = np.flatnonzero(k < width - 2)
+                    r[inner, k[inner]] = self.ranks(s[inner, k[inner]], s[inner, k[inner] + 1])
+                else:
+                    r = r[:, :0]
+            if len(rows):
+                ids[rows, :1], count[rows] = s[:, :1], 1
+        return ids, count
+
+    def learn(self, data: np.ndarray, ends: np.ndarray, which: np.ndarray, key: np.ndarray, check: np.ndarray) -> None:
+        """Learns the words ``which`` of those that ``ends`` cuts ``data`` into."""
+        size = np.diff(ends)[which]
+        word = np.repeat(np.arange(len(which)), size)
+        at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+        own = data[np.repeat(ends[:-1][which], size) + at]
+        kind = CLASS[own]
+        lead = np.zeros(len(own), bool)  # of two bytes that are one letter
+        lead[:-1] = (own[:-1] == 0xC3) & (own[1:] >= 0x80) & (own[1:] < 0xC0) & (own[1:] != 0x97) & (own[1:] != 0xB7)
+        tail = np.zeros(len(own), bool)
+        tail[1:] = lead[:-1]
+        kind[lead | tail] = LETTER
+        lower = own + 32 * ((own >= 65) & (own <= 90) | tail & (own < 0x9F)).astype(np.uint8)
+        cut = np.ones(len(own), bool)
+        cut[1:] = (at[1:] == 0) | (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        starts = np.flatnonzero(cut)
+        lengths = np.diff(starts, append=len(own))
+        odd = np.zeros(len(which), bool)
+        odd[word[kind == FOREIGN]] = True
+        odd[word[starts[lengths > LONGEST]]] = True
+        use = ~odd[word[starts]]
+        starts, lengths = starts[use], lengths[use]
+        ids, count = self.merged(lower, starts, lengths)
+        plain = np.flatnonzero(~odd)
+        per_word = np.bincount(word[starts], count, len(which)).astype(np.int64)[plain]
+        self.table.add(key[which[plain]], check[which[plain]], per_word, ids[np.arange(LONGEST) < count[:, None]])
+        odd_ones = which[odd]
+        for lo in range(0, len(odd_ones), 4096):
+            part = odd_ones[lo : lo + 4096]
+            texts = [data[ends[i] : ends[i + 1]].tobytes().decode("utf-8") for i in part]
+            each = [np.array(e.ids, self.kind) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+            self.table.add(key[part], check[part], np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each))
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind one another, and where each text starts and the last ends."""
-        words, codes, offsets = split_words(column)
-        if len(self.slot) + len(words) > self.remember:
+        data, ends, codes, offsets = words_as_bytes(column)
+        key, check = byte_hashes(data, ends)
+        if self.table.n + len(key) > self.remember:
             self.forget()
-        slots = np.fromiter((self.slot.get(w, -1) for w in words), np.int64, len(words))
+        slots = self.table.find(key, check)
         if len(new := np.flatnonzero(slots < 0)):
-            self.learn([words[i] for i in new])
-            slots[new] = np.fromiter((self.slot[words[i]] for i in new), np.int64, len(new))
-        slots = slots[codes]
-        sizes = self.size[slots]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        at = np.repeat(self.start[slots] - ends[:-1], sizes) + np.arange(ends[-1])
-        return self.flat[at], ends[offsets]
+            for lo in range(0, len(new), 1 << 15):
+                self.learn(data, ends, new[lo : lo + (1 << 15)], key, check)
+            slots[new] = self.table.find(key[new], check[new])
+        sizes = self.table.size[slots][codes]
+        out = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        at = np.repeat(self.table.start[slots][codes] - out[:-1], sizes) + np.arange(out[-1])
+        return self.table.flat[at].astype(np.uint32), out[offsets]
 
 
 @lru_cache(maxsize=1)
@@ -167,11 +319,11 @@ class SumOfSquares:
         return done
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = 4096, with_ids: bool = False, remember: int = 690_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = 4096, with_ids: bool = False, remember: int = 1_500_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
 
     A document is its text's ids and then ``end_id``.  ``sequence_id`` holds the task's number and a count within it.
-    ``remember`` bounds the words whose ids a worker keeps, about 200 bytes each.
+    ``remember`` bounds the words whose ids a worker keeps, about 50 bytes each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,6 +71,18 @@ def split_words(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words, codes, offsets
 
 
+def words_as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``split_words``, but the distinct words as bytes behind one another and where each starts and the last ends; a word may be empty."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+    coded = lists.flatten().dictionary_encode()
+    known = coded.dictionary.cast(pa.large_string())
+    _, ends, data = known.buffers()
+    ends = np.frombuffer(ends, np.int64)[: len(known) + 1] if len(known) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[: ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return data, ends, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets - offsets[0]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64 on unsigned 64-bit integers."""
     with np.errstate(over="ignore"):
