@@ -187,7 +187,7 @@ def test_rewriting_in_pieces_equals_rewriting_whole(spark):
         rows.append((f"{i} {text}", sanitised(f"{i} {text}", [(a + len(f"{i} "), b + len(f"{i} "), by) for a, b, by in dict((c[:2], c) for c in cuts).values()])))
         marks += [(rows[-1][0], a + len(f"{i} "), b + len(f"{i} "), by) for a, b, by in dict((c[:2], c) for c in cuts).values()]
     docs = spark.createDataFrame([r[:1] for r in rows], "text string")
-    got = pii._rewritten(docs, spark.createDataFrame(marks, "text string, start long, end long, by string").select(F.xxhash64("text").alias("hash"), "start", "end", "by"))
+    got = pii._rewritten(docs.select("text", F.xxhash64("text").alias("hash")), spark.createDataFrame(marks, "text string, start long, end long, by string").select(F.xxhash64("text").alias("hash"), "start", "end", "by"))
     new = {r["hash"]: r["text"] for r in got.collect()}
     for r in docs.select("text", F.xxhash64("text").alias("hash")).collect():
         want = dict(rows)[r["text"]]

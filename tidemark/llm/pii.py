@@ -104,10 +104,15 @@ def _found(kind: str, text: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, hash of the text, and base: all base spans with values, by start and kind."""
+    """doc_id, hash of the text, base: all base spans with values, by start and kind; and the text where there are any, so that no others move."""
     text = F.coalesce("text", F.lit(""))
     spans = F.array_sort(F.concat(*(_found(k, text) for k in KINDS)))
-    return docs.select("doc_id", F.xxhash64("text").alias("hash"), spans.alias("base"))
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), spans.alias("base"), "text").withColumn("text", F.when(F.size("base") > 0, F.col("text")))
+
+
+def _own(found: DataFrame) -> DataFrame:
+    """hash, copies, base and text of the different texts with base spans."""
+    return found.where(F.size("base") > 0).groupBy("hash").agg(F.count("*").alias("copies"), F.first("base").alias("base"), F.first("text").alias("text"))
 
 
 def _words(text: Column) -> Column:
@@ -121,9 +126,8 @@ def _marks(weight: Column) -> list[Column]:
     return [part(1).alias("x"), part(2).alias("y")]
 
 
-def disclosures(docs: DataFrame, found: DataFrame, disclose: float, remove: float, share: float, prior: float) -> DataFrame:
+def disclosures(docs: DataFrame, own: DataFrame, disclose: float, remove: float, share: float, prior: float) -> DataFrame:
     """hash of a text, word of it that discloses an entity of the text, and whether the word is to be removed."""
-    own = written(found.where(F.size("base") > 0).groupBy("hash").agg(F.count("*").alias("copies"), F.first("base").alias("base")), "own")
     seen = own.select("hash", "copies", F.inline("base")).select("hash", "copies", "kind", "value").distinct()
     least = 2.0**-disclose
     fewest = math.ceil(prior * least / (1 - least))
@@ -136,14 +140,13 @@ def disclosures(docs: DataFrame, found: DataFrame, disclose: float, remove: floa
     words = texts.select("hash", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *_marks(F.lit(1)))
     # Of each text with such an entity, the words that aren't much more frequent than its most frequent entity.
     most = held.groupBy("hash").agg(F.max("copies").alias("copies"), F.max("e.n").alias("most"))
-    chosen = docs.where("text is not null").select(F.xxhash64("text").alias("hash"), "text").join(most, "hash").groupBy("hash").agg(F.first("text").alias("text"), F.first("copies").alias("copies"), F.first("most").alias("most"))
-    stands = chosen.select("hash", "copies", "most", F.explode(_words(F.col("text"))).alias("word")).join(words, "word")
+    stands = own.select("hash", "text").join(most, "hash").select("hash", "copies", "most", F.explode(_words(F.col("text"))).alias("word")).join(words, "word")
     stands = written(stands.where((F.col("n") * least <= F.col("most")) & (F.col("n") >= fewest)).select("hash", "copies", "word", F.struct("n", "x", "y").alias("w")), "stands")
     sets = stands.select("hash", "copies", "w").distinct()
     both = sets.join(held.drop("copies"), "hash").where(F.col("w.n") * least <= F.col("e.n"))
     both = both.groupBy("e", "w").agg(F.sum("copies").alias("n"), F.count("*").alias("texts"))
     given = F.col("n") / F.col("w.n") * F.col("texts") / (F.col("texts") + prior)
-    general = F.col("e.n") / F.lit(float(max(found.count(), 1)))
+    general = F.col("e.n") / F.lit(float(max(docs.count(), 1)))
     left = -F.log2(given)
     told = both.withColumn("left", left).where((F.col("left") <= disclose) & (-F.log2(general) - F.col("left") >= -share * F.log2(general)) & (general < 1))
     told = written(told.select("e", "w", "left"), "told")
@@ -151,13 +154,12 @@ def disclosures(docs: DataFrame, found: DataFrame, disclose: float, remove: floa
     return stands.join(due, ["hash", "w"]).select("hash", "word", (F.col("left") <= remove).alias("gone"))
 
 
-def _terms(docs: DataFrame, found: DataFrame, due: DataFrame) -> DataFrame:
+def _terms(own: DataFrame, due: DataFrame) -> DataFrame:
     """hash and terms: spans of the words that are due in each text and touch no base span."""
-    of = due.select("hash").distinct()
-    texts = docs.where("text is not null").select(F.xxhash64("text").alias("hash"), "text").join(of, "hash").groupBy("hash").agg(F.first("text").alias("text"))
+    texts = own.join(due.select("hash").distinct(), "hash")
     words = texts.select("hash", F.inline(_places(F.col("text"), rf"\p{{L}}{{{LETTERS},}}+"))).withColumn("word", F.lower("value"))
     words = words.join(due, ["hash", "word"]).select("hash", "start", "end", F.when(F.col("gone"), "").otherwise(f"[{TERM.upper()}]").alias("by"))
-    base = found.join(of, "hash").groupBy("hash").agg(F.first("base").alias("base")).select("hash", F.inline("base")).select("hash", "start", "end", F.lit(None).cast("string").alias("by"))
+    base = texts.select("hash", F.inline("base")).select("hash", "start", "end", F.lit(None).cast("string").alias("by"))
     both = words.unionByName(base)
     up, down = (Window.partitionBy("hash").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.col("start").asc(), F.col("start").desc()))
     both = both.withColumn("before", F.max(F.when(F.col("by").isNull(), F.col("end"))).over(up)).withColumn("behind", F.min(F.when(F.col("by").isNull(), F.col("start"))).over(down))
@@ -167,13 +169,14 @@ def _terms(docs: DataFrame, found: DataFrame, due: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame, disclose: float = 0.6, remove: float = 0.08, share: float = 0.75, prior: float = 0.5) -> DataFrame:
-    """doc_id, hash, base and terms: arrays of spans; a term's value says whether it is to be removed ("") or generalised ("[TERM]")."""
+    """doc_id, hash, base, text where there are base spans, and terms: arrays of spans; a term's value says whether it is to be removed ("") or generalised ("[TERM]")."""
     docs = docs.select("doc_id", "text")
     found = written(find(docs), "found")
-    due = written(disclosures(docs, found, disclose, remove, share, prior), "due")
+    own = written(_own(found), "own")
+    due = written(disclosures(docs, own, disclose, remove, share, prior), "due")
     if not due.limit(1).count():
         return found.withColumn("terms", F.array().cast(SPANS))
-    return found.join(_terms(docs, found, due), "hash", "left").withColumn("terms", F.coalesce("terms", F.array().cast(SPANS)))
+    return found.join(_terms(own, due), "hash", "left").withColumn("terms", F.coalesce("terms", F.array().cast(SPANS)))
 
 
 def _listed(array: Column) -> Column:
@@ -191,8 +194,8 @@ def digests(docs: DataFrame) -> DataFrame:
     return spans(docs).select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(every).alias("spans"))
 
 
-def _rewritten(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """hash and text without the spans of ``marks`` (hash, start, end, by), each replaced by its ``by``.
+def _rewritten(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """hash and text, as ``texts`` has them, without the spans of ``marks`` (hash, start, end, by), each replaced by its ``by``.
 
     Of spans that overlap, the first is replaced, and what the next adds behind it goes with it.  Texts are rewritten
     in pieces, so that no step copies more than a piece.
@@ -205,7 +208,6 @@ def _rewritten(docs: DataFrame, marks: DataFrame) -> DataFrame:
     base = F.col("k") * PIECE
     cuts = cuts.select("hash", "k", F.struct((F.greatest(F.col("start"), base) - base).alias("start"), (F.least(F.col("end"), base + PIECE) - base).alias("end"), F.when(F.col("start") >= base, F.col("by")).otherwise("").alias("by")).alias("cut"))
     cuts = cuts.groupBy("hash", "k").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
-    texts = docs.where("text is not null").select(F.xxhash64("text").alias("hash"), "text").join(marks.select("hash").distinct(), "hash").groupBy("hash").agg(F.first("text").alias("text"))
     pieces = texts.select("hash", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("k", "piece")).withColumn("k", F.col("k").cast("bigint"))
     text = F.col("piece")
 
@@ -223,9 +225,8 @@ def sanitise(docs: DataFrame, **parameters: float) -> DataFrame:
     """docs, all columns, with base spans in ``text`` replaced by their kind in brackets and disclosing terms generalised or removed."""
     found = written(spans(docs, **parameters), "spans")
     named = F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by"))), F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("by"))))
-    marks = found.where((F.size("base") > 0) | (F.size("terms") > 0)).groupBy("hash").agg(F.first(named).alias("marks")).select("hash", F.inline("marks"))
-    marks = written(marks, "marks")
-    new = written(_rewritten(docs.select("text"), marks), "texts").select(F.col("hash").alias("key"), F.col("text").alias("new"))
+    own = written(found.where(F.size("base") > 0).groupBy("hash").agg(F.first(named).alias("marks"), F.first("text").alias("text")), "own")
+    new = written(_rewritten(own.select("hash", "text"), own.select("hash", F.inline("marks"))), "texts").select(F.col("hash").alias("key"), F.col("text").alias("new"))
     names = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"))
     joined = rows.join(new, F.xxhash64("row.text") == F.col("key"), "left")
