@@ -186,7 +186,7 @@ def test_recorded_payments_are_seen_and_asked_ones_are_not(spark):
     t = spark.createDataFrame([(1, 1000, 1, 1, "a", 500)], schema)
     asked = spark.createDataFrame([(-1, 2000, 1, 1, "a", 900), (-2, 3000, 1, 1, "a", 900)], schema)
     cb = spark.createDataFrame([], "txn_id long, txn_us long, reported_us long, card_id long, merchant_id long, category string, cents long")
-    spec = CARD_RISK.only(["card__count_all", "card__max_amount_7d"])
+    spec = CARD_RISK.pick(["card__count_all", "card__max_amount_7d"])
     assert {tuple(r)[2:] for r in peek(spec, t, cb, asked).collect()} == {(5.0, 1)} or {(r["card__count_all"], r["card__max_amount_7d"]) for r in peek(spec, t, cb, asked).collect()} == {(1, 5.0)}
     late = compute(spec, desk.record(t, asked), cb).where("txn_id = -2").first()
     assert (late["card__count_all"], late["card__max_amount_7d"]) == (2, 9.0)
@@ -197,7 +197,7 @@ def test_streaming_rejects_what_is_late_and_leaves_its_state(spark, tmp_path):
     from tidemark.streaming import features as ST
 
     schema = "txn_id long, us long, card_id long, merchant_id long, category string, cents long, is_txn boolean"
-    spec = CARD_RISK.only(["card__count_all", "card__count_1h"])
+    spec = CARD_RISK.pick(["card__count_all", "card__count_1h"])
     batches = [[(1, 100, 1, 1, "a", 5, True), (2, 100, 1, 1, "a", 5, True)], [(3, 50, 1, 1, "a", 5, True), (4, 100, 1, 1, "a", 5, True), (5, 101, 1, 1, "a", 5, True)]]
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))

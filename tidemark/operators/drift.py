@@ -88,6 +88,13 @@ def threshold_shares(ref: DataFrame, cur: DataFrame, column: str, thresholds: Se
     return each.groupBy("threshold").agg(share(1).alias("ref_share"), share(0).alias("cur_share"))
 
 
+def live_drift(ref: DataFrame, cur: DataFrame, column: str, at: float, least: int = 1000) -> DataFrame:
+    """psi of a score and the ratio of its alert rates, null until there are ``least`` current rows."""
+    enough = cur.agg((F.count("*") >= least).alias("enough"))
+    both = psi(ref, cur, column).join(F.broadcast(alert_rate_ratio(ref, cur, column, at))).join(F.broadcast(enough))
+    return both.select(*(F.when(F.col("enough"), F.col(c)).alias(c) for c in ("psi", "ratio")))
+
+
 def percentiles(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.percentile(column, [0.5, 0.95, 0.99]).alias("q")).select(F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"))
 

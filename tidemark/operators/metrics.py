@@ -104,8 +104,8 @@ def summary(df: DataFrame, rate: float = 0.01) -> DataFrame:
     return out
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], metric: Column, n_boot: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
-    """point, low and high of a metric of sums, with clusters drawn again with replacement.
+def cluster_bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], metric: Column, n_boot: int = 200, seed: int = 0, alpha: float = 0.05, none_above: str | None = None) -> DataFrame:
+    """point, low and high of a metric of sums, with clusters drawn again with replacement; ``none_above`` names a column for the share of replicates of zero or less.
 
     Each cluster is first reduced to its sums; a replicate weighs it by a Poisson count from a hash, which is how
     draws with replacement fall when there are many clusters.
@@ -119,10 +119,11 @@ def cluster_bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], metr
         p /= k
     drawn = per.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", weight).where("w > 0")
     each = drawn.groupBy("replicate").agg(*(F.sum(F.col(k) * F.col("w")).alias(k) for k in sums)).select(metric.alias("m"))
-    band = each.agg(F.percentile("m", [alpha / 2, 1 - alpha / 2]).alias("b")).select(F.col("b")[0].alias("low"), F.col("b")[1].alias("high"))
+    share = [F.avg((F.col("m") <= 0).cast("double")).alias(none_above)] if none_above else []
+    band = each.agg(F.percentile("m", [alpha / 2, 1 - alpha / 2]).alias("b"), *share).select(F.col("b")[0].alias("low"), F.col("b")[1].alias("high"), *([none_above] if none_above else []))
     return per.agg(*(F.sum(k).alias(k) for k in sums)).select(metric.alias("point")).join(F.broadcast(band))
 
 
 def paired_difference(df: DataFrame, cluster: str, sums: dict[str, Column], a: Column, b: Column, **how: float) -> DataFrame:
-    """point, low and high of b - a on the same replicates."""
-    return cluster_bootstrap(df, cluster, sums, b - a, **how)
+    """point, low and high of b - a on the same replicates, and ``not_above``, the share of them in which b isn't above a."""
+    return cluster_bootstrap(df, cluster, sums, b - a, none_above="not_above", **how)

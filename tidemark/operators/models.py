@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.shared import stored
+from tidemark.sources.shared import dropped, stored
 
 
 def sigmoid(x: Column) -> Column:
@@ -106,7 +106,7 @@ class Preprocessor:
         wide = {c: first[c]["lo"] is not None and first[c]["lo"] >= 0 and first[c]["q"] >= 50 for c in numeric}
         x = {c: cls._log(F.coalesce(F.col(c).cast("double"), F.lit(float(first[c]["m"] or 0))), wide[c]) for c in numeric}
         second = df.agg(*(F.struct(F.avg(v).alias("a"), F.stddev_pop(v).alias("s")).alias(c) for c, v in x.items())).first()
-        cats = {c: [r[0] for r in df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(64).collect()] for c in categorical}
+        cats = {c: [r[0] for r in df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).collect()] for c in categorical}
         return cls({c: (float(first[c]["m"] or 0), wide[c], float(second[c]["a"] or 0), float(second[c]["s"] or 0) or 1.0) for c in numeric}, cats)
 
     @staticmethod
@@ -237,27 +237,34 @@ class Trees:
         return dict(sorted(zip(self.columns, share.tolist(), strict=True), key=lambda x: (-x[1], x[0])))
 
 
-def fit_trees(df: DataFrame, columns: list[str], y: str = "y", rounds: int = 20, depth: int = 4, rate: float = 0.2, lam: float = 1.0, least: float = 1.0, bins: int = 32, gradients=logloss_gradients, weight: str | None = None, valid: DataFrame | None = None, patience: int = 5) -> Trees:  # noqa: ANN001
+def fit_trees(df: DataFrame, columns: list[str], y: str = "y", rounds: int = 20, depth: int = 4, rate: float = 0.2, lam: float = 1.0, least: float = 1.0, bins: int = 32, gradients=logloss_gradients, weight: str | None = None, valid: DataFrame | None = None, patience: int = 5, subsample: float = 1.0, colsample: float = 1.0, seed: int = 0) -> Trees:  # noqa: ANN001
     """Histogram boosting: a level of a tree is one aggregation by node, column and bin.
 
     A column and bin come from exploding ``bins``; partial sums combine before the shuffle, and what returns to the
-    driver is bounded by nodes, columns and bins.  Margins are stored every five trees to keep plans short.  With rows
+    driver is bounded by nodes, columns and at most 255 ``bins``.  Gradients and margins are stored once a tree.  Each
+    tree sees a share ``subsample`` of the rows, by hash, and ``colsample`` of the columns.  With rows
     to validate on, trees stop ``patience`` rounds after the best average precision and those after it are dropped.
     """
     from tidemark.operators.metrics import average_precision
 
+    if not 2 <= bins <= 255:
+        raise ValueError("bins are numbered in a byte, of which 255 stands for what is missing")
+    rng = np.random.default_rng(seed)
     q = [i / bins for i in range(1, bins)]
     got = df.agg(*(F.percentile(F.col(c).cast("double"), q).alias(c) for c in columns), F.avg(F.col(y).cast("double")).alias("__rate")).first()
     rate0 = min(max(got["__rate"] or 0.5, 1e-6), 1 - 1e-6)
     model = Trees(columns, [sorted(set(got[c] or [])) for c in columns], math.log(rate0 / (1 - rate0)))
-    rows = stored(model.binned(df).select("bins", F.col(y).cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), F.lit(model.base).alias("margin")), "boost")
+    rows = stored(model.binned(df).select("bins", F.col(y).cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), F.lit(model.base).alias("margin"), F.rand(seed).alias("u")), "boost")
     best_round, best_ap = 0, -1.0
     for turn in range(rounds):
         g, h = gradients(F.col("margin"), F.col("y"))
-        grads = rows.select("bins", (g * F.col("w")).alias("g"), (h * F.col("w")).alias("h"))
+        drawn = F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(1 << 52)) < F.lit(int(subsample * (1 << 52)))
+        grads = stored(rows.where(drawn).select("bins", (g * F.col("w")).alias("g"), (h * F.col("w")).alias("h")), "gradients")
+        use = set(rng.permutation(len(columns))[: max(1, round(colsample * len(columns)))].tolist())
         total = grads.agg(F.sum("g").alias("g"), F.sum("h").alias("h")).first()
-        root = Node(-rate * total["g"] / (total["h"] + lam))
-        open_ = [(root, total["g"], total["h"])]
+        g_all, h_all = total["g"] or 0.0, total["h"] or 0.0
+        root = Node(-rate * g_all / (h_all + lam))
+        open_ = [(root, g_all, h_all)]
         for _ in range(depth):
             place = {id(n): i for i, (n, _, _) in enumerate(open_)}
             where = model._fold(root, lambda n, place=place: F.lit(place.get(id(n), -1)))
@@ -269,6 +276,8 @@ def fit_trees(df: DataFrame, columns: list[str], y: str = "y", rounds: int = 20,
             for i, (n, gn, hn) in enumerate(open_):
                 best = (1e-9, None)
                 for f, edges in enumerate(model.edges):
+                    if f not in use:
+                        continue
                     cum = table[i, f, : len(edges)].cumsum(0)
                     miss = table[i, f, 255]
                     for left in (True, False):
@@ -289,15 +298,16 @@ def fit_trees(df: DataFrame, columns: list[str], y: str = "y", rounds: int = 20,
             if not open_:
                 break
         model.trees.append(root)
-        rows = rows.withColumn("margin", F.col("margin") + model.value(root))
-        if turn % 5 == 4:
-            rows = stored(rows, "boost")
+        dropped(grads)
+        before, rows = rows, stored(rows.withColumn("margin", F.col("margin") + model.value(root)), "boost")
+        dropped(before)
         if valid is not None:
             ap = average_precision(model.binned(valid).select(F.col(y).alias("y"), model.margin().alias("p"))).first()[0] or 0.0
             if ap > best_ap:
                 best_round, best_ap = turn, ap
             elif turn - best_round >= patience:
                 break
+    dropped(rows)
     if valid is not None:
         del model.trees[best_round + 1 :]
     return model

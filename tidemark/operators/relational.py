@@ -40,19 +40,27 @@ def surrogate_keys(df: DataFrame, name: str, key: str, prefix: str = "fraud_") -
     return parts.withColumn("own", own).join(before, "part").select(name, (F.col("own") + F.col("before")).cast("bigint").alias(key))
 
 
-def lookup(df: DataFrame, dim: DataFrame, on: str, how: str = "left") -> DataFrame:
-    """Join with a dimension; Spark broadcasts it while its size is below the session's threshold."""
-    return df.join(dim, on, how)
-
-
 def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once; empty where joins on them are many to one."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def unique(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, once it is sure that no key occurs twice; raises ValueError with one that does."""
+    if twice := check_unique(df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)), keys).first():
+        raise ValueError(f"{', '.join(keys)} should be unique: {twice}")
+    return df
+
+
+def lookup(df: DataFrame, dim: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """Many-to-one join with a dimension, whose keys must be unique; Spark broadcasts it while its size is below the session's threshold."""
+    return df.join(unique(dim, on), on, how)
+
+
 def chargebacks_with_transactions(chargebacks: DataFrame, txns: DataFrame) -> DataFrame:
-    """Chargebacks joined with their transactions by (txn_id, time)."""
-    own = txns.select("txn_id", F.col("us").alias("txn_us"), *(c for c in txns.columns if c not in ("txn_id", "us")))
+    """Chargebacks joined one to one with their transactions by (txn_id, time)."""
+    unique(chargebacks, "txn_id", "txn_us")
+    own = unique(txns, "txn_id", "us").select("txn_id", F.col("us").alias("txn_us"), *(c for c in txns.columns if c not in ("txn_id", "us")))
     return chargebacks.select("txn_id", "txn_us", "reported_us").join(own, ["txn_id", "txn_us"])
 
 

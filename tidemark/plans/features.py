@@ -1,25 +1,32 @@
-"""From a feature declaration to one DataFrame plan.
+"""From a catalog of features to one DataFrame plan.
 
 A feature at time t sees events with t - span <= us < t; events of the same microsecond don't see one another.
 
 Counts and sums are invertible: each event enters as +v at its time and leaves as -v one span later, so one
-running sum gives every window of a key.  The running sum has two levels, totals of whole days of a key and the
-running sum within a day, so that no task holds more than a day of a key (or of everything, without a key) and the
-rows that go over days are as few as the days.  A maximum or a distinct count looks at chunks one span long and
-at the chunk before, so no task holds more than two spans of a key.
+running sum gives every window of a key.  So are distinct values: a value enters with an event that no event of the
+value precedes by a span or less, and leaves a span after one that none follows.  All groups are one long table of
+such changes, and all its running sums are taken at once: totals of whole buckets of a key, and the running sum within
+a bucket, so that no task holds more than a bucket of a key and the rows that go over buckets are as few as the
+buckets.  Groups of few keys have finer buckets.  A maximum is that of two halves that meet at a multiple of the span,
+each a running maximum, one forwards and one backwards.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.spec import HOUR, Agg, FeatureSpec
+from tidemark.plans.spec import GROUPS, HOUR, Catalog, Feature
 
 DAY = 24 * HOUR
+#: Groups that a large share of all events may fall into, whose buckets are minutes instead of days.
+BROAD, MINUTE = ("global", "category"), HOUR // 60
+
+#: A running sum: stream, what is added up, of which column, in which span.
+Sum = tuple[str, str, "str | None", "int | None"]
 
 
 def events(txns: DataFrame, chargebacks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
@@ -30,93 +37,135 @@ def events(txns: DataFrame, chargebacks: DataFrame, asked: DataFrame | None = No
     return both if asked is None else both.unionByName(asked.select(*cols, F.lit(None).cast("boolean").alias("is_txn")))
 
 
-def _value(column: str | None) -> Column:
-    return F.col("cents" if column == "amount" else column) if column else F.lit(1)
-
-
-def _moments(agg: Agg) -> list[tuple[str, str, str | None, int | None]]:
-    """Running sums (stream, power, column, span) that an invertible aggregate is made of."""
-    powers = {"count": "0", "sum": "1", "mean": "01", "std": "01hl"}.get(agg.op, "")
-    return [(agg.stream, p, agg.column if p != "0" else None, agg.span) for p in powers]
-
-
-def _delta(stream: str, power: str, column: str | None) -> Column:
-    """What an event adds to a running sum; squares are two sums, of their high and low 32 bits, that stay in 64 bits."""
-    x = _value(column).cast("bigint")
-    v = {"0": lambda: F.lit(1).cast("bigint"), "1": lambda: x, "h": lambda: F.shiftright(x * x, 32), "l": lambda: (x * x).bitwiseAND(F.lit((1 << 32) - 1))}[power]()
-    return F.when(F.col("is_txn") == (stream == "txn"), v)
-
-
-def _running(ev: DataFrame, keys: tuple[str, ...], sums: list[tuple], last: list[str], first: list[str]) -> DataFrame:
-    """Transactions with the running sums, and times of the last and first event of streams, before each of them."""
-    names = {m: f"m{i}" for i, m in enumerate(sums)}
-    own = [_delta(*m[:3]).alias(names[m]) for m in sums]
-    none = [F.lit(None).cast("bigint").alias(c) for c in [f"last_{s}" for s in last] + [f"first_{s}" for s in first]]
-    times = [F.when(F.col("is_txn") == (s == "txn"), F.col("us")).alias(f"{kind}_{s}") for kind, of in (("last", last), ("first", first)) for s in of]
-    id_ = F.when(F.coalesce("is_txn", F.lit(True)), F.col("txn_id")).alias("txn_id")
-    # One struct is the key throughout, null parts included, so that window and join share one exchange and one sort.
-    key = F.struct(*keys, F.lit(0)).alias("key")
-    parts = [ev.select(id_, "us", key, *own, *times)]
-    for span in sorted({m[3] for m in sums if m[3]}):
-        gone = [(-_delta(*m[:3]) if m[3] == span else F.lit(None)).alias(names[m]) for m in sums]
-        parts.append(ev.select(F.lit(None).cast(ev.schema["txn_id"].dataType).alias("txn_id"), (F.col("us") + span).alias("us"), key, *gone, *none))
-    rows = reduce(DataFrame.unionByName, parts).withColumn("day", F.floor(F.col("us") / DAY))
-    how = {n: F.sum for n in names.values()} | {f"last_{s}": F.max for s in last} | {f"first_{s}": F.min for s in first}
-    days = rows.groupBy("key", "day").agg(*(f(n).alias(n) for n, f in how.items()))
-    over = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    before = days.select("key", "day", *(f(n).over(over).alias(f"b_{n}") for n, f in how.items()))
-    within = Window.partitionBy("key", "day").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
-    joined = rows.select("*", *(f(n).over(within).alias(f"w_{n}") for n, f in how.items())).where(F.col("txn_id").isNotNull()).join(before, ["key", "day"])
-    joins = {"m": lambda n: F.coalesce(f"b_{n}", F.lit(0)) + F.coalesce(f"w_{n}", F.lit(0)), "l": lambda n: F.coalesce(f"w_{n}", f"b_{n}"), "f": lambda n: F.coalesce(f"b_{n}", f"w_{n}")}
-    return joined.select("txn_id", "us", *(joins[n[0]](n).alias(n) for n in how))
-
-
-def _finish(agg: Agg, names: dict) -> Column:
-    got = [F.col(names[m]) for m in _moments(agg)]
-    if agg.op == "count":
-        return got[0].cast("bigint")
-    if agg.op == "sum":
-        return got[0] / F.lit(100.0)
-    if agg.op == "mean":
-        return F.when(got[0] > 0, got[1] / got[0] / 100.0)
-    if agg.op == "std":
-        n, s = got[0].cast("decimal(12,0)"), got[1].cast("decimal(18,0)")
-        squares = (got[2].cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(10,0)") + got[3].cast("decimal(19,0)")).cast("decimal(26,0)")
-        return F.when(got[0] > 0, F.sqrt(F.greatest((n * squares - s * s).cast("double"), F.lit(0.0))) / got[0] / 100.0)
-    last = agg.op == "since_last"
-    return (F.col("us") - F.col(f"{'last' if last else 'first'}_{agg.stream}")) / 1e6
-
-
-def _sliding(ev: DataFrame, keys: tuple[str, ...], span: int, aggs: list[Agg]) -> DataFrame:
-    """Transactions with maxima and distinct counts of the span before each of them."""
-    rows = ev.where("coalesce(is_txn, true)").withColumn("chunk", F.explode(F.array(F.floor(F.col("us") / span), F.floor(F.col("us") / span) + 1)))
-    w = Window.partitionBy(*keys, "chunk").orderBy("us").rangeBetween(-span, -1)
-    seen = {a.column: F.when(F.col("is_txn"), _value(a.column)) for a in aggs}
-    cols = [(F.max(seen[a.column]).over(w) / F.lit(100.0 if a.column == "amount" else 1.0) if a.op == "max" else F.size(F.collect_set(seen[a.column]).over(w)).cast("bigint")).alias(a.name) for a in aggs]
-    return rows.select("txn_id", "us", "chunk", *cols).where(F.col("chunk") == F.floor(F.col("us") / span)).select("txn_id", *(a.name for a in aggs))
-
-
-def peek(spec: FeatureSpec, txns: DataFrame, chargebacks: DataFrame, asked: DataFrame) -> DataFrame:
+def _sums(f: Feature) -> list[Sum]:
+    """What a feature is made of; squares are two sums, of their high and low 32 bits, that stay in 64 bits."""
+    if f.how.way == "variety":
+        return [("txn", "kinds", f.column, f.span)]
+    parts = {0: ["one"], 1: ["value"], 2: ["high", "low"]}
+    return [(f.stream, p, f.column if p != "one" else None, f.span) for power in f.how.sums for p in parts[power]]
+
+
+def _change(what: str, column: str | None) -> Column:
+    x = F.col(column).cast("bigint") if column else F.lit(1).cast("bigint")
+    return {"one": lambda: F.lit(1).cast("bigint"), "value": lambda: x, "high": lambda: F.shiftright(x * x, 32), "low": lambda: (x * x).bitwiseAND(F.lit((1 << 32) - 1))}[what]()
+
+
+def _of(stream: str) -> Column:
+    return F.col("is_txn") == (stream == "txn")
+
+
+class _Layout:
+    """Which group a row of changes is of, and which slot of it holds which running sum."""
+
+    def __init__(self, catalog: Catalog) -> None:
+        running = [f for f in catalog.values() if f.how.way != "largest"]
+        self.groups = list(dict.fromkeys(f.group for f in running))
+        self.features = {g: [f for f in running if f.group == g] for g in self.groups}
+        self.sums = {g: list(dict.fromkeys(s for f in fs for s in _sums(f))) for g, fs in self.features.items()}
+        self.latest = sorted({f.stream for f in running if f.how.way == "latest"})
+        self.earliest = sorted({f.stream for f in running if f.how.way == "earliest"})
+        self.slots = [f"s{i}" for i in range(max(map(len, self.sums.values()), default=0))]
+        self.columns = list(dict.fromkeys(k for g in self.groups for k in GROUPS[g]))
+
+    def row(self, group: str, at: Column, id_: Column, changes: dict[Sum, Column], own: bool, columns: Sequence[Column] | None = None) -> Column:
+        """One row of changes; one that stands for the event itself has its time."""
+        none = F.lit(None).cast("bigint")
+        keys = [(F.col(c) if c in GROUPS[group] else F.lit(None)).alias(c) for c in self.columns]
+        sums = self.sums[group]
+        slots = [(changes.get(sums[i], none) if i < len(sums) else none).cast("bigint").alias(s) for i, s in enumerate(self.slots)]
+        times = [(F.when(_of(s), F.col("us")) if own else none).alias(f"{kind}_{s}") for kind, of in (("latest", self.latest), ("earliest", self.earliest)) for s in of]
+        return F.struct(F.struct(F.lit(self.groups.index(group)).alias("g"), *keys).alias("key"), at.alias("at"), id_.alias("id"), F.floor(at / (MINUTE if group in BROAD else DAY)).alias("bucket"), *slots, *times)
+
+
+def _kinds(ev: DataFrame, layout: _Layout, none: Column) -> DataFrame | None:
+    """Changes of the number of distinct values."""
+    wanted = [(g, s) for g in layout.groups for s in layout.sums[g] if s[1] == "kinds"]
+    if not wanted:
+        return None
+    every = [F.struct(F.lit(i).alias("w"), F.col(s[2]).cast("string").alias("v"), *(F.col(c).alias(c) for c in layout.columns)) for i, (_, s) in enumerate(wanted)]
+    rows = ev.where("is_txn").select("us", "is_txn", F.inline(F.array(*every))).where("v is not null")
+    # Columns that aren't keys of the group don't tell values apart.
+    keys = [F.when(F.col("w").isin([i for i, (g, _) in enumerate(wanted) if c in GROUPS[g]]), F.col(c)) for c in layout.columns]
+    over = Window.partitionBy("w", "v", *keys).orderBy("us")
+    rows = rows.withColumns({"since": F.col("us") - F.lag("us").over(over), "until": F.lead("us").over(over) - F.col("us")})
+    changes = []
+    for i, (g, s) in enumerate(wanted):
+        enters, leaves = (F.when((F.col("w") == i) & F.coalesce(F.col(c) > s[3], F.lit(True)), F.lit(n)) for c, n in (("since", 1), ("until", -1)))
+        changes += [F.when(enters.isNotNull(), layout.row(g, F.col("us"), none, {s: enters}, False)), F.when(leaves.isNotNull(), layout.row(g, F.col("us") + s[3], none, {s: leaves}, False))]
+    return rows.select(F.inline(F.array_compact(F.array(*changes))))
+
+
+def _running(ev: DataFrame, layout: _Layout, id_: Column) -> DataFrame:
+    """For each event that is looked at and each group, the running sums and times before it."""
+    none = F.lit(None).cast(ev.schema["txn_id"].dataType)
+    rows = []
+    for g in layout.groups:
+        own = {s: F.when(_of(s[0]), _change(*s[1:3])) for s in layout.sums[g] if s[1] != "kinds"}
+        rows.append(layout.row(g, F.col("us"), id_, own, True))
+        for span in sorted({s[3] for s in own if s[3]}):
+            gone = {s: -c for s, c in own.items() if s[3] == span}
+            streams = [_of(x) for x in {s[0] for s in gone}]
+            rows.append(F.when(reduce(Column.__or__, streams), layout.row(g, F.col("us") + span, none, gone, False)))
+    changes = ev.select(F.inline(F.array_compact(F.array(*rows))))
+    if (kinds := _kinds(ev, layout, none)) is not None:
+        changes = changes.unionByName(kinds)
+    how = {**dict.fromkeys(layout.slots, F.sum), **{f"latest_{s}": F.max for s in layout.latest}, **{f"earliest_{s}": F.min for s in layout.earliest}}
+    # One exchange serves the totals and the rows: both read all columns of it.
+    changes = changes.repartition("key", "bucket")
+    totals = changes.groupBy("key", "bucket").agg(F.count("id").alias("ids"), F.min("at").alias("least"), *(f(n).alias(n) for n, f in how.items()))
+    over = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.where("ids >= 0 and least is not null").select("key", "bucket", *(f(n).over(over).alias(f"b_{n}") for n, f in how.items()))
+    within = Window.partitionBy("key", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    joined = changes.select("key", "bucket", "at", "id", *(f(n).over(within).alias(f"w_{n}") for n, f in how.items())).where(F.col("id").isNotNull()).join(before, ["key", "bucket"])
+    zero = F.lit(0).cast("bigint")
+    whole = {n: F.coalesce(f"b_{n}", zero) + F.coalesce(f"w_{n}", zero) for n in layout.slots}
+    whole |= {n: F.coalesce(f"w_{n}", f"b_{n}") if n.startswith("latest") else F.coalesce(f"b_{n}", f"w_{n}") for n in how if n not in whole}
+    return joined.select("id", F.col("at").alias("us"), F.col("key.g").alias("g"), *(c.alias(n) for n, c in whole.items()))
+
+
+def _finish(f: Feature, layout: _Layout) -> Column:
+    if f.how.way in ("latest", "earliest"):
+        return (F.col("us") - F.col(f"{f.how.way}_{f.stream}")) / 1e6
+    got = {s[1]: F.col(layout.slots[layout.sums[f.group].index(s)]) for s in _sums(f)}
+    if f.how.way == "variety":
+        return got["kinds"]
+    if 2 in f.how.sums:
+        got["square"] = (got["high"].cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(10,0)") + got["low"].cast("decimal(19,0)")).cast("decimal(26,0)")
+    return f.how.column(*(got[("one", "value", "square")[p]] for p in f.how.sums))
+
+
+def _largest(ev: DataFrame, features: Sequence[Feature], id_: Column) -> DataFrame:
+    """For each event that is looked at and each maximum, that of either half of its span."""
+    none = F.lit(None).cast(ev.schema["txn_id"].dataType)
+    columns = list(dict.fromkeys(k for f in features for k in f.keys))
+    rows = []
+    for i, f in enumerate(features):
+        key = F.struct(F.lit(i).alias("f"), *((F.col(c) if c in f.keys else F.lit(None)).alias(c) for c in columns)).alias("key")
+        chunk = F.floor(F.col("us") / f.span)
+        row = lambda k, at, id_, back, v, key=key: F.struct(key, k.alias("chunk"), at.alias("at"), id_.alias("id"), F.lit(back).alias("back"), v.alias("v"), F.col("us").alias("us"))
+        rows += [row(chunk, F.col("us"), id_, False, F.when(F.col("is_txn"), F.col(f.column))), F.when(id_.isNotNull(), row(chunk - 1, F.col("us") - f.span, id_, True, F.lit(None).cast("bigint")))]
+    rows = ev.where("coalesce(is_txn, true)").select(F.inline(F.array_compact(F.array(*rows))))
+    part = Window.partitionBy("key", "chunk")
+    forth = F.max("v").over(part.orderBy("at").rangeBetween(Window.unboundedPreceding, -1))
+    back = F.max("v").over(part.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0))
+    got = rows.select("key.f", "id", "us", F.when(F.col("back"), back).otherwise(forth).alias("v")).where(F.col("id").isNotNull())
+    return got.select("id", "us", *(F.when(F.col("f") == i, F.col("v") / F.lit(100.0)).alias(f.name) for i, f in enumerate(features)))
+
+
+def peek(catalog: Catalog, txns: DataFrame, chargebacks: DataFrame, asked: DataFrame) -> DataFrame:
     """Features of events that are asked about but never happen: they see the past, and nothing sees them."""
-    return compute(spec, txns, chargebacks, asked)
+    return compute(catalog, txns, chargebacks, asked)
 
 
-def compute(spec: FeatureSpec, txns: DataFrame, chargebacks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """txn_id, us and all features of the declaration, one row for each transaction, or for each event that is asked about."""
+def compute(catalog: Catalog, txns: DataFrame, chargebacks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """txn_id, us and all features of the catalog, one row for each txn_id, or for each that is asked about."""
     ev = events(txns, chargebacks, asked)
-    running, sliding = defaultdict(list), defaultdict(list)
-    for a in spec.aggs:
-        (sliding[a.keys, a.span] if a.op in ("max", "distinct") and a.span else running[a.keys]).append(a)
-    parts = []
-    for keys, aggs in running.items():
-        if any(a.op == "max" for a in aggs):
-            raise ValueError("max needs a window")
-        sums = list(dict.fromkeys(m for a in aggs for m in _moments(a)))
-        names = {m: f"m{i}" for i, m in enumerate(sums)}
-        last = sorted({a.stream for a in aggs if a.op == "since_last"})
-        first = sorted({a.stream for a in aggs if a.op == "since_first"})
-        got = _running(ev, keys, sums, last, first)
-        parts.append(got.select("txn_id", *(_finish(a, names).alias(a.name) for a in aggs)))
-    parts += [_sliding(ev, keys, span, aggs) for (keys, span), aggs in sliding.items()]
-    out = reduce(lambda a, b: a.join(b, "txn_id"), parts)
-    return (txns if asked is None else asked).select("txn_id", "us").join(out, "txn_id").select("txn_id", "us", *spec.names)
+    id_ = F.when(F.col("is_txn").isNull() if asked is not None else F.col("is_txn"), F.col("txn_id"))
+    layout, parts = _Layout(catalog), []
+    if layout.groups:
+        got = _running(ev, layout, id_)
+        parts.append(got.select("id", "us", *(F.when(F.col("g") == i, _finish(f, layout)).alias(f.name) for i, g in enumerate(layout.groups) for f in layout.features[g])))
+    if largest := [f for f in catalog.values() if f.how.way == "largest"]:
+        parts.append(_largest(ev, largest, id_))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return every.groupBy(F.col("id").alias("txn_id")).agg(F.max("us").alias("us"), *(F.max(n).alias(n) for n in catalog)).select("txn_id", "us", *catalog)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +20,7 @@ from tidemark.operators import models as N
 from tidemark.operators import relational as R
 from tidemark.operators import sketches as K
 from tidemark.plans.features import compute, events, peek
-from tidemark.plans.spec import CARD_RISK, HOUR, Agg
+from tidemark.plans.spec import CARD_RISK, HOUR, Feature
 from tidemark.sources import storage
 from tidemark.sources import tables as T
 from tidemark.sources.shared import shared_path
@@ -84,12 +84,12 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Point-in-time aggregates.
 
 
-def agg_sql(a: Agg, ev: str) -> str:
+def agg_sql(a: Feature, ev: str) -> str:
     """The literal window of an aggregate."""
     part = f"PARTITION BY {', '.join(a.keys)} " if a.keys else ""
     over = f"OVER ({part}ORDER BY us RANGE BETWEEN {a.span if a.span else 'UNBOUNDED'} PRECEDING AND 1 PRECEDING)"
     f = f"FILTER (WHERE {'is_txn' if a.stream == 'txn' else 'NOT is_txn'}) {over}"
-    v = "cents" if a.column == "amount" else a.column
+    v = a.column
     n, s = f"count(*) {f}", f"CAST(sum({v}) {f} AS HUGEINT)"
     return {
         "count": f"CAST(coalesce({n}, 0) AS BIGINT)",
@@ -100,7 +100,7 @@ def agg_sql(a: Agg, ev: str) -> str:
         "distinct": f"CAST(coalesce(count(DISTINCT {v}) {f}, 0) AS BIGINT)",
         "since_last": f"round((us - max(us) {f}) / 1000000.0::DOUBLE, 6)",
         "since_first": f"round((us - min(us) {f}) / 1000000.0::DOUBLE, 6)",
-    }[a.op]
+    }[a.measure]
 
 
 def _rounded(df: DataFrame, names: list[str]) -> DataFrame:
@@ -109,27 +109,27 @@ def _rounded(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _feature(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(compute(CARD_RISK.only([name]), *_txns(spark, sf_dir)), [name])
+    return _rounded(compute(CARD_RISK.pick([name]), *_txns(spark, sf_dir)), [name])
 
 
-for _a in CARD_RISK.aggs:
+for _a in CARD_RISK.values():
     query(_a.name, sql(f"SELECT txn_id, v AS {_a.name} FROM (SELECT txn_id, is_txn, {agg_sql(_a, 'ev')} AS v FROM ev) WHERE is_txn", "ev"))(partial(_feature, _a.name))
 
 
 def _all_sql(ev: str, names: list[str]) -> str:
-    cols = ", ".join(f"{agg_sql(a, ev)} AS {a.name}" for a in CARD_RISK.aggs if a.name in names)
+    cols = ", ".join(f"{agg_sql(a, ev)} AS {a.name}" for a in CARD_RISK.values() if a.name in names)
     return sql(f"SELECT * EXCLUDE (is_txn) FROM (SELECT txn_id, is_txn, {cols} FROM {ev}) WHERE is_txn", ev)
 
 
-@query("all_features", _all_sql("ev", CARD_RISK.names))
+@query("all_features", _all_sql("ev", list(CARD_RISK)))
 def all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(compute(CARD_RISK, *_txns(spark, sf_dir)), CARD_RISK.names)
+    return _rounded(compute(CARD_RISK, *_txns(spark, sf_dir)), list(CARD_RISK))
 
 
-@query("all_features_with_ties", _all_sql("oev", CARD_RISK.names))
+@query("all_features_with_ties", _all_sql("oev", list(CARD_RISK)))
 def all_features_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.from_orders(spark, sf_dir)
-    return _rounded(compute(CARD_RISK, t, T.chargebacks(t)), CARD_RISK.names)
+    return _rounded(compute(CARD_RISK, t, T.chargebacks(t)), list(CARD_RISK))
 
 
 # Row and derived features.
@@ -177,25 +177,25 @@ DERIVED_SQL = {
 def _derived(name: str, needs: list[str], spark: SparkSession, sf_dir: str) -> DataFrame:
     t, cb = _txns(spark, sf_dir)
     # Features are rounded as the SQL rounds them, so that both divide the same numbers.
-    f = _rounded(compute(CARD_RISK.only(needs), t, cb), needs)
+    f = _rounded(compute(CARD_RISK.pick(needs), t, cb), needs)
     f = f.join(t.select("txn_id", (F.col("cents") / 100.0).alias("amount")), "txn_id")
     return f.select("txn_id", F.round(S.DERIVED[name](), 5).alias(name))
 
 
 for _n, _q in DERIVED_SQL.items():
-    _needs = [a.name for a in CARD_RISK.aggs if a.name in _q]
-    _cols = ", ".join(f"{agg_sql(a, 'ev')} AS {a.name}" for a in CARD_RISK.aggs if a.name in _needs)
+    _needs = [a.name for a in CARD_RISK.values() if a.name in _q]
+    _cols = ", ".join(f"{agg_sql(a, 'ev')} AS {a.name}" for a in CARD_RISK.values() if a.name in _needs)
     query(_n, sql(f"SELECT txn_id, round({_q}, 5) AS {_n} FROM (SELECT txn_id, is_txn, cents / 100.0::DOUBLE AS amount, {_cols} FROM ev) WHERE is_txn", "ev"))(partial(_derived, _n, _needs))
 
 
-@query("model_features", "SELECT unnest([" + ", ".join(f"'{n}'" for n in S.model_features(CARD_RISK.names)) + "]) AS feature")
+@query("model_features", "SELECT unnest([" + ", ".join(f"'{n}'" for n in S.model_features(list(CARD_RISK))) + "]) AS feature")
 def model_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in S.model_features(CARD_RISK.names)], "feature string")
+    return spark.createDataFrame([(n,) for n in S.model_features(list(CARD_RISK))], "feature string")
 
 
-@query("no_history_features", "SELECT unnest([" + ", ".join(f"'{n}'" for n in S.without_history(S.model_features(CARD_RISK.names))) + "]) AS feature")
+@query("no_history_features", "SELECT unnest([" + ", ".join(f"'{n}'" for n in S.without_history(S.model_features(list(CARD_RISK)))) + "]) AS feature")
 def no_history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in S.without_history(S.model_features(CARD_RISK.names))], "feature string")
+    return spark.createDataFrame([(n,) for n in S.without_history(S.model_features(list(CARD_RISK)))], "feature string")
 
 
 # Relational operators.
@@ -260,7 +260,7 @@ def left_join_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("feature_join", sql("SELECT s.txn_id, s.y, CAST(n AS BIGINT) AS card__count_all FROM sc s JOIN (SELECT txn_id, is_txn, count(*) FILTER (WHERE is_txn) OVER (PARTITION BY card_id ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM ev) f ON f.txn_id = s.txn_id AND is_txn", "ev", "sc"))
 def feature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = compute(CARD_RISK.only(["card__count_all"]), *_txns(spark, sf_dir))
+    f = compute(CARD_RISK.pick(["card__count_all"]), *_txns(spark, sf_dir))
     return _scored(spark, sf_dir).select("txn_id", "y").join(f.drop("us"), "txn_id")
 
 
@@ -510,11 +510,12 @@ def transaction_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.bayes(_scored(spark, sf_dir).where("txn_id = 26")).select("txn_id", (F.col("action") == "review").alias("in_queue"), *(F.round(f"cost_{a}", 6).alias(f"cost_{a}") for a in D.ACTIONS))
 
 
-@query("options_view", sql("SELECT 'card' AS kind, '**** ' || right('0000' || card_id, 4) AS label FROM (SELECT DISTINCT card_id FROM txn) UNION ALL SELECT DISTINCT 'category', category FROM txn", "txn"))
+@query("options_view", sql("SELECT 'card' AS kind, '**** ' || right('0000' || card_id, 4) AS label FROM (SELECT DISTINCT card_id FROM txn) UNION ALL SELECT DISTINCT 'category', category FROM txn UNION ALL SELECT DISTINCT 'merchant', CAST(merchant_id AS VARCHAR) FROM txn", "txn"))
 def options_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _txns(spark, sf_dir)[0]
     cards = t.select("card_id").distinct().select(F.lit("card").alias("kind"), F.concat(F.lit("**** "), F.right(F.concat(F.lit("0000"), F.col("card_id")), F.lit(4))).alias("label"))
-    return cards.unionByName(t.select(F.lit("category").alias("kind"), F.col("category").alias("label")).distinct())
+    others = (t.select(F.lit(k).alias("kind"), F.col(c).cast("string").alias("label")).distinct() for k, c in (("category", "category"), ("merchant", "merchant_id")))
+    return reduce(DataFrame.unionByName, others, cards)
 
 
 # Metrics.
@@ -673,6 +674,11 @@ def threshold_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(X.threshold_shares(*_halves(spark, sf_dir), "p", [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))
 
 
+@query("live_drift", sql(f"SELECT CASE WHEN (SELECT count(*) FROM sc WHERE us >= {HALF}) >= 1000 THEN {psi_sql('p', 'p')[1]} END AS psi, CASE WHEN (SELECT count(*) FROM sc WHERE us >= {HALF}) >= 1000 THEN (SELECT round(avg(CASE WHEN p >= 0.3 THEN 1.0 ELSE 0 END) FILTER (WHERE us >= {HALF}) / avg(CASE WHEN p >= 0.3 THEN 1.0 ELSE 0 END) FILTER (WHERE us < {HALF}), 7) FROM sc) END AS ratio", "sc", more=psi_sql("p", "p")[0]))
+def live_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(X.live_drift(*_halves(spark, sf_dir), "p", 0.3), 7)
+
+
 @query("latency_percentiles", sql("SELECT round(quantile_cont(amount, 0.5), 6) AS p50, round(quantile_cont(amount, 0.95), 6) AS p95, round(quantile_cont(amount, 0.99), 6) AS p99 FROM sc", "sc"))
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(X.percentiles(_scored(spark, sf_dir), "amount"), 6)
@@ -685,7 +691,7 @@ def adversarial_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("auc", auc), *gain.items()], "name string, value double")
 
 
-CARD_ONLY = [a.name for a in CARD_RISK.aggs if a.keys == ("card_id",)]
+CARD_ONLY = CARD_RISK.of_group("card")
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -697,10 +703,10 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ST.replay(ST.stateful(_stream(spark, sf_dir), CARD_RISK.only(CARD_ONLY)), "card-features")
+    return ST.replay(ST.stateful(_stream(spark, sf_dir), CARD_RISK.pick(CARD_ONLY)), "card-features")
 
 
-_CARD_COLS = ", ".join(f"CAST({agg_sql(a, 'ev')} AS DOUBLE) AS {a.name}" for a in CARD_RISK.aggs if a.name in CARD_ONLY)
+_CARD_COLS = ", ".join(f"CAST({agg_sql(a, 'ev')} AS DOUBLE) AS {a.name}" for a in CARD_RISK.values() if a.name in CARD_ONLY)
 
 
 @query("stream_card_features", sql(f"SELECT * EXCLUDE (is_txn) FROM (SELECT txn_id, is_txn, {_CARD_COLS} FROM ev) WHERE is_txn", "ev"))
@@ -709,19 +715,19 @@ def stream_card_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("txn_id", *(F.round(n, 6).alias(n) for n in CARD_ONLY))
 
 
-KEYED = [a.name for a in CARD_RISK.aggs if a.keys and a.keys != ("card_id",)]
-_KEYED_COLS = ", ".join(f"CAST({agg_sql(a, 'ev')} AS DOUBLE) AS {a.name}" for a in CARD_RISK.aggs if a.name in KEYED)
+KEYED = CARD_RISK.of_group("card_category", "merchant", "category")
+_KEYED_COLS = ", ".join(f"CAST({agg_sql(a, 'ev')} AS DOUBLE) AS {a.name}" for a in CARD_RISK.values() if a.name in KEYED)
 
 
 @query("stream_keyed_features", sql(f"SELECT * EXCLUDE (is_txn) FROM (SELECT txn_id, is_txn, {_KEYED_COLS} FROM ev) WHERE is_txn", "ev"))
 def stream_keyed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = ST.replay_groups(lambda: _stream(spark, sf_dir), CARD_RISK.only(KEYED))
+    got = ST.replay_groups(lambda: _stream(spark, sf_dir), CARD_RISK.pick(KEYED))
     return got.select("txn_id", *(F.round(n, 6).alias(n) for n in KEYED))
 
 
 @query("parity_diff", sql("SELECT f AS feature, (SELECT CAST(count(*) AS BIGINT) FROM txn) AS rows, 0::BIGINT AS null_mismatch, 0::BIGINT AS mismatch FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in CARD_ONLY) + "]) AS f)", "txn"))
 def parity_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch = compute(CARD_RISK.only(CARD_ONLY), *_txns(spark, sf_dir))
+    batch = compute(CARD_RISK.pick(CARD_ONLY), *_txns(spark, sf_dir))
     return X.parity(batch, _streamed(spark, sf_dir), "txn_id", CARD_ONLY).drop("max_diff")
 
 
@@ -735,7 +741,50 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink = shared_path(spark, "predictions")
     ST.scored_batches(_stream(spark, sf_dir).where("is_txn").drop("is_txn"), lambda b: D.bayes(T.scored(b)).select("txn_id", "action"), sink, shared_path(spark, "predictions-state"))
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).select("txn_id", "action")
+
+
+@query("stream_warm_start", sql(f"SELECT * EXCLUDE (is_txn, us) FROM (SELECT txn_id, is_txn, us, {_CARD_COLS} FROM ev) WHERE is_txn AND us >= {HALF}", "ev"))
+def stream_warm_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of the events as a snapshot, the second as a stream that starts from it."""
+    spec, at = CARD_RISK.pick(CARD_ONLY), shared_path(spark, "snapshot")
+    ST.snapshot(spec, events(*_txns(spark, sf_dir)).where(F.col("us") < HALF), at)
+    got = ST.replay(ST.stateful(_stream(spark, sf_dir).where(F.col("us") >= HALF), spec, warm=at), "warm")
+    return got.select("txn_id", *(F.round(n, 6).alias(n) for n in CARD_ONLY))
+
+
+#: Weights and usual values of a small scorer, and the knots of its calibration.
+WEIGHTS = {"card__count_24h": (0.5, 2.0), "card__sum_amount_7d": (0.001, 500.0), "card__since_last": (-0.000001, 86400.0), "card__distinct_merchant_24h": (0.25, 1.0), "card__max_amount_24h": (0.002, 200.0)}
+BIAS, KNOTS = -0.5, [(0.1, 0.01), (0.5, 0.2), (0.9, 0.8)]
+
+
+def _pipeline_sql(where: str = "is_txn") -> str:
+    adds = {n: f"coalesce({w!r}::DOUBLE * ({n} - {usual!r}::DOUBLE), 0.0::DOUBLE)" for n, (w, usual) in WEIGHTS.items()}
+    cols = ", ".join(f"CAST({agg_sql(CARD_RISK[n], 'ev')} AS DOUBLE) AS {n}" for n in WEIGHTS)
+    reasons = ", ".join(f"{{'less': -({a}), 'name': '{n}'}}" for n, a in adds.items())
+    steps = " ".join(f"WHEN raw < {b1}::DOUBLE THEN {v0}::DOUBLE + (raw - {b0}::DOUBLE) / ({b1}::DOUBLE - {b0}::DOUBLE) * ({v1}::DOUBLE - {v0}::DOUBLE)" for (b0, v0), (b1, v1) in zip(KNOTS[:-1], KNOTS[1:], strict=True))
+    return f"""SELECT txn_id, round(p, 6) AS p, CASE WHEN ca <= cr AND ca <= cd THEN 'approve' WHEN cr <= cd THEN 'review' ELSE 'decline' END AS action, reasons FROM (SELECT *, p * amount AS ca, 3.0::DOUBLE + (1 - p) * 1.0::DOUBLE + p * (1 - 0.95::DOUBLE) * amount AS cr, (1 - p) * (10.0::DOUBLE + 0.02::DOUBLE * amount) AS cd FROM (SELECT *, CASE WHEN raw < {KNOTS[0][0]}::DOUBLE THEN {KNOTS[0][1]}::DOUBLE {steps} ELSE {KNOTS[-1][1]}::DOUBLE END AS p FROM (SELECT txn_id, cents / 100.0::DOUBLE AS amount, 1 / (1 + exp(-({BIAS}::DOUBLE + {' + '.join(adds.values())}))) AS raw, array_to_string(list_transform(list_sort(list_filter([{reasons}], lambda x: x.less < 0))[1:3], lambda x: x.name), ',') AS reasons FROM (SELECT txn_id, is_txn, cents, {cols} FROM ev) WHERE {where})))"""
+
+
+def _scorer() -> Callable[[DataFrame], DataFrame]:
+    return ST.scorer(WEIGHTS, BIAS, KNOTS, lambda rows: D.bayes(rows.withColumn("amount", F.col("cents") / 100.0)))
+
+
+@query("stream_scoring_pipeline", sql(_pipeline_sql(), "ev"))
+def stream_scoring_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features, model, calibration, policy and reasons of a stream, batch by batch."""
+    sink, score = shared_path(spark, "decisions"), _scorer()
+    stream = ST.stateful(_stream(spark, sf_dir), CARD_RISK.pick(WEIGHTS))
+    ST.scored_batches(stream, lambda b: score(b.where("not late")).select("txn_id", F.round("p", 6).alias("p"), "action", "reasons"), sink, shared_path(spark, "decisions-state"))
+    return spark.read.parquet(sink).select("txn_id", "p", "action", "reasons")
+
+
+@query("decision_explanation", sql(_pipeline_sql("is_txn AND txn_id = 26"), "ev"))
+def decision_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the detail of one transaction shows of its score."""
+    t, cb = _txns(spark, sf_dir)
+    rows = compute(CARD_RISK.pick(WEIGHTS), t, cb).where("txn_id = 26").join(t.where("txn_id = 26").select("txn_id", "cents"), "txn_id")
+    return _scorer()(rows).select("txn_id", F.round("p", 6).alias("p"), "action", "reasons")
 
 
 # Sketches.
@@ -843,10 +892,13 @@ def logloss_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("txn_id", F.round(g, 9).alias("g"), F.round(h, 9).alias("h"))
 
 
-@query("focal_gradients")
+FOCAL = """SELECT txn_id, round(a * s * power(1 - q, 2) * (2 * q * ln(q) + q - 1), 9) AS g, round(greatest(a * q * (1 - q) * (power(1 - q, 2) * (2 * ln(q) + 3) - 2 * (1 - q) * (2 * q * ln(q) + q - 1)), 1e-6), 9) AS h FROM (SELECT txn_id, greatest(CASE WHEN y = 1 THEN 1 / (1 + exp(-m)) ELSE 1 - 1 / (1 + exp(-m)) END, 1e-12) AS q, CASE WHEN y = 1 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END AS a, CASE WHEN y = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM (SELECT txn_id, y, MARGIN AS m FROM sc))"""
+
+
+@query("focal_gradients", sql(FOCAL.replace("MARGIN", "p - 1"), "sc"))
 def focal_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, h = N.focal_gradients(F.col("p") - 1, F.col("y"))
-    return _scored(spark, sf_dir).select("txn_id", g.alias("g"), h.alias("h"))
+    return _scored(spark, sf_dir).select("txn_id", F.round(g, 9).alias("g"), F.round(h, 9).alias("h"))
 
 
 # Sources and sinks.
@@ -859,9 +911,9 @@ def month_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.read_months(spark, path, "1995-03", "1995-06").select("txn_id", F.col("month").cast("string").alias("month"))
 
 
-@query("materialized_features", sql(f"SELECT txn_id, v AS card__count_24h FROM (SELECT txn_id, is_txn, {agg_sql(next(a for a in CARD_RISK.aggs if a.name == 'card__count_24h'), 'ev')} AS v FROM ev) WHERE is_txn", "ev"))
+@query("materialized_features", sql(f"SELECT txn_id, v AS card__count_24h FROM (SELECT txn_id, is_txn, {agg_sql(next(a for a in CARD_RISK.values() if a.name == 'card__count_24h'), 'ev')} AS v FROM ev) WHERE is_txn", "ev"))
 def materialized_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = CARD_RISK.only(["card__count_24h"])
+    spec = CARD_RISK.pick(["card__count_24h"])
     return spark.read.parquet(storage.materialize(compute(spec, *_txns(spark, sf_dir)).drop("us"), shared_path(spark, "features"), spec))
 
 
@@ -900,29 +952,43 @@ def _asked(t: DataFrame) -> DataFrame:
     return t.select("card_id").distinct().select((-1 - F.col("card_id")).alias("txn_id"), F.lit(START + 20 * DAY).alias("us"), "card_id", (F.col("card_id") % 7).alias("merchant_id"), F.lit("view").alias("category"), F.lit(12345).cast("bigint").alias("cents"))
 
 
-def _peek_sql() -> str:
-    def one(a: Agg) -> str:
-        v = "cents" if a.column == "amount" else a.column
+def _peek_sql(names: list[str] = PEEK) -> str:
+    def one(a: Feature) -> str:
+        v = a.column
         same = "".join(f" AND e.{k} = q.{k}" for k in a.keys)
         low = f" AND e.us >= q.us - {a.span}" if a.span else ""
         where = f"FROM ev e WHERE e.us < q.us{low}{same} AND {'' if a.stream == 'txn' else 'NOT '}e.is_txn"
-        what = {"count": "CAST(count(*) AS BIGINT)", "sum": f"round(coalesce(sum({v}), 0) / 100.0::DOUBLE, 6)", "max": f"max({v}) / 100.0::DOUBLE", "distinct": f"CAST(count(DISTINCT {v}) AS BIGINT)", "since_last": "round((q.us - max(e.us)) / 1000000.0::DOUBLE, 6)", "mean": f"round(sum({v}) / nullif(count(*), 0)::DOUBLE / 100.0::DOUBLE, 6)"}[a.op]
+        what = {"count": "CAST(count(*) AS BIGINT)", "sum": f"round(coalesce(sum({v}), 0) / 100.0::DOUBLE, 6)", "max": f"max({v}) / 100.0::DOUBLE", "distinct": f"CAST(count(DISTINCT {v}) AS BIGINT)", "since_last": "round((q.us - max(e.us)) / 1000000.0::DOUBLE, 6)", "mean": f"round(sum({v}) / nullif(count(*), 0)::DOUBLE / 100.0::DOUBLE, 6)"}[a.measure]
         return f"(SELECT {what.replace('q.us', str(START + 20 * DAY))} {where}) AS {a.name}"
 
-    return "SELECT txn_id, " + ", ".join(one(a) for a in CARD_RISK.aggs if a.name in PEEK) + " FROM asked q"
+    return "SELECT txn_id, " + ", ".join(one(a) for a in CARD_RISK.values() if a.name in names) + " FROM asked q"
 
 
 @query("what_if", sql(_peek_sql(), "ev", more=ASKED))
 def what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, cb = _txns(spark, sf_dir)
-    spec = CARD_RISK.only(PEEK)
-    return _rounded(desk.what_if(spec, t, cb, _asked(t)), spec.names)
+    spec = CARD_RISK.pick(PEEK)
+    return _rounded(desk.what_if(spec, t, cb, _asked(t)), list(spec))
+
+
+LIVE = ["card__count_24h", "card__sum_amount_24h", "card__max_amount_24h", "card__distinct_merchant_24h", "card__distinct_category_24h", "card__since_last", "card__count_all", "card__mean_amount_all"]
+CLOCK_DAY = (START + 20 * DAY) // DAY
+
+
+@query("card_live_view", sql(_peek_sql(LIVE).replace("SELECT txn_id, ", f"SELECT q.card_id, gender, round(({CLOCK_DAY} - dob_days) / 365.25::DOUBLE, 6) AS age_years, ", 1) + " JOIN cust USING (card_id)", "ev", "cust", more=ASKED))
+def card_live_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of each card, its holder's age at the clock, and its features as they stand then."""
+    t, cb = _txns(spark, sf_dir)
+    spec, asked = CARD_RISK.pick(LIVE), _asked(t)
+    live = _rounded(peek(spec, t, cb, asked), list(spec)).select((-1 - F.col("txn_id")).alias("card_id"), *LIVE)
+    who = T.customers(spark, sf_dir).select("card_id", "gender", F.round((F.lit(CLOCK_DAY) - F.col("dob_days")) / 365.25, 6).alias("age_years"))
+    return R.lookup(live, who, "card_id", "inner").select("card_id", "gender", "age_years", *LIVE)
 
 
 @query("what_if_leaves_no_trace", sql("SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT card_id FROM txn)", "txn"))
 def what_if_leaves_no_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, cb = _txns(spark, sf_dir)
-    spec = CARD_RISK.only(PEEK)
+    spec = CARD_RISK.pick(PEEK)
     once = peek(spec, t, cb, _asked(t))
     again = peek(spec, t, cb, _asked(t).unionByName(_asked(t).withColumn("txn_id", F.col("txn_id") - 10_000)))
     return once.intersect(again).agg(F.count("*").alias("n"))
@@ -941,11 +1007,18 @@ def resolve_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return desk.resolve(queue, queue.where("txn_id % 2 = 1").select("txn_id", (F.col("y") == 1).alias("is_fraud")), START)[0].select("txn_id")
 
 
-@query("score_manual", sql(f"SELECT CAST(count(*) AS BIGINT) AS card__count_all FROM txn WHERE card_id = 3 AND us < {START + 20 * DAY}", "txn"))
+MANUAL = _pipeline_sql("txn_id = -4").replace("FROM ev)", "FROM (SELECT * FROM ev UNION ALL SELECT *, true FROM asked WHERE card_id = 3))")
+
+
+@query("score_manual", sql(f"SELECT m.*, round(home_lat + 10 / 111.2::DOUBLE, 9) AS merch_lat FROM ({MANUAL}) m, cust WHERE card_id = 3", "ev", "cust", more=ASKED))
 def score_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payment made up at the clock, ten kilometres north of its holder's home, recorded and scored."""
     t, cb = _txns(spark, sf_dir)
     payment = _asked(t).where("card_id = 3")
-    return compute(CARD_RISK.only(["card__count_all"]), desk.record(t, payment), cb).where("txn_id < 0").select("card__count_all")
+    rows = compute(CARD_RISK.pick(WEIGHTS), desk.record(t, payment), cb).where("txn_id < 0").join(payment.select("txn_id", "card_id", "cents"), "txn_id")
+    home = T.customers(spark, sf_dir).select("card_id", "home_lat")
+    got = R.lookup(_scorer()(rows), home, "card_id", "inner")
+    return got.select("txn_id", F.round("p", 6).alias("p"), "action", "reasons", F.round(desk.placed(F.col("home_lat"), F.lit(10)), 9).alias("merch_lat"))
 
 
 @query("idempotent_decisions", sql("SELECT txn_id, CASE WHEN txn_id % 2 = 0 THEN 'approve' ELSE action END AS action FROM acted", "acted"))
@@ -999,4 +1072,4 @@ def train_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, valid = _parts(spark, sf_dir)
     model = N.fit_trees(train, STUDY, rounds=3, depth=2, valid=valid)
     fixed = C.isotonic(model.binned(valid).select("y", N.sigmoid(model.margin()).alias("p")))
-    return E.ship(spark, model, *fixed, spec=CARD_RISK.version, algorithm="boosted trees")
+    return E.ship(spark, model, *fixed, spec=CARD_RISK.fingerprint, algorithm="boosted trees")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.relational import canonical_id, first_non_null, max_distinct, surrogate_keys
-from tidemark.plans.spec import FeatureSpec
+from tidemark.plans.spec import Catalog
 
 RAW = "trans_date_trans_time timestamp, cc_num long, merchant string, category string, amt decimal(10,2), gender string, city string, state string, zip string, lat double, long double, city_pop int, job string, dob date, trans_num string, merch_lat double, merch_long double, is_fraud int"
 
@@ -40,12 +40,12 @@ def read_months(spark: SparkSession, path: str, first: str, last: str) -> DataFr
     return spark.read.parquet(path).where(F.col("month").between(first, last))
 
 
-def feature_path(base: str, spec: FeatureSpec) -> str:
+def feature_path(base: str, spec: Catalog) -> str:
     """Where features of this declaration lie; another declaration has another place."""
-    return f"{base.rstrip('/')}/offline_features_{spec.version}"
+    return f"{base.rstrip('/')}/offline_features_{spec.fingerprint}"
 
 
-def materialize(features: DataFrame, base: str, spec: FeatureSpec) -> str:
+def materialize(features: DataFrame, base: str, spec: Catalog) -> str:
     path = feature_path(base, spec)
     features.write.mode("overwrite").parquet(path)
     return path
@@ -72,7 +72,8 @@ def export_subset(txns: DataFrame, chargebacks: DataFrame, start_us: int, histor
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A folder of CSV files, as many as ``df`` has partitions, each with a header."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def markdown(df: DataFrame, rows: int = 200) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import decisions as D
 from tidemark.plans.features import peek
-from tidemark.plans.spec import FeatureSpec
+from tidemark.plans.spec import Catalog
 
 KM_PER_DEGREE = 111.2
 
@@ -24,7 +24,7 @@ def placed(home_lat: Column, distance_km: Column) -> Column:
     return home_lat + distance_km / KM_PER_DEGREE
 
 
-def what_if(spec: FeatureSpec, txns: DataFrame, chargebacks: DataFrame, asked: DataFrame) -> DataFrame:
+def what_if(spec: Catalog, txns: DataFrame, chargebacks: DataFrame, asked: DataFrame) -> DataFrame:
     """Features of hypothetical payments, with nothing recorded."""
     return peek(spec, txns, chargebacks, asked)
 
