@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import sanitise
-from tidemark.llm.queries import _table
-from tidemark.llm.shared import written
+from tidemark.llm.shared import table, written
 from tidemark.llm.substring_dedup import cut_texts
 from tidemark.llm.toxicity import fit, score
 
@@ -26,7 +25,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, doesn't reject."""
-    model = fit(docs, _table(spark, sf_dir, "labels"))
+    model = fit(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
@@ -48,7 +47,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=200_000)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=800_000)
 
 
 STAGES: list[tuple[str, Stage]] = [("toxicity", toxicity), ("minhash_near_dedup", minhash_near_dedup), ("substring_dedup", substring_dedup), ("pii", pii), ("packing", packing)]
@@ -58,7 +57,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each reading what the one before wrote."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
