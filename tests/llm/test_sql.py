@@ -1,8 +1,4 @@
-"""Queries with SQL against DuckDB, and the entry points with and without this subpackage."""
-
-import subprocess
-import sys
-from pathlib import Path
+"""Queries with SQL against DuckDB, and what is registered."""
 
 import duckdb
 import pytest
@@ -24,16 +20,19 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(result.fetchall())
 
 
-def test_entry_works_without_this_subpackage(tmp_path):
-    root = Path(__file__).resolve().parents[2]
-    for p in ("tidemark", "__spark_entry__.py"):
-        (tmp_path / p).symlink_to(root / p) if p.endswith(".py") else None
-    copied = tmp_path / "tidemark"
-    copied.mkdir()
-    for p in (root / "tidemark").iterdir():
-        if p.name != "llm":
-            (copied / p.name).symlink_to(p)
-    (tmp_path / "__spark_entry__.py").unlink()
-    (tmp_path / "__spark_entry__.py").write_text((root / "__spark_entry__.py").read_text())
-    code = "import __spark_entry__ as e; n = e.queries(); assert 'all_features' in n and 'pipeline' not in n and e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "HOME": "/root", "PYTHONPATH": str(tmp_path)})
+def test_all_operators_and_the_pipeline_are_registered():
+    import __spark_entry__
+
+    names = __spark_entry__.queries().keys()
+    assert {n.split("_")[0] for n in Q.QUERIES} == {f"op{i}" for i in range(1, 11)} and names >= {*Q.QUERIES, "pipeline"}
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from tidemark.llm import shared
+
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda *_: "")})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Elsewhere)

@@ -3,88 +3,67 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def _tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+import corpus_pipeline
+from tidemark.llm import toxicity
+from tidemark.llm.exact_topk import top_products
+from tidemark.llm.html_blocks import extract
+from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.packing import pack
+from tidemark.llm.pii import digests
+from tidemark.llm.sentence_pieces import encode_digests
+from tidemark.llm.shared import table
+from tidemark.llm.substring_dedup import cut_digests
+from tidemark.llm.token_counts import count_tokens
+from tidemark.llm.vector_links import near_vectors
 
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers import this package; a driver that only put it on its own path has not told them.
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH")]))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.packing import pack
-
-    return pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.sentence_pieces import encode_digests
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
-    return encode_digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_digests(table(spark, sf_dir, "documents"))
 
-def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.near_dedup import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.html_blocks import extract
-
-    return extract(_table(spark, sf_dir, "pages"))
+    return extract(table(spark, sf_dir, "pages"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.token_counts import count_tokens
-
-    return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
-
-
-def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.substring_dedup import cut_digests
-
-    return cut_digests(_table(spark, sf_dir, "documents"))
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.pii import digests
-
-    return digests(_table(spark, sf_dir, "documents"))
+    return digests(table(spark, sf_dir, "documents"))
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.vector_links import near_vectors
-
-    return near_vectors(_table(spark, sf_dir, "embeddings"))
-
-
-def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.exact_topk import top_products
-
-    return top_products(_table(spark, sf_dir, "embeddings"))
+    return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.toxicity import fit, held_out, score
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep_text=False).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs, _table(spark, sf_dir, "labels"))
-    return score(docs, model, keep_text=False).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_substring_dedup, op4_minhash_near_dedup, op5_html_extraction, op6_token_counts, op7_pii, op8_embedding_near_dedup, op9_toxicity, op10_exact_topk)}
@@ -121,12 +100,8 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict[str, Query]:
-    import corpus_pipeline
-
     return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
     return ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
