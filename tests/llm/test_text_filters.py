@@ -275,6 +275,21 @@ def test_odd_pages(spark):
     assert [b.text for b in H.blocks("<p>one<br>two <b>three</b><p>four<ul><li>five<li>six</ul>")] == ["one two three", "four", "five", "six"]
 
 
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<a", "<a '\"", "<!", "<div>", "<p>x</q>", "<script></script "])
+def test_long_odd_pages_take_time_in_proportion(unit):
+    page = unit * (1_000_000 // len(unit))
+    began = time.time()
+    H.blocks(page)
+    H.blocks(page + '>"')
+    assert time.time() - began < 20
+
+
+def test_tags_after_one_that_never_ends():
+    assert [b.text for b in H.blocks("<p>one</p><div title=\"x>y\">two</div><p>three <b four")] == ["one", "two", "three <b four"]
+    assert [b.text for b in H.blocks("<p>a<i \"<p>b</p> c='d'")] == ["ab", "c='d'"]
+    assert [b.text for b in H.blocks("<script>if (a<b) x=\"</script><p>text</p>")] == ["text"]
+
+
 def test_stages_take_effect(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     spark_dir, counts = "/root/testdata/sf0.001", [docs.count()]

@@ -17,6 +17,8 @@ import html as references
 import random
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -33,7 +35,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("script style noscript template svg iframe object select textarea title math canvas audio video".split())
 #: Fixed value: a paragraph ends where one of these begins.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?>[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
+OTHER = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
+#: A comment and the like, a tag, or the beginning of a tag that never ends.
+TAG = re.compile(rf"""{OTHER}|<(/?)([A-Za-z][^\s/>]*+)((?>[^>"']++|"[^"]*"|'[^']*'|["'])*+)>|(</?[A-Za-z])""", re.S)
+START = re.compile(rf"{OTHER}|<(/?)(?=[A-Za-z])", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
@@ -64,13 +69,51 @@ _steps = Remembered(_step, 20_000, 400)
 _buckets = Remembered(lambda w: zlib.crc32(w.encode("utf-8", "replace")) % WORDS, 200_000)
 
 
+class Ends:
+    """The tags of a page from a place on, where a tag begins that never ends.
+
+    A tag ends at the first bracket outside quotes.  Ends are looked up in a table made from behind, so that many
+    beginnings without an end don't each look through the rest of the page.
+    """
+
+    def __init__(self, page: str, at: int) -> None:
+        self.page = page
+        self.marks = [m.start() for m in re.compile("[\"'>]").finditer(page, at)]
+        self.names = [m.start() for m in re.compile(r"[\s/>]").finditer(page, at)]
+        self.ends = [-1] * (len(self.marks) + 1)
+        closing = {}
+        for j in range(len(self.marks) - 1, -1, -1):
+            c = page[self.marks[j]]
+            if c == ">":
+                self.ends[j] = self.marks[j]
+            else:  # behind the quote that closes this one, or behind this one if none does
+                self.ends[j] = self.ends[closing.get(c, j) + 1]
+                closing[c] = j
+
+    def after(self, at: int) -> tuple[int, int, str | None, str | None, str | None] | None:
+        """Start and end of the next tag, comment or the like, and a tag's slash, name and attributes."""
+        while m := START.search(self.page, at):
+            if m[1] is None:
+                return m.start(), m.end(), None, None, None
+            i = bisect_left(self.names, m.end())
+            if i < len(self.names):
+                stop = self.names[i]
+                end = self.ends[bisect_left(self.marks, stop)]
+                if end >= 0:
+                    return m.start(), end + 1, m[1], self.page[m.end() : stop], self.page[stop:end]
+            at = m.end()
+        return None
+
+
 def blocks(page: str) -> list[Block]:
     """All blocks with text, in page order; white space is one space, references are decoded."""
     out: list[Block] = []
     root = np.zeros(PATH, np.float32)
     stack: list[tuple[str, np.ndarray]] = []
+    standing: Counter[str] = Counter()
     parts: list[str] = []
-    here, linked, link_depth, at, silent = root, 0, 0, 0, ""
+    here, linked, link_depth, at = root, 0, 0, 0
+    ends: Ends | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -81,28 +124,39 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(text, here, linked))
         linked = 0
 
-    for m in TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at and not silent:
-            parts.append(page[at : m.start()])
+    def leave(n: int) -> None:
+        for name, _ in stack[n:]:
+            standing[name] -= 1
+        del stack[n:]
+
+    while True:
+        if ends is None:
+            m = TAG.search(page, at)
+            if m is None:
+                break
+            if m[4]:
+                ends = Ends(page, m.start())
+                continue
+            start, stop = m.span()
+            closes, name, attributes = m.group(1, 2, 3)
+        elif (t := ends.after(at)) is not None:
+            start, stop, closes, name, attributes = t
+        else:
+            break
+        if start > at:
+            parts.append(page[at:start])
             if link_depth:
-                linked += m.start() - at
-        at = m.end()
-        name = m[2]
+                linked += start - at
+        at = stop
         if name is None:
-            if m[0].startswith("<![CDATA[") and not silent:
-                parts.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
-            continue
-        tag, closes = name.lower(), m[1]
-        if silent:
-            if closes and tag == silent:
-                silent = ""
+            if page.startswith("<![CDATA[", start):
+                parts.append(page[start + 9 : stop].removesuffix("]]>").replace("&", "&amp;"))
             continue
+        tag = name.lower()
         if tag in SILENT and not closes:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if not attributes.endswith("/"):
+                end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+                at = (page.find(">", end.end()) + 1 or len(page)) if end else len(page)
             continue
         if tag == "a":
             link_depth = 0 if closes else 1
@@ -112,23 +166,21 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if closes:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if standing[tag]:
+                leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             link_depth = 0
         else:
             if tag in ENDS_P and stack and stack[-1][0] == "p":
-                stack.pop()
+                leave(len(stack) - 1)
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-                stack.pop()
-            if tag not in VOID and not m[3].endswith("/"):
-                names = " ".join(x or y or z for x, y, z in NAMES.findall(m[3])) if m[3] else ""
+                leave(len(stack) - 1)
+            if tag not in VOID and not attributes.endswith("/"):
+                names = " ".join(x or y or z for x, y, z in NAMES.findall(attributes)) if attributes else ""
                 above = stack[-1][1] if stack else root
                 stack.append((tag, np.float32(0.85) * above + _steps[f"{tag} {names}" if names else tag]))
+                standing[tag] += 1
         here = stack[-1][1] if stack else root
-    if not silent:
-        parts.append(page[at:])
+    parts.append(page[at:])
     flush()
     return out
 
