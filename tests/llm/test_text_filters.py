@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -15,6 +16,8 @@ from tidemark.llm import pii
 from tidemark.llm import queries as Q
 from tidemark.llm import toxicity as T
 
+from .test_dedup import WORD, cut_literally, link_literally
+
 DIR = "/root/testdata/sf0.01"
 
 
@@ -305,6 +308,47 @@ def test_stages_take_effect(spark):
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in ids} and all(r["n"] == r["due"] for r in pieces)
 
 
+def test_each_stage_equals_brute_force(spark, toxic_model, path):
+    """Every stage over what the one before kept, held against its rule applied literally."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    given = [r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").where("length(text) between 200 and 1500").orderBy("doc_id").limit(120).collect()]
+    shared = [" ".join(f"s{i}x{k}" for k in range(30)) for i in range(3)]
+    texts = given + [t + " extra" for t in given[:15]] + given[15:20]
+    texts += [f"{rng.choice(given)} {rng.choice(shared)} mail me{i % 4}@corp.com or 10.0.0.{i % 3}" for i in range(20)] + ["", None, "one two"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def after(name):
+        nonlocal docs
+        docs = corpus_pipeline.written(dict(corpus_pipeline.STAGES)[name](spark, docs, DIR), name)
+        return {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    model = T.fit(docs, spark.read.parquet(f"{DIR}/labels.parquet"))
+    p = lambda t: 1 / (1 + np.exp(-(model.bias + sum(model.word(w) for w in set(WORD.findall(t or ""))))))
+    kept = {i: t for i, t in rows if p(t) < 0.7}
+    assert after("toxicity") == kept
+    kept = {i: t for i, t in kept.items() if link_literally(list(kept.items()))[i][2]}
+    assert after("minhash_near_dedup") == kept
+    sizes = cut_literally(list(kept.items()))
+    got = after("substring_dedup")
+    for i, t in kept.items():
+        assert got[i] == t if not sizes[i][1] else hashlib.sha256(got[i].encode()).hexdigest() == sizes[i][2]
+    assert any(n for _, n, _ in sizes.values())
+    before = list(got.items())
+    marks = [[(a, b, f"[{k.upper()}]") for a, _, k, b in base_spans(t)] + [(a, b, "[TERM]") for a, b in own] for (_, t), own in zip(before, term_spans(before), strict=True)]
+    want = {i: None if t is None else sanitised(t, m) for (i, t), m in zip(before, marks, strict=True)}
+    got = after("pii")
+    assert got == want and any(marks)
+    lib = Tokenizer.from_file(path("word_bpe_49k.json"))
+    pieces = dict(corpus_pipeline.STAGES)["packing"](spark, docs, DIR).collect()
+    for i, t in got.items():
+        ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        own = sorted((r for r in pieces if r["doc_id"] == i), key=lambda r: r["start"])
+        assert sum(r["length"] for r in own) == len(ids) and all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own)
+
+
 def test_stages_on_odd_rows(spark, odd, none):
     for start in (odd, none):
         docs = start

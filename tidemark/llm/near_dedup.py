@@ -6,9 +6,10 @@ nodes by their minwise value at positions that the node's path selects; a node t
 exhaustively by the minwise values, a large one branches again, and one that stays large at the last level is
 compared in blocks.  Pairs that may reach the threshold are confirmed on the full sets.
 
-A pair at the threshold lands in a common child with chance 1 - (1 - similarity)**branches, so it misses all trees
-with a chance below 1e-4 by the default parameters; a pair in a common node is passed over only when its minwise
-agreement is four standard deviations low.
+A pair at the threshold shares a child of a node with chance 1 - (1 - similarity)**branches = 0.94 by the default
+parameters.  Where no node branches again it misses all five trees with chance 1e-6, where its nodes branch three
+times with chance 2e-4.  A pair in a common node is passed over only when its minwise agreement is four standard
+deviations low.
 
 A node emits the pairs of a spanning forest with the most agreement instead of all pairs, which gives the same
 components if the forest's pairs are confirmed.  Where they are not, so that a node still holds documents of
