@@ -5,7 +5,7 @@ split again by pivots of their own, and each vector keeps its best ``overlap`` s
 every shard each vector gets a list of neighbours by robust pruning; then all pairs of the shard are compared, and
 links between groups that the lists don't join are added to them, so that dense groups, whose members' nearest are
 all their own, lose no link to each other.  The lists of a vector from all its shards are united.  Then each shard searches for all its vectors at once: a greedy search from the shard's medoid, and
-from what is in range an expansion along the united lists until nothing new is in range, by cosine in double
+from what is in range, the vector itself included, an expansion along the united lists until nothing new is in range, by cosine in double
 precision.  Links leave a shard as a spanning forest.  Then every pair within a component is verified, in blocks
 where the component is large, which finds links that no shard held and counts each link once; no pair leaves its
 task, only counts do.
@@ -71,7 +71,7 @@ def _deal(members: DataFrame, pivots: DataFrame, overlap: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(3)), pa.array(np.concatenate(out_shard)), pa.array(np.concatenate(out_near))], ["kind", "vec_id", "embedding", "shard", "near"])
 
     joined = members.join(pivots, ["kind", "shard"]).select("kind", "vec_id", "embedding", "shard", "pivots")
-    return joined.mapInArrow(run, "kind string, vec_id long, embedding array<float>, shard long, near double")
+    return joined.mapInArrow(run, "kind string, vec_id long, embedding array<double>, shard long, near double")
 
 
 def shards(vectors: DataFrame, overlap: int, most: int, levels: int) -> DataFrame:
@@ -376,16 +376,16 @@ def _due(own: dict[str, tuple[np.ndarray, np.ndarray]], link: float) -> Callable
     return run
 
 
-def near_vectors(rows: DataFrame, link: float = LINK, overlap: int = 4, most: int = 8192, levels: int = 6, target: float = 0.95) -> DataFrame:
+def near_vectors(rows: DataFrame, link: float = LINK, overlap: int = 4, most: int = 512, levels: int = 6, target: float = 0.95, block: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id (smallest vec_id reachable by links, itself included) and kept (the two are equal)."""
     rows = rows.select("vec_id", "embedding", "label")
     kind = F.concat_ws("/", F.col("label").cast("string"), F.size("embedding").cast("string"))
     vectors = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding")))
-    vectors = vectors.groupBy("vec_id").agg(F.min(F.struct(kind.alias("kind"), F.col("embedding").cast("array<float>").alias("embedding"))).alias("x")).select("x.kind", "vec_id", "x.embedding")
+    vectors = vectors.groupBy("vec_id").agg(F.min(F.struct(kind.alias("kind"), F.col("embedding").cast("array<double>").alias("embedding"))).alias("x")).select("x.kind", "vec_id", "x.embedding")
     vectors = written(vectors, "vectors")
     while True:
         label = components(_links(vectors, link, overlap, most, levels))
-        counts = written(_counts(vectors, label, link, most // 4), "counts")
+        counts = written(_counts(vectors, label, link, block), "counts")
         if not levels or audit(vectors, counts, link) >= target:
             break
         # Without levels each pair of blocks of a label is a shard, so that all pairs of the label are compared.
