@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import near_dedup, vector_links
+from tidemark.llm import exact_topk, near_dedup, vector_links
 from tidemark.llm.components import components
 from tidemark.llm.exact_topk import top_products
 from tidemark.llm.near_dedup import near_duplicates
@@ -55,15 +55,28 @@ def test_substrings_equal_brute_force(spark, seed, batches):
 
 def test_batches_added_later_are_held_against_all_before(spark):
     text = " ".join(f"a{i}" for i in range(40))
-    one, two = (spark.createDataFrame([(i, text)], "doc_id long, text string") for i in (1, 2))
+    one, two = (spark.createDataFrame([(i, text, 0)], "doc_id long, text string, rank long") for i in (1, 2))
     index = FingerprintIndex(spark, fanout=2)
     assert index.add(one).where("verdict = 1").count() == 0
     assert index.add(two).where("verdict = 1").count() > 0
     assert len(index.runs) == 1  # compacted
-    assert index.add(spark.createDataFrame([(3, text)], "doc_id long, text string")).where("verdict = 1").count() > 0
+    assert index.add(spark.createDataFrame([(3, text, 0)], "doc_id long, text string, rank long")).where("verdict = 1").count() > 0
     index.clear()
 
 
+def test_several_texts_of_one_doc_id(spark):
+    """They are parts of one document in order of their hashes."""
+    long, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"a{i}" for i in range(20, 90))
+    rows = [(1, "short text"), (1, long), (1, other), (1, other), (2, long), (3, other + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r)[:3] + (len(r["text"].split()),) for r in cut_repeats(df).select("doc_id", "n_words", "n_removed", "text").collect())
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    first = 40 if hashes[other] < hashes[long] else 0  # words of the later of the two that the earlier has
+    want = [(1, 2, 0, 2), (1, 60, first, 60 - first), *[(1, 70, 40 - first, 30 + first)] * 2, (2, 60, 60, 0), (3, 71, 70, 1)]
+    assert got == sorted(want)
+    assert sorted(r["text"] for r in cut_texts(df).collect()) == sorted(r["text"] for r in cut_repeats(df).collect())
+
+
 def test_odd_rows_of_substrings(odd, none):
     want = cut_literally([(r["doc_id"], r["text"]) for r in odd.collect()])
     got = cut_digests(odd).collect()
@@ -194,7 +207,7 @@ def links_literally(rows):
 ODD_VECTORS = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] + [1.0] * 15, 1), (903, [1.0] * 16, None), (904, [1.0] * 16, 1), (905, [1.0] * 16, 1), (906, [None] + [1.0] * 15, 1), (907, [], 1), (908, [1.0, 2.0], 1), (950, [float("inf")] * 16, 1)]
 
 
-@pytest.mark.parametrize("most", [8192, 60])
+@pytest.mark.parametrize("most", [512, 60])
 def test_vector_links_equal_brute_force(spark, most):
     rows = vectors(250, 0) + ODD_VECTORS
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as shard", "2 as v")
@@ -206,6 +219,13 @@ def test_vector_links_equal_brute_force(spark, most):
         assert got == want
 
 
+def test_vectors_beyond_single_precision(spark):
+    rows = [(1, [1e300, 0.0], 1), (2, [1e300, 1e299], 1), (3, [1e-50, 0.0], 2), (4, [1e-50, 1e-51], 2), (5, [1.0, 0.0], 3), (6, [1.0, 1e300], 3), (7, [0.0, 5e-324], 4), (8, [0.0, 1.0], 4)]
+    rows += [(9, [1.0, float(np.sqrt(1 / 0.93**2 - 1)) + 1e-9], 5), (10, [1.0, 0.0], 5), (11, [1.0, float(np.sqrt(1 / 0.93**2 - 1)) - 1e-9], 6), (12, [1.0, 0.0], 6)]
+    got = {r["vec_id"]: tuple(r)[1:] for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert {i: g[:2] for i, g in got.items()} == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6), 7: (1, 7), 8: (1, 7), 9: (0, 9), 10: (0, 10), 11: (1, 11), 12: (1, 11)}
+
+
 def test_linked_dense_groups_of_vectors_are_joined(spark):
     """Each vector's nearest are all of its own group; two groups' centres have cosine 0.95, and searches start in a third, larger one."""
     rng = np.random.default_rng(3)
@@ -226,13 +246,13 @@ def test_labels_split_several_times_are_dealt_by_their_own_pivots(spark):
     for k, d in enumerate((16, 16, 12)):
         base = rng.normal(size=(400, d))
         rows += [(10000 * k + i, (base[i % 400] + 0.1 * rng.normal(size=d)).tolist(), f"{k}/{d}") for i in range(1200)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, kind string")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, kind string")
     df = df.orderBy(F.xxhash64("vec_id"))  # kinds mixed in every slice
     found = components(vector_links._links(df, 0.93, 4, 100, 6))
     have = vector_links._counts(df, found, 0.93, 2048).agg(F.sum("n_links")).first()[0]
     due = 0
     for k in {r[2] for r in rows}:
-        x = np.array([r[1] for r in rows if r[2] == k], np.float32).astype(float)
+        x = np.array([r[1] for r in rows if r[2] == k])
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         due += int((x @ x.T >= 0.93).sum()) - len(x)
     assert 0.95 * due <= have <= due
@@ -264,15 +284,45 @@ def test_vector_tables_without_rows(spark):
     assert near_vectors(none).count() == 0 and top_products(none).count() == 0
 
 
-@pytest.mark.parametrize(("row_block", "query_block", "slices"), [(2048, 1024, 2), (40, 3, 4)])
-def test_top_products_equal_brute_force(spark, row_block, query_block, slices):
-    rows = vectors(300, 2) + ODD_VECTORS + [(None, [1.0] * 16, 1), (1000, [0.5] * 16, None), (1001, [0.5] * 16, 2)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as score", "2 as rank")
-    got = sorted(tuple(r) for r in top_products(df, row_block=row_block, query_block=query_block, slices=slices).collect())
-    ok = [(r[0], np.floor(256 * np.array(r[1], float))) for r in rows if r[0] is not None and r[1] and all(x is not None and np.isfinite(x) for x in r[1])]
-    want = []
+def products_literally(rows):
+    ok = [(r[0], [int(v) for v in np.floor(256 * np.array(r[1], float))]) for r in rows if r[0] is not None and r[1] and all(x is not None and np.isfinite(x) for x in r[1])]
+    out = []
     for i, q in ok:
         if i % 50 == 0:
-            best = sorted((-int(q @ x), j) for j, x in ok if j != i and len(x) == len(q))[:5]
-            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
-    assert got == sorted(want)
+            best = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for j, x in ok if j != i and len(x) == len(q))[:5]
+            out += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("tile", "query_block", "slices"), [(1024, 1024, 8), (40, 3, 4), (7, 100, 1)])
+def test_top_products_equal_brute_force(spark, monkeypatch, tile, query_block, slices):
+    rows = vectors(300, 2) + ODD_VECTORS + [(None, [1.0] * 16, 1), (1000, [0.5] * 16, None), (1001, [0.5] * 16, 2), (1050, [2.0**20] * 16, 1), (1051, [2.0**19 + 0.3] * 16, 1)]
+    monkeypatch.setattr(exact_topk, "TILE", tile)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as score", "2 as rank")
+    got = sorted(tuple(r) for r in top_products(df, query_block=query_block, slices=slices).collect())
+    assert got == products_literally(rows)
+
+
+def test_the_cutoff_leaves_few_entries_to_resolve(spark):
+    """Parts of all but the last slice rule out nine of ten entries, and the first phase's cutoffs are not above the k-th best."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 64))
+    x[1::2] = x[::2] + 0.3 * rng.normal(size=(2000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    ids = np.arange(4000)
+    asked = exact_topk.Asked(ids[:1000:50], x[:1000:50], np.full(20, -np.inf))
+    sent = [exact_topk.leading(asked, ids[lo : lo + 1000], x[lo : lo + 1000], 5, 8) for lo in range(0, 4000, 1000)]
+    of, score = np.concatenate([s[0] for s in sent]), np.concatenate([s[2] for s in sent])
+    true = asked.x @ x.T
+    true[np.arange(20), asked.ids] = -np.inf
+    cutoff = np.array([np.sort(score[of == i])[-5] for i in range(20)], float)
+    assert (cutoff <= np.sort(true, 1)[:, -5]).all() and (np.bincount(of) == 20).all()
+    of, at, score, resolved = exact_topk.reaching(asked._replace(cutoff=cutoff), ids, x, 8)
+    assert resolved < 0.1 * true.size
+    assert {*zip(of.tolist(), at.tolist(), score.tolist(), strict=True)} == {(i, j, int(true[i, j])) for i, j in zip(*np.nonzero(true >= cutoff[:, None]), strict=True)}
+
+
+def test_the_plan_of_top_products_copies_no_vectors(spark):
+    df = spark.createDataFrame(vectors(100, 2), "vec_id long, embedding array<float>, label int")
+    plan = top_products(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and "CoGroup" not in plan

@@ -14,7 +14,8 @@ Runs are compacted into one when there are ``fanout`` of them.  Repeats within a
 the shuffle, so that a passage that many documents share sends one entry for each slice.
 
 Cases: a null or empty text has no words; fewer than ``WINDOW`` words have no window; ties in place are broken by
-doc_id, then by start; rows that repeat with their doc_id count as one document; rows with a null doc_id stay
+doc_id, then by start; rows that repeat with their doc_id count as one document; different texts under one doc_id
+are parts of one document, in order of their hashes, without windows across them; rows with a null doc_id stay
 whole and are no history; very long texts are one document like others; an empty table gives an empty table; only
 ``doc_id`` and ``text`` are read, so other columns and their names don't matter.
 """
@@ -26,17 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import dropped, written
 from tidemark.llm.textutil import arrow_map, mix64, split_words, word_hashes
 
 WINDOW, GRAM = 20, 7
+#: Ranges of doc_id that are added one after the other, and runs that are compacted into one.
+BATCHES, FANOUT = 3, 2
 BASE = 0x9E3779B97F4A7C15
 ENTRY = "doc long, at long, fp long, ctx long, repeat boolean"
-#: ``at`` holds the first window's start and, in the lowest bits, the number of windows after it.
-BITS = 8
+#: ``at`` holds, from the lowest bits up, the number of windows after the first, the first's start, and the rank of the text among those of its doc_id.
+BITS, STARTS = 8, 40
 
 
 class Hashes:
@@ -69,6 +72,19 @@ def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def _counted(at: np.ndarray | int) -> np.ndarray | int:
+    """Number of windows after the first."""
+    return at & ((1 << BITS) - 1)
+
+
+def _start(at: np.ndarray | int) -> np.ndarray | int:
+    return at >> BITS & ((1 << STARTS) - 1)
+
+
+def _rank(at: np.ndarray | int) -> np.ndarray | int:
+    return at >> (BITS + STARTS)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -108,7 +124,8 @@ def _entries(batch: pa.RecordBatch) -> pa.RecordBatch:
     fp = grams[p]
     with np.errstate(over="ignore"):
         ctx = mix64(sums.of(a, b + WINDOW) + mix64(((p - a) * 64 + (b - a)).astype(np.uint64)))
-    own, at = doc[a], ((a - first[a]) << BITS) | (b - a)
+    rank = np.repeat(batch.column(2).to_numpy(), np.diff(offsets))
+    own, at = doc[a], (rank[a] << (BITS + STARTS)) | ((a - first[a]) << BITS) | (b - a)
     order = np.lexsort((at, own, ctx, fp))
     repeat = np.zeros(len(a), bool)
     same = _first_flags(order, fp, ctx)
@@ -118,18 +135,19 @@ def _entries(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Two fingerprints of each window named in ``spots`` of doc, text, spots."""
+    """Two fingerprints of each window named in ``spots`` of doc, text, rank, spots."""
     words, codes, offsets = split_words(batch.column(1))
     hashes = word_hashes(words)[codes] if len(words) else np.zeros(0, np.uint64)
     starts, docs = [], []
-    for i, (doc, spots) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-        own = np.unique(np.concatenate([np.arange(s >> BITS, (s >> BITS) + (s & ((1 << BITS) - 1)) + 1) for s in spots]))
+    ranks = batch.column(2).to_numpy()
+    for i, (doc, spots) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+        own = np.unique(np.concatenate([np.arange(_start(s), _start(s) + _counted(s) + 1) for s in spots if _rank(s) == ranks[i]] or [np.zeros(0, np.int64)]))
         starts.append(own + offsets[i])
         docs.append(np.full(len(own), doc))
     start, doc = np.concatenate(starts), np.concatenate(docs)
     base = np.concatenate([np.full(len(s), offsets[i]) for i, s in enumerate(starts)])
     fp, ctx = Hashes(hashes).of(start, start + WINDOW), Hashes(mix64(hashes), 0xD1342543DE82EF95).of(start, start + WINDOW)
-    at = (start - base) << BITS
+    at = (np.repeat(ranks, [len(x) for x in starts]) << (BITS + STARTS)) | ((start - base) << BITS)
     order = np.lexsort((at, doc, ctx, fp))
     repeat = np.zeros(len(at), bool)
     same = _first_flags(order, fp, ctx)
@@ -194,13 +212,13 @@ VERDICT = "doc long, at long, verdict int"
 class FingerprintIndex:
     """Sorted runs of entries of all documents added so far."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4) -> None:
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
         self.spark, self.fanout = spark, fanout
         self.runs: list[DataFrame] = []
 
     def add(self, docs: DataFrame, remember: bool = True) -> DataFrame:
-        """Verdicts on the entries of ``docs`` (see ``_judge``) against all documents before; they join the index if ``remember``."""
-        rows = arrow_map(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), _entries, ENTRY)
+        """Verdicts on the entries of ``docs``, as ``ranked`` gives them, (see ``_judge``) against all documents before; they join the index if ``remember``."""
+        rows = arrow_map(docs.select("doc_id", "text", "rank").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), _entries, ENTRY)
         settled = written(rows, "entries")
         run = settled.where(~F.col("repeat")).select("doc", "at", "fp", "ctx")
         if remember:
@@ -243,13 +261,14 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
     words, codes, offsets = split_words(batch.column(1))
     names = np.array(words, object)
     texts, sizes, gone = [], [], []
-    for i, spots in enumerate(batch.column(2).to_pylist()):
+    ranks = batch.column(2).to_pylist()
+    for i, spots in enumerate(batch.column(3).to_pylist()):
         own = codes[offsets[i] : offsets[i + 1]]
         cover = np.zeros(len(own) + 1, np.int64)
         for s in spots or ():
-            start = s >> BITS
-            cover[start] += 1
-            cover[start + (s & ((1 << BITS) - 1)) + WINDOW] -= 1
+            if _rank(s) == ranks[i]:
+                cover[_start(s)] += 1
+                cover[_start(s) + _counted(s) + WINDOW] -= 1
         keep = np.cumsum(cover)[:-1] == 0
         texts.append(" ".join(names[own[keep]]))
         sizes.append(len(own))
@@ -262,10 +281,25 @@ def _cut_digest(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([out.column(0), out.column(2), out.column(3), pa.array([_digest(t) for t in out.column(1).to_pylist()])], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def repeated_spots(docs: DataFrame, batches: int = 2) -> DataFrame:
-    """doc and spots: starts (and numbers of further windows) of all windows that occurred before.  The documents join the index in ``batches`` ranges of doc_id."""
+def ranked(docs: DataFrame, hidden: str = "rank") -> DataFrame:
+    """``docs`` and the place of each row's text among the different texts of its doc_id, 0 but for the few that share a doc_id."""
+    own = F.xxhash64("text")
+    shared = docs.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("doc_id")
+    shared = written(shared, "shared")
+    if not shared.limit(1).count():
+        return docs.withColumn(hidden, F.lit(0).cast("long"))
+    several = docs.select("doc_id", own.alias("hash")).join(shared, "doc_id").distinct()
+    several = several.select(F.col("doc_id").alias("of"), "hash", (F.row_number().over(Window.partitionBy("doc_id").orderBy("hash")) - 1).cast("long").alias("place"))
+    several = written(several, "several")
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.join(several, (F.col("row.doc_id") == F.col("of")) & (F.xxhash64("row.text") == F.col("hash")), "left")
+    return rows.select(*(F.col(f"row.`{n}`") for n in docs.columns), F.coalesce("place", F.lit(0).cast("long")).alias(hidden))
+
+
+def repeated_spots(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """doc and spots: starts (and numbers of further windows) of all windows that occurred before, of ``docs`` as ``ranked`` gives them.  They join the index in ``batches`` ranges of doc_id."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", "rank")
     index = FingerprintIndex(spark)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] if batches > 1 else []
     edges = sorted(set(cuts or []))
@@ -282,7 +316,7 @@ def repeated_spots(docs: DataFrame, batches: int = 2) -> DataFrame:
     for part in parts[1:]:
         verdicts = verdicts.unionByName(part)
     doubtful = verdicts.where("verdict = 2").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("at").alias("spots"))
-    texts = docs.where(F.col("doc_id").isNotNull()).join(doubtful.hint("merge"), "doc_id").select("doc_id", "text", "spots")
+    texts = docs.where(F.col("doc_id").isNotNull()).join(doubtful.hint("merge"), "doc_id").select("doc_id", "text", "rank", "spots")
     windows = written(arrow_map(texts, _windows, ENTRY), "windows")
     late = _ordered(windows.where(~F.col("repeat")).withColumn("new", F.lit(True))).mapInArrow(_judge, VERDICT).where("verdict = 1")
     repeats = verdicts.where("verdict = 1").select("doc", "at").unionByName(windows.where("repeat").select("doc", "at")).unionByName(late.select("doc", "at"))
@@ -290,40 +324,42 @@ def repeated_spots(docs: DataFrame, batches: int = 2) -> DataFrame:
 
 
 def _joined(docs: DataFrame, batches: int) -> DataFrame:
-    docs = docs.select("doc_id", "text")
-    return docs.join(repeated_spots(docs, batches).hint("merge"), "doc_id", "left").select("doc_id", "text", "spots")
+    docs = ranked(docs.select("doc_id", "text"))
+    return docs.join(repeated_spots(docs, batches).hint("merge"), "doc_id", "left").select("doc_id", "text", "rank", "spots")
 
 
-def cut_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
+def cut_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, text of the kept words joined by spaces, n_words and n_removed."""
     return arrow_map(_joined(docs, batches), _cut, "doc_id long, text string, n_words long, n_removed long")
 
 
-def cut_digests(docs: DataFrame, batches: int = 2) -> DataFrame:
+def cut_digests(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of the kept words joined by spaces."""
     return arrow_map(_joined(docs, batches), _cut_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def cut_texts(docs: DataFrame, batches: int = 2) -> DataFrame:
+def cut_texts(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """docs, all columns, with repeats cut out of ``text``: the kept words joined by spaces, or the text as it was where none is cut."""
     names = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"))
-    spots = repeated_spots(docs, batches).withColumnRenamed("doc_id", "of")
-    free = "spots" + "_" * max(map(len, names))  # longer than any name there is
-    joined = rows.join(spots.hint("merge"), F.col("row.doc_id") == F.col("of"), "left").select(*(F.col(f"row.`{n}`") for n in names), F.col("spots").alias(free))
+    of, spots = (n + "_" * max(map(len, names)) for n in ("rank", "spots"))  # longer than any name there is
+    docs = ranked(docs, of)
+    found = repeated_spots(docs.select("doc_id", "text", F.col(of).alias("rank")), batches).select(F.col("doc_id").alias("of"), F.col("spots").alias("found"))
+    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"))
+    joined = rows.join(found.hint("merge"), F.col("row.doc_id") == F.col("of"), "left").select(*(F.col(f"row.`{n}`") for n in docs.columns), F.col("found").alias(spots))
     at = names.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = batch.columns[:-1]
+        columns = batch.columns[:-2]
         some = np.flatnonzero([s is not None for s in batch.column(batch.num_columns - 1).to_pylist()])
         if len(some):
             part = batch.take(pa.array(some))
-            cut = _cut(pa.RecordBatch.from_arrays([pa.array(some), part.column(at), part.column(part.num_columns - 1)], ["doc_id", "text", "spots"]))
+            cut = _cut(pa.RecordBatch.from_arrays([pa.array(some), part.column(at), *part.columns[-2:]], ["doc_id", "text", "rank", "spots"]))
             texts = columns[at].to_pylist()
-            for i, text in zip(some, cut.column(1).to_pylist(), strict=True):
-                texts[i] = text
+            for i, text, n in zip(some, cut.column(1).to_pylist(), cut.column(3).to_pylist(), strict=True):
+                if n:
+                    texts[i] = text
             columns[at] = pa.array(texts, pa.string())
         return pa.RecordBatch.from_arrays(columns, names)
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
     return arrow_map(joined, run, fields)
