@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.spec import GROUPS, HOUR, Catalog, Feature
@@ -24,6 +24,8 @@ from tidemark.plans.spec import GROUPS, HOUR, Catalog, Feature
 DAY = 24 * HOUR
 #: Groups that a large share of all events may fall into, whose buckets are minutes instead of days.
 BROAD, MINUTE = ("global", "category"), HOUR // 60
+#: Inputs of fewer bytes may be one partition and are dealt to all cores before they are expanded.
+SMALL = 64 << 20
 
 #: A running sum: stream, what is added up, of which column, in which span.
 Sum = tuple[str, str, "str | None", "int | None"]
@@ -37,6 +39,11 @@ def events(txns: DataFrame, chargebacks: DataFrame, asked: DataFrame | None = No
     return both if asked is None else both.unionByName(asked.select(*cols, F.lit(None).cast("boolean").alias("is_txn")))
 
 
+def _dealt(ev: DataFrame) -> DataFrame:
+    size = int(str(ev._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return ev.repartition(ev.sparkSession.sparkContext.defaultParallelism) if size < SMALL else ev
+
+
 def _sums(f: Feature) -> list[Sum]:
     """What a feature is made of; squares are two sums, of their high and low 32 bits, that stay in 64 bits."""
     if f.how.way == "variety":
@@ -45,20 +52,22 @@ def _sums(f: Feature) -> list[Sum]:
     return [(f.stream, p, f.column if p != "one" else None, f.span) for power in f.how.sums for p in parts[power]]
 
 
-def _change(what: str, column: str | None) -> Column:
-    x = F.col(column).cast("bigint") if column else F.lit(1).cast("bigint")
-    return {"one": lambda: F.lit(1).cast("bigint"), "value": lambda: x, "high": lambda: F.shiftright(x * x, 32), "low": lambda: (x * x).bitwiseAND(F.lit((1 << 32) - 1))}[what]()
+def _change(what: str, column: str | None) -> str:
+    """What an event adds to a running sum, as SQL."""
+    x = f"CAST({column} AS BIGINT)" if column else "1L"
+    return {"one": "1L", "value": x, "high": f"shiftright({x} * {x}, 32)", "low": f"({x} * {x}) & {(1 << 32) - 1}L"}[what]
 
 
-def _of(stream: str) -> Column:
-    return F.col("is_txn") == (stream == "txn")
+def _of(stream: str) -> str:
+    return "is_txn" if stream == "txn" else "NOT is_txn"
 
 
 class _Layout:
-    """Which group a row of changes is of, and which slot of it holds which running sum."""
+    """Which group a row of changes is of, and which slot of it holds which running sum.  Expressions are SQL: there are many."""
 
-    def __init__(self, catalog: Catalog) -> None:
+    def __init__(self, catalog: Catalog, kinds: dict[str, str]) -> None:
         running = [f for f in catalog.values() if f.how.way != "largest"]
+        self.kinds = kinds
         self.groups = list(dict.fromkeys(f.group for f in running))
         self.features = {g: [f for f in running if f.group == g] for g in self.groups}
         self.sums = {g: list(dict.fromkeys(s for f in fs for s in _sums(f))) for g, fs in self.features.items()}
@@ -66,61 +75,57 @@ class _Layout:
         self.earliest = sorted({f.stream for f in running if f.how.way == "earliest"})
         self.slots = [f"s{i}" for i in range(max(map(len, self.sums.values()), default=0))]
         self.columns = list(dict.fromkeys(k for g in self.groups for k in GROUPS[g]))
+        self.how = {**dict.fromkeys(self.slots, "sum"), **{f"latest_{s}": "max" for s in self.latest}, **{f"earliest_{s}": "min" for s in self.earliest}}
 
-    def row(self, group: str, at: Column, id_: Column, changes: dict[Sum, Column], own: bool, columns: Sequence[Column] | None = None) -> Column:
+    def row(self, group: str, at: str, id_: str, changes: dict[Sum, str], own: bool) -> str:
         """One row of changes; one that stands for the event itself has its time."""
-        none = F.lit(None).cast("bigint")
-        keys = [(F.col(c) if c in GROUPS[group] else F.lit(None)).alias(c) for c in self.columns]
         sums = self.sums[group]
-        slots = [(changes.get(sums[i], none) if i < len(sums) else none).cast("bigint").alias(s) for i, s in enumerate(self.slots)]
-        times = [(F.when(_of(s), F.col("us")) if own else none).alias(f"{kind}_{s}") for kind, of in (("latest", self.latest), ("earliest", self.earliest)) for s in of]
-        return F.struct(F.struct(F.lit(self.groups.index(group)).alias("g"), *keys).alias("key"), at.alias("at"), id_.alias("id"), F.floor(at / (MINUTE if group in BROAD else DAY)).alias("bucket"), *slots, *times)
+        keys = [f"'{c}', {c if c in GROUPS[group] else f'CAST(NULL AS {self.kinds[c]})'}" for c in self.columns]
+        slots = [f"'{s}', CAST({changes.get(sums[i], 'NULL') if i < len(sums) else 'NULL'} AS BIGINT)" for i, s in enumerate(self.slots)]
+        times = [f"'{kind}_{s}', {f'CASE WHEN {_of(s)} THEN us END' if own else 'CAST(NULL AS BIGINT)'}" for kind, of in (("latest", self.latest), ("earliest", self.earliest)) for s in of]
+        key = f"named_struct({', '.join([f"'g', {self.groups.index(group)}", *keys])})"
+        width = MINUTE if group in BROAD else DAY
+        return f"named_struct({', '.join([f"'key', {key}, 'at', {at}, 'id', {id_}, 'bucket', ({at}) div {width}", *slots, *times])})"
 
 
-def _kinds(ev: DataFrame, layout: _Layout, none: Column) -> DataFrame | None:
+def _kinds(ev: DataFrame, layout: _Layout, none: str) -> DataFrame | None:
     """Changes of the number of distinct values."""
     wanted = [(g, s) for g in layout.groups for s in layout.sums[g] if s[1] == "kinds"]
     if not wanted:
         return None
-    every = [F.struct(F.lit(i).alias("w"), F.col(s[2]).cast("string").alias("v"), *(F.col(c).alias(c) for c in layout.columns)) for i, (_, s) in enumerate(wanted)]
-    rows = ev.where("is_txn").select("us", "is_txn", F.inline(F.array(*every))).where("v is not null")
     # Columns that aren't keys of the group don't tell values apart.
-    keys = [F.when(F.col("w").isin([i for i, (g, _) in enumerate(wanted) if c in GROUPS[g]]), F.col(c)) for c in layout.columns]
-    over = Window.partitionBy("w", "v", *keys).orderBy("us")
-    rows = rows.withColumns({"since": F.col("us") - F.lag("us").over(over), "until": F.lead("us").over(over) - F.col("us")})
+    every = [f"named_struct('w', {i}, 'v', CAST({s[2]} AS STRING), {', '.join(f"'{c}', {c if c in GROUPS[g] else f'CAST(NULL AS {layout.kinds[c]})'}" for c in layout.columns) or "'none', 0"})" for i, (g, s) in enumerate(wanted)]
+    rows = ev.where("is_txn").selectExpr("us", "is_txn", f"inline(array({', '.join(every)}))").where("v IS NOT NULL")
+    over = f"OVER (PARTITION BY {', '.join(['w', 'v', *layout.columns])} ORDER BY us)"
+    rows = rows.selectExpr("*", f"us - lag(us) {over} AS since", f"lead(us) {over} - us AS until")
     changes = []
     for i, (g, s) in enumerate(wanted):
-        enters, leaves = (F.when((F.col("w") == i) & F.coalesce(F.col(c) > s[3], F.lit(True)), F.lit(n)) for c, n in (("since", 1), ("until", -1)))
-        changes += [F.when(enters.isNotNull(), layout.row(g, F.col("us"), none, {s: enters}, False)), F.when(leaves.isNotNull(), layout.row(g, F.col("us") + s[3], none, {s: leaves}, False))]
-    return rows.select(F.inline(F.array_compact(F.array(*changes))))
+        changes.append(f"CASE WHEN w = {i} AND coalesce(since > {s[3]}, true) THEN {layout.row(g, 'us', none, {s: '1'}, False)} END")
+        changes.append(f"CASE WHEN w = {i} AND coalesce(until > {s[3]}, true) THEN {layout.row(g, f'us + {s[3]}', none, {s: '-1'}, False)} END")
+    return rows.selectExpr(f"inline(array({', '.join(changes)}))")
 
 
-def _running(ev: DataFrame, layout: _Layout, id_: Column) -> DataFrame:
+def _running(ev: DataFrame, layout: _Layout, id_: str) -> DataFrame:
     """For each event that is looked at and each group, the running sums and times before it."""
-    none = F.lit(None).cast(ev.schema["txn_id"].dataType)
+    none = f"CAST(NULL AS {ev.schema['txn_id'].dataType.simpleString()})"
     rows = []
     for g in layout.groups:
-        own = {s: F.when(_of(s[0]), _change(*s[1:3])) for s in layout.sums[g] if s[1] != "kinds"}
-        rows.append(layout.row(g, F.col("us"), id_, own, True))
+        own = {s: f"CASE WHEN {_of(s[0])} THEN {_change(*s[1:3])} END" for s in layout.sums[g] if s[1] != "kinds"}
+        rows.append(layout.row(g, "us", id_, own, True))
         for span in sorted({s[3] for s in own if s[3]}):
-            gone = {s: -c for s, c in own.items() if s[3] == span}
-            streams = [_of(x) for x in {s[0] for s in gone}]
-            rows.append(F.when(reduce(Column.__or__, streams), layout.row(g, F.col("us") + span, none, gone, False)))
-    changes = ev.select(F.inline(F.array_compact(F.array(*rows))))
+            gone = {s: f"-({c})" for s, c in own.items() if s[3] == span}
+            rows.append(f"CASE WHEN {' OR '.join(sorted({_of(s[0]) for s in gone}))} THEN {layout.row(g, f'us + {span}', none, gone, False)} END")
+    changes = ev.selectExpr(f"inline(array({', '.join(rows)}))")
     if (kinds := _kinds(ev, layout, none)) is not None:
         changes = changes.unionByName(kinds)
-    how = {**dict.fromkeys(layout.slots, F.sum), **{f"latest_{s}": F.max for s in layout.latest}, **{f"earliest_{s}": F.min for s in layout.earliest}}
-    # One exchange serves the totals and the rows: both read all columns of it.
-    changes = changes.repartition("key", "bucket")
-    totals = changes.groupBy("key", "bucket").agg(F.count("id").alias("ids"), F.min("at").alias("least"), *(f(n).alias(n) for n, f in how.items()))
-    over = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.where("ids >= 0 and least is not null").select("key", "bucket", *(f(n).over(over).alias(f"b_{n}") for n, f in how.items()))
-    within = Window.partitionBy("key", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    joined = changes.select("key", "bucket", "at", "id", *(f(n).over(within).alias(f"w_{n}") for n, f in how.items())).where(F.col("id").isNotNull()).join(before, ["key", "bucket"])
-    zero = F.lit(0).cast("bigint")
-    whole = {n: F.coalesce(f"b_{n}", zero) + F.coalesce(f"w_{n}", zero) for n in layout.slots}
-    whole |= {n: F.coalesce(f"w_{n}", f"b_{n}") if n.startswith("latest") else F.coalesce(f"b_{n}", f"w_{n}") for n in how if n not in whole}
-    return joined.select("id", F.col("at").alias("us"), F.col("key.g").alias("g"), *(c.alias(n) for n, c in whole.items()))
+    # One exchange serves the totals and the rows: both read all columns of it.  Rows sort by the hash, which is quick.
+    part = ["hash", "key", "bucket"]
+    changes = changes.where("key IS NOT NULL AND bucket IS NOT NULL").selectExpr("xxhash64(key, bucket) AS hash", "*").repartition("hash")
+    totals = changes.groupBy(*part).agg(F.expr("count(id)").alias("ids"), F.expr("min(at)").alias("least"), *(F.expr(f"{f}({n})").alias(n) for n, f in layout.how.items()))
+    before = totals.where("ids >= 0 AND least IS NOT NULL").selectExpr(*part, *(f"{f}({n}) OVER (PARTITION BY key ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b_{n}" for n, f in layout.how.items()))
+    within = changes.selectExpr(*part, "at", "id", *(f"{f}({n}) OVER (PARTITION BY {', '.join(part)} ORDER BY at RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS w_{n}" for n, f in layout.how.items())).where("id IS NOT NULL")
+    whole = [f"coalesce(b_{n}, 0L) + coalesce(w_{n}, 0L) AS {n}" if n in layout.slots else f"coalesce({'w' if n.startswith('latest') else 'b'}_{n}, {'b' if n.startswith('latest') else 'w'}_{n}) AS {n}" for n in layout.how]
+    return within.join(before, part).selectExpr("id", "at AS us", "key.g AS g", *whole)
 
 
 def _finish(f: Feature, layout: _Layout) -> Column:
@@ -134,22 +139,21 @@ def _finish(f: Feature, layout: _Layout) -> Column:
     return f.how.column(*(got[("one", "value", "square")[p]] for p in f.how.sums))
 
 
-def _largest(ev: DataFrame, features: Sequence[Feature], id_: Column) -> DataFrame:
+def _largest(ev: DataFrame, features: Sequence[Feature], id_: str, kinds: dict[str, str]) -> DataFrame:
     """For each event that is looked at and each maximum, that of either half of its span."""
-    none = F.lit(None).cast(ev.schema["txn_id"].dataType)
     columns = list(dict.fromkeys(k for f in features for k in f.keys))
     rows = []
     for i, f in enumerate(features):
-        key = F.struct(F.lit(i).alias("f"), *((F.col(c) if c in f.keys else F.lit(None)).alias(c) for c in columns)).alias("key")
-        chunk = F.floor(F.col("us") / f.span)
-        row = lambda k, at, id_, back, v, key=key: F.struct(key, k.alias("chunk"), at.alias("at"), id_.alias("id"), F.lit(back).alias("back"), v.alias("v"), F.col("us").alias("us"))
-        rows += [row(chunk, F.col("us"), id_, False, F.when(F.col("is_txn"), F.col(f.column))), F.when(id_.isNotNull(), row(chunk - 1, F.col("us") - f.span, id_, True, F.lit(None).cast("bigint")))]
-    rows = ev.where("coalesce(is_txn, true)").select(F.inline(F.array_compact(F.array(*rows))))
-    part = Window.partitionBy("key", "chunk")
-    forth = F.max("v").over(part.orderBy("at").rangeBetween(Window.unboundedPreceding, -1))
-    back = F.max("v").over(part.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0))
-    got = rows.select("key.f", "id", "us", F.when(F.col("back"), back).otherwise(forth).alias("v")).where(F.col("id").isNotNull())
-    return got.select("id", "us", *(F.when(F.col("f") == i, F.col("v") / F.lit(100.0)).alias(f.name) for i, f in enumerate(features)))
+        keys = [f"'{c}', {c if c in f.keys else f'CAST(NULL AS {kinds[c]})'}" for c in columns]
+        key = f"named_struct({', '.join([f"'f', {i}", *keys])})"
+        chunk = f"CAST(floor(us / {f.span}) AS BIGINT)"
+        rows.append(f"named_struct('key', {key}, 'chunk', {chunk}, 'at', us, 'id', {id_}, 'back', false, 'v', CASE WHEN is_txn THEN CAST({f.column} AS BIGINT) END, 'us', us)")
+        rows.append(f"CASE WHEN {id_} IS NOT NULL THEN named_struct('key', {key}, 'chunk', {chunk} - 1, 'at', us - {f.span}, 'id', {id_}, 'back', true, 'v', CAST(NULL AS BIGINT), 'us', us) END")
+    rows = ev.where("coalesce(is_txn, true)").selectExpr(f"inline(array({', '.join(rows)}))").where("key IS NOT NULL").selectExpr("xxhash64(key, chunk) AS hash", "*")
+    part = "OVER (PARTITION BY hash, key, chunk ORDER BY at"
+    got = rows.selectExpr("key.f AS f", "id", "us", "back", f"max(v) {part} RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS forth", f"max(v) {part} DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS behind")
+    got = got.where("id IS NOT NULL").selectExpr("id", "us", "f", "CASE WHEN back THEN behind ELSE forth END / 100.0D AS v")
+    return got.selectExpr("id", "us", *(f"CASE WHEN f = {i} THEN v END AS {f.name}" for i, f in enumerate(features)))
 
 
 def peek(catalog: Catalog, txns: DataFrame, chargebacks: DataFrame, asked: DataFrame) -> DataFrame:
@@ -160,12 +164,13 @@ def peek(catalog: Catalog, txns: DataFrame, chargebacks: DataFrame, asked: DataF
 def compute(catalog: Catalog, txns: DataFrame, chargebacks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """txn_id, us and all features of the catalog, one row for each txn_id, or for each that is asked about."""
     ev = events(txns, chargebacks, asked)
-    id_ = F.when(F.col("is_txn").isNull() if asked is not None else F.col("is_txn"), F.col("txn_id"))
-    layout, parts = _Layout(catalog), []
+    id_ = f"CASE WHEN {'is_txn IS NULL' if asked is not None else 'is_txn'} THEN txn_id END"
+    kinds = {f.name: f.dataType.simpleString() for f in ev.schema}
+    ev, layout, parts = _dealt(ev), _Layout(catalog, kinds), []
     if layout.groups:
         got = _running(ev, layout, id_)
         parts.append(got.select("id", "us", *(F.when(F.col("g") == i, _finish(f, layout)).alias(f.name) for i, g in enumerate(layout.groups) for f in layout.features[g])))
     if largest := [f for f in catalog.values() if f.how.way == "largest"]:
-        parts.append(_largest(ev, largest, id_))
+        parts.append(_largest(ev, largest, id_, kinds))
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return every.groupBy(F.col("id").alias("txn_id")).agg(F.max("us").alias("us"), *(F.max(n).alias(n) for n in catalog)).select("txn_id", "us", *catalog)
+    return every.groupBy(F.col("id").alias("txn_id")).agg(F.max("us").alias("us"), *(F.expr(f"max({n})").alias(n) for n in catalog)).select("txn_id", "us", *catalog)
