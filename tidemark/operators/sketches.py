@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -104,3 +105,28 @@ def most_recent(df: DataFrame, group: str, item: str, capacity: int) -> DataFram
     last = df.groupBy(group, item).agg(F.max(F.struct("us", "txn_id")).alias("last"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("last")))
     return last.withColumn("recency", rank).where(F.col("recency") <= capacity).select(group, item, F.col("last.us").alias("last_us"), "recency")
+
+
+def lru_hits(df: DataFrame, group: str, item: str, capacity: int) -> DataFrame:
+    """txn_id and whether a store that holds the ``capacity`` latest items of each group has the row's item when it comes.
+
+    What is evicted is forgotten, so answers change once a group has more items.  A group passes one task in order of
+    time; only its latest items are held.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = object(), {}
+        for pdf in batches:
+            hits = []
+            for of, what in zip(pdf[group].tolist(), pdf[item].tolist(), strict=True):
+                if of != now:
+                    now, held = of, {}
+                hits.append(what in held)
+                held.pop(what, None)
+                held[what] = None  # the latest stands last
+                if len(held) > capacity:
+                    del held[next(iter(held))]
+            yield pd.DataFrame({"txn_id": pdf["txn_id"], "hit": hits})
+
+    rows = df.select("txn_id", "us", group, item).repartition(group).sortWithinPartitions(group, "us", "txn_id")
+    return rows.mapInPandas(run, f"txn_id {df.schema['txn_id'].dataType.simpleString()}, hit boolean")

@@ -806,6 +806,11 @@ def lru_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.most_recent(_txns(spark, sf_dir)[0], "card_id", "merchant_id", 5)
 
 
+@query("lru_hits", sql("SELECT txn_id, coalesce(before IS NOT NULL AND (SELECT count(DISTINCT e.merchant_id) FROM e WHERE e.card_id = p.card_id AND e.n > p.before AND e.n < p.n) < 5, false) AS hit FROM p", "txn", more="e AS (SELECT txn_id, card_id, merchant_id, row_number() OVER (PARTITION BY card_id ORDER BY us, txn_id) AS n FROM txn), p AS (SELECT *, lag(n) OVER (PARTITION BY card_id, merchant_id ORDER BY n) AS before FROM e)"))
+def lru_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.lru_hits(_txns(spark, sf_dir)[0], "card_id", "merchant_id", 5).select("txn_id", "hit")
+
+
 @query("count_min")
 def count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.count_min_estimates(_txns(spark, sf_dir)[0], "card_id", 1e-3, 0.01)
@@ -919,10 +924,10 @@ def materialized_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("prediction_log", sql("SELECT txn_id, txn_id % 2 AS model_version FROM txn", "txn"))
 def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, rows = shared_path(spark, "log"), _txns(spark, sf_dir)[0].select("txn_id", (F.col("txn_id") % 2).alias("model_version"))
-    storage.append_new(rows.where("txn_id % 3 = 0"), path, ["txn_id", "model_version"])
-    storage.append_new(rows, path, ["txn_id", "model_version"])
-    return spark.read.parquet(path)
+    path, rows = shared_path(spark, "log"), _txns(spark, sf_dir)[0].select("txn_id", (F.col("txn_id") % 2).alias("model_version"), F.floor(F.col("us") / DAY).alias("day"))
+    storage.append_new(rows.where("txn_id % 3 = 0"), path, ["txn_id", "model_version"], "day")
+    storage.append_new(rows, path, ["txn_id", "model_version"], "day")
+    return spark.read.parquet(path).select("txn_id", "model_version")
 
 
 @query("csv_scan", sql("SELECT txn_id, cents FROM txn", "txn"))

@@ -51,13 +51,15 @@ def materialize(features: DataFrame, base: str, spec: Catalog) -> str:
     return path
 
 
-def append_new(df: DataFrame, path: str, key: Sequence[str]) -> None:
-    """Appends rows whose key isn't there yet."""
+def append_new(df: DataFrame, path: str, key: Sequence[str], day: str) -> None:
+    """Appends rows whose key isn't there yet on their ``day``; only the days that ``df`` has are read again."""
     spark = df.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        df = df.join(spark.read.parquet(path).select(*key), list(key), "left_anti")
-    df.dropDuplicates(list(key)).write.mode("append").parquet(path)
+        days = [r[0] for r in df.select(day).distinct().collect()]
+        there = spark.read.parquet(path).where(F.col(day).isin(days)).select(day, *key)
+        df = df.join(there, [day, *key], "left_anti")
+    df.dropDuplicates([day, *key]).write.partitionBy(day).mode("append").parquet(path)
 
 
 def without_version(predictions: DataFrame, version: str) -> DataFrame:
