@@ -44,9 +44,9 @@ def rules(amount: str, night: str) -> Fit:
     return lambda _: lambda rows: rows.withColumn("p", N.rules(F.col(amount), F.col(night)))
 
 
-def leaf_ftrl(train: DataFrame, rows: DataFrame, columns: list[str], order: Sequence[str], rounds: int = 4, depth: int = 3) -> DataFrame:
-    """txn_id and p of an online model over the leaves of trees that were fitted once and stay as they are."""
-    model = N.fit_trees(train, columns, rounds=rounds, depth=depth)
+def leaf_ftrl(train: DataFrame, rows: DataFrame, columns: list[str], order: Sequence[str], rounds: int = 4, depth: int = 3, model: N.Trees | None = None) -> DataFrame:
+    """txn_id and p of an online model over the leaves of trees that were fitted once, on ``train`` if not before, and stay as they are."""
+    model = model or N.fit_trees(train, columns, rounds=rounds, depth=depth)
     width = 2**depth
     own = [f"leaf_{t}_{i}" for t in range(len(model.trees)) for i in range(width)]
     leaves = model.binned(rows).withColumn("leaves", model.leaves())
@@ -69,14 +69,17 @@ def search(frame: DataFrame, columns: list[str], grid: dict[str, Sequence], fold
 
 
 def backtest(frame: DataFrame, columns: list[str], periods: Sequence[tuple[int, int]], maturity: int, sliding: int, **how: object) -> DataFrame:
-    """period, policy, average_precision and retrained: static, expanding, sliding and drift-triggered training, period by period.
+    """period, policy, average_precision and retrained: static, expanding, sliding, drift-triggered and online training, period by period.
 
-    frame has us, y, reported_us and the columns.  A model of a period knows only labels reported by its start.
+    frame has us, y, reported_us and the columns.  A model of a period knows only labels reported by its start.  The
+    online one learns weights of the leaves of the first trees, which stay as they are, in order of time.
     """
     fit = trees(columns, **how)
     first = L.matured(frame, periods[0][0], maturity=maturity).withColumn("y", F.col("label"))
     static = fit(first)
     held = {"static": static, "drift": static}
+    frozen = N.fit_trees(first, columns, **how)
+    deep = int(how.get("depth", 4))
     reference = static(first)
     out = []
     for i, (a, b) in enumerate(periods):
@@ -93,6 +96,11 @@ def backtest(frame: DataFrame, columns: list[str], periods: Sequence[tuple[int,
         for policy in ("static", "expanding", "sliding", "drift"):
             ap = M.average_precision(held[policy](now)).first()[0]
             out.append((i, policy, ap, retrained[policy]))
+        known = L.matured(frame, a, maturity=maturity).select("txn_id", "us", F.col("label").cast("double").alias("y"), *columns)
+        asked = now.select("txn_id", "us", F.lit(None).cast("double").alias("y"), *columns)
+        online = leaf_ftrl(first, known.unionByName(asked), columns, ["us", "txn_id"], depth=deep, model=frozen)
+        ap = M.average_precision(online.join(now.select("txn_id", "y"), "txn_id")).first()[0]
+        out.append((i, "online leaves", ap, False))
     return frame.sparkSession.createDataFrame(out, "period int, policy string, average_precision double, retrained boolean")
 
 
@@ -127,17 +135,26 @@ def imbalance_study(train: DataFrame, test: DataFrame, columns: list[str], **how
 
 
 def comparison(train: DataFrame, test: DataFrame, models: dict[str, Fit], cluster: str, at: float = 0.01) -> DataFrame:
-    """model, fit_seconds, average_precision, and recall among the best share with its interval."""
-    out = []
-    for name, fit in models.items():
+    """For each model: fit_seconds, ms_per_1k rows scored, average_precision, recall among the best share with its interval,
+    how much that is above the first model's on the same resamples of clusters, and the share of them where it isn't.
+    """
+    out, hits = [], []
+    n = max(1, test.count())
+    for i, (name, fit) in enumerate(models.items()):
         began = time.time()
         score = fit(train)
-        took = time.time() - began
-        rows = D.budget(stored(score(test), "scores"), at)
-        sums = {"hits": F.when((F.col("action") == "review") & (F.col("y") == 1), 1).otherwise(0), "pos": F.col("y")}
-        band = M.cluster_bootstrap(rows, cluster, sums, F.try_divide("hits", "pos"), n_boot=50).first()
-        out.append((name, took, M.average_precision(rows).first()[0], interval_text(band)))
-    return train.sparkSession.createDataFrame(out, "model string, fit_seconds double, average_precision double, recall string")
+        fitted = time.time()
+        scored = stored(score(test), "scores")
+        done = time.time()
+        rows = stored(D.budget(scored, at).select("p", "y", cluster, ((F.col("action") == "review") & (F.col("y") == 1)).cast("int").alias("hit")), "hits")
+        band = M.cluster_bootstrap(rows, cluster, {"hits": F.col("hit"), "pos": F.col("y")}, F.try_divide("hits", "pos"), n_boot=50).first()
+        hits.append(rows.select(cluster, F.lit(i).alias("of"), "hit", "y"))
+        first = F.col("of") == 0
+        sums = {"mine": F.when(F.col("of") == i, F.col("hit")).otherwise(0), "other": F.when(first, F.col("hit")).otherwise(0), "pos": F.when(first, F.col("y")).otherwise(0)}
+        both = hits[0] if i == 0 else hits[0].unionByName(hits[i])
+        gap = M.paired_difference(both, cluster, sums, F.try_divide("other", "pos"), F.try_divide("mine", "pos"), n_boot=50).first()
+        out.append((name, fitted - began, (done - fitted) * 1e6 / n, M.average_precision(rows).first()[0], interval_text(band), interval_text(gap), gap["not_above"]))
+    return train.sparkSession.createDataFrame(out, "model string, fit_seconds double, ms_per_1k double, average_precision double, recall string, above_first string, not_above double")
 
 
 def interval_text(row) -> str:  # noqa: ANN001

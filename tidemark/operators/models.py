@@ -68,7 +68,7 @@ def irls(df: DataFrame, columns: Sequence[str], y: str = "y", weight: str | None
 
 
 def ftrl(df: DataFrame, columns: Sequence[str], order: Sequence[str], key: str = "txn_id", y: str = "y", alpha: float = 0.1, beta: float = 1.0, l1: float = 0.0, l2: float = 0.0) -> DataFrame:
-    """key and p, each predicted before its row is learned from.
+    """key and p, each predicted before its row is learned from; rows without a label are predicted only.
 
     Every prediction depends on all rows before it, so the rows pass one task in order; memory is two numbers for each
     column.
@@ -84,6 +84,8 @@ def ftrl(df: DataFrame, columns: Sequence[str], order: Sequence[str], key: str =
             for i, label in enumerate(pdf[y].to_numpy(float)):
                 w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
                 out[i] = p = 1 / (1 + math.exp(-max(-35.0, min(35.0, float(w @ x[i])))))
+                if math.isnan(label):
+                    continue
                 g = (p - label) * x[i]
                 sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / alpha
                 z += g - sigma * w

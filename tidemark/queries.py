@@ -1063,7 +1063,9 @@ def imbalance_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("model_comparison")
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = {"rules": E.rules("amount", "night"), "logistic": E.logistic(STUDY), "trees": E.trees(STUDY, rounds=3, depth=2)}
+    how = {"rounds": 3, "depth": 2}
+    models = {"rules": E.rules("amount", "night"), "logistic": E.logistic(STUDY), "trees": E.trees(STUDY, **how), "sampled trees": E.trees(STUDY, subsample=0.8, colsample=0.7, **how)}
+    models |= {f"trees without {c}": E.trees([x for x in STUDY if x != c], **how) for c in STUDY[:2]}  # ablation
     return E.comparison(*_parts(spark, sf_dir), models, "card_id")
 
 
