@@ -39,3 +39,10 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_query_without_sql_gives_rows(spark, name):
     df = Q.QUERIES[name](spark, DIR)
     assert df.columns and df.count() > 0
+
+
+def test_what_if_leaves_no_trace_whatever_the_numbers_of_cards(spark, tmp_path):
+    rows = [(i, f"2024-01-{1 + i % 28:02d} 10:00:00", user, float(i), f'{{"k": {i % 9}}}') for i, user in enumerate([1, 10_001, 20_001, -2, 9_998, 1, 10_001] * 9)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double, props string")
+    df.selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id", "'view' AS event_type", "value", "props").write.parquet(str(tmp_path / "events.parquet"))
+    assert Q.QUERIES["what_if_leaves_no_trace"](spark, str(tmp_path)).first()["n"] == 5

@@ -995,7 +995,9 @@ def what_if_leaves_no_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, cb = _txns(spark, sf_dir)
     spec = CARD_RISK.pick(PEEK)
     once = peek(spec, t, cb, _asked(t))
-    again = peek(spec, t, cb, _asked(t).unionByName(_asked(t).withColumn("txn_id", F.col("txn_id") - 10_000)))
+    # Every question twice: whatever the cards' numbers, the last bit keeps the two apart.
+    twice = _asked(t).withColumn("txn_id", F.explode(F.array(F.col("txn_id") * 2, F.col("txn_id") * 2 + 1)))
+    again = peek(spec, t, cb, twice).where("txn_id % 2 = 0").withColumn("txn_id", F.expr("txn_id div 2"))
     return once.intersect(again).agg(F.count("*").alias("n"))
 
 
