@@ -13,6 +13,7 @@ from tidemark.operators import drift as X
 from tidemark.operators import labels as L
 from tidemark.operators import metrics as M
 from tidemark.operators import models as N
+from tidemark.operators import neighbours
 from tidemark.operators import relational as R
 from tidemark.operators import sketches as K
 from tidemark.sources import storage
@@ -134,6 +135,48 @@ def test_undersample_and_smote(scored):
     assert made["amount"].between(pos["amount"].min(), pos["amount"].max()).all() and set(made["p"]) <= set(pos["p"])
 
 
+def test_neighbours_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    grid = rng.integers(0, 6, (150, 3)).astype(float)  # many equally far and equal points
+    z = np.concatenate([grid, rng.normal(3, 1, (150, 3)), rng.normal(0, 1, (60, 3)) ** 5 * 100, np.zeros((40, 3))])
+    keys = rng.permutation(len(z))
+    lost = [(1000, [float("nan"), 0.0, 0.0]), (1001, [None, 0.0, 0.0]), (1002, [float("inf"), 0.0, 0.0])]
+    rows = spark.createDataFrame([(int(i), x) for i, x in zip(keys, z.tolist(), strict=True)] + lost, "__key long, z array<double>").repartition(5)
+    for k, block in ((5, 8), (5, 100_000), (90, 64)):
+        got = {tuple(r["z"]): r["near"] for r in neighbours.near_points(rows, k, block).collect()}
+        assert set(got) == set(map(tuple, z.tolist()))
+        for i, x in zip(keys.tolist(), z, strict=True):
+            far = sum((z[:, c] - x[c]) ** 2 for c in range(3))
+            want = [int(m) for m in keys[np.lexsort((keys, far))] if m != i][:k]
+            assert [m for m in got[tuple(x.tolist())] if m != i][:k] == want
+
+
+def test_smote_finds_near_mates_beside_far_ones(spark):
+    # Pairs 1e-8 apart, 1e-7 from the next pair: in z-scores their squares vanish beside those of the points.
+    pairs = [1000.0 + i * 1e-7 for i in range(30)]
+    x = [p + more for p in pairs for more in (0.0, 1e-8)] + [0.0, 4000.0]
+    df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(x)] + [(100 + i, 0, 0.0) for i in range(400)], "txn_id long, y int, a double")
+    made = [r["a"] for r in L.smote(df, ["a"], set(), 0.9, k=1).collect()]
+    inner = [v for v in made if 999.9 < v < 1000.1]
+    assert len(made) == 298 and len(inner) >= 280
+    assert all(min(abs(v - p) for p in pairs) < 1.1e-8 for v in inner)
+
+
+def test_jobs_of_smote_do_not_grow_with_positives(spark):
+    df = spark.range(1600).selectExpr("id AS txn_id", "CAST(id % 4 = 0 AS INT) AS y", "CAST(pmod(xxhash64(id), 1000) AS DOUBLE) AS a", "CAST(pmod(xxhash64(id, 1), 97) AS DOUBLE) AS b")
+
+    def jobs(block):
+        group = f"smote-{block}"
+        spark.sparkContext.setJobGroup(group, group)
+        assert L.smote(df, ["a", "b"], set(), 1.0, block=block).count() == 800
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    try:
+        assert jobs(8) < jobs(400) + 20
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_delays_do_not_depend_on_order(scored):
     a = {r["txn_id"]: r["reported_us"] for r in L.simulated_delays(scored.orderBy("p")).collect()}
     b = {r["txn_id"]: r["reported_us"] for r in L.simulated_delays(scored.repartition(7)).collect()}

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.neighbours import near_points
 from tidemark.operators.ordered import cumulative
 from tidemark.plans.spec import HOUR
 from tidemark.sources.shared import stored
@@ -70,43 +69,25 @@ def smote(df: DataFrame, columns: list[str], discrete: set[str], ratio: float, k
 
     Every positive is a base equally often, by hash where they don't come out even.  Distances are between z-scores
     with medians for missing values; a missing value of the base stays missing, a discrete column takes the nearer
-    parent's.  Bases are compared with all positives in blocks of ``block``, so that nothing larger is held anywhere.
+    parent's.  Equally near positives rank by key.  Positives are compared in cells of about ``block`` (``neighbours``).
     """
     n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
     new = max(0, int(ratio * n.get(0, 0)) - n.get(1, 0))
     pos = df.where(F.col(label) == 1).select(F.col(key).alias("__key"), *(F.col(c).cast("double").alias(c) for c in columns))
     if not new or n.get(1, 0) < 2:
         return pos.limit(0).drop("__key")
+    # Statistics, ranks and neighbours are readings of the same rows, which may be dear to compute.
+    pos = stored(pos, "positives")
     stats = pos.agg(*(F.struct(F.median(c).alias("m"), F.avg(c).alias("a"), F.stddev_pop(c).alias("s")).alias(c) for c in columns)).first()
-    z = [(F.coalesce(F.col(c), F.lit(stats[c]["m"])) - stats[c]["a"]) / (stats[c]["s"] or 1.0) for c in columns]
+    z = [(F.coalesce(F.col(c), F.lit(stats[c]["m"])) - stats[c]["a"]) / stats[c]["s"] if stats[c]["s"] else F.lit(0.0) for c in columns]
     pos = pos.select("__key", F.array(*columns).alias("raw"), F.array(*z).alias("z"), F.xxhash64("__key", F.lit(seed)).alias("draw"), F.lit(1).alias("one"))
-    ranked = stored(cumulative(pos, "draw", ["one"], strict=True, prefix="before_"), "positives")
+    ranked = stored(cumulative(pos, "draw", ["one"], strict=True, prefix="before_"), "ranked")
     bases = ranked.withColumn("copies", F.lit(new // n[1]) + (F.col("before_one") < new % n[1]).cast("int")).where("copies > 0")
-    parts = []
-    for at in range(0, min(new, n[1]), block):
-        own = bases.where((F.col("before_one") >= at) & (F.col("before_one") < at + block)).select("__key", "z").toPandas()
-        ids, points = own["__key"].to_numpy(), np.stack(own["z"].to_numpy())
-
-        def run(batches, ids=ids, points=points):  # noqa: ANN001, ANN202
-            for pdf in batches:
-                for lo in range(0, len(pdf), 1024):
-                    part = pdf.iloc[lo : lo + 1024]
-                    there = np.stack(part["z"].to_numpy())
-                    far = (points**2).sum(1)[:, None] + (there**2).sum(1)[None, :] - 2 * points @ there.T
-                    far[ids[:, None] == part["__key"].to_numpy()[None, :]] = np.inf
-                    best = np.argsort(far, axis=1, kind="stable")[:, :k]
-                    of, to = np.repeat(np.arange(len(ids)), best.shape[1]), best.ravel()
-                    keep = np.isfinite(far[of, to])
-                    yield pd.DataFrame({"__key": ids[of[keep]], "mate": part["__key"].to_numpy()[to[keep]], "far": far[of[keep], to[keep]]})
-
-        kind = df.schema[key].dataType.simpleString()
-        near = ranked.select("__key", "z").mapInPandas(run, f"__key {kind}, mate {kind}, far double")
-        rank = F.row_number().over(Window.partitionBy("__key").orderBy("far", "mate"))
-        parts.append(stored(near.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("rank", "mate"))).alias("near")), "near"))
-    near = reduce(DataFrame.unionByName, parts)
-    picks = bases.join(near, "__key").select("__key", "raw", "near", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    near = F.slice(F.filter("near", lambda mate: mate != F.col("__key")), 1, k).alias("near")
+    picks = bases.join(near_points(ranked, k, block), "z").select("__key", "raw", near, "copies")
+    picks = picks.select("__key", "raw", "near", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
     chance = lambda of: F.pmod(F.xxhash64("__key", "copy", F.lit(seed), F.lit(of)), F.lit(1 << 52)) / float(1 << 52)
-    picks = picks.select("raw", F.get("near", F.floor(chance("mate") * F.size("near")).cast("int"))["mate"].alias("mate"), chance("gap").alias("gap"))
+    picks = picks.select("raw", F.get("near", F.floor(chance("mate") * F.size("near")).cast("int")).alias("mate"), chance("gap").alias("gap"))
     both = picks.join(ranked.select(F.col("__key").alias("mate"), F.col("raw").alias("other")), "mate")
     out = []
     for i, c in enumerate(columns):
