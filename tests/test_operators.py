@@ -177,6 +177,29 @@ def test_jobs_of_smote_do_not_grow_with_positives(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_calibration_bins_put_few_rows_in_order(spark):
+    n = 20_000
+    df = spark.range(0, n, 1, 4).selectExpr("pmod(id * 7919, 20011) AS txn_id", "CAST(id % 3 = 0 AS INT) AS y", "(id % 4) / 4.0D AS p")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        gateway = spark.sparkContext._gateway
+        stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    got = {r["bin"]: r for r in M.calibration_bins(df).collect()}
+    assert shuffled() - before < n / 2
+    rows = sorted((r["p"], r["txn_id"], r["y"]) for r in df.collect())
+    for b, part in enumerate(np.array_split(np.array(rows), 15)):
+        assert got[b]["n"] == len(part) and got[b]["mean_p"] == pytest.approx(part[:, 0].mean()) and got[b]["rate"] == pytest.approx(part[:, 2].mean())
+    few = {r["bin"]: (r["n"], r["mean_p"], r["rate"]) for r in M.calibration_bins(df.where("txn_id < 7").withColumn("p", F.lit(0.5)), 5).collect()}
+    ys = [r["y"] for r in df.where("txn_id < 7").orderBy("txn_id").collect()]
+    assert few == {b: (len(part), 0.5, part.mean()) for b, part in enumerate(np.array_split(np.array(ys), 5))}
+    assert M.calibration_bins(df.limit(0)).count() == 0
+
+
 def test_delays_do_not_depend_on_order(scored):
     a = {r["txn_id"]: r["reported_us"] for r in L.simulated_delays(scored.orderBy("p")).collect()}
     b = {r["txn_id"]: r["reported_us"] for r in L.simulated_delays(scored.repartition(7)).collect()}

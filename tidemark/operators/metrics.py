@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import cumulative, ranged
+from tidemark.sources.shared import stored
 
 
 def levels(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -76,19 +77,33 @@ def log_loss(df: DataFrame, floor: float = 1e-15) -> DataFrame:
 def calibration_bins(df: DataFrame, bins: int = 15, key: str = "txn_id") -> DataFrame:
     """bin, n, mean_p and rate of bins of equal mass, larger ones first; equal scores in the order of the key.
 
-    A row's place is the number of rows before its score and range of keys, and its place within them.
+    Scores whose rows are all in one bin are added up as they are.  The others, fewer than the bins, are split by ranges
+    of keys; only the ranges that two bins share, fewer than the bins again, are put in order row by row.
     """
-    rows = ranged(df, key, "keys")
-    cells = rows.groupBy("p", "keys").agg(F.count("*").alias("n"))
-    scores = cumulative(cells.groupBy("p").agg(F.sum("n").alias("n")), "p", ["n"], strict=True).select("p", F.col("c_n").alias("lower"))
-    over = Window.partitionBy("p").orderBy("keys").rowsBetween(Window.unboundedPreceding, -1)
-    before = cells.withColumn("ahead", F.coalesce(F.sum("n").over(over), F.lit(0))).join(scores, "p").select("p", "keys", (F.col("ahead") + F.col("lower")).alias("before"))
+    sums = [F.count("*").alias("n"), F.count("y").alias("known"), F.sum(F.col("y").cast("double")).alias("pos")]
     total = df.agg(F.count("*").alias("total"))
+
+    def binned(at: Column) -> Column:
+        small, extra = F.floor(F.col("total") / bins), F.col("total") % bins
+        return F.when(at < extra * (small + 1), F.floor(at / (small + 1))).otherwise(extra + F.floor((at - extra * (small + 1)) / F.greatest(small, F.lit(1)))).cast("int")
+
+    def shared(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Cells by place in one bin each, and those that reach over several."""
+        cells = cells.join(F.broadcast(total)).withColumns({"bin": binned(F.col("before")), "last": binned(F.col("before") + F.col("n") - 1)})
+        return cells.where("bin = last").select("bin", "p", "n", "known", "pos"), cells.where("bin < last")
+
+    scores = cumulative(df.groupBy("p").agg(*sums), "p", ["n"], strict=True).withColumnRenamed("c_n", "before")
+    whole, several = shared(stored(scores.where("p IS NOT NULL"), "scores"))
+    rows = df.select("p", "y", key).join(F.broadcast(several.select("p", F.col("before").alias("lower"))), "p")
+    rows = stored(ranged(rows, key, "keys"), "ranged")
+    over = Window.partitionBy("p").orderBy("keys").rowsBetween(Window.unboundedPreceding, -1)
+    cells = stored(rows.groupBy("p", "lower", "keys").agg(*sums).withColumn("before", F.col("lower") + F.coalesce(F.sum("n").over(over), F.lit(0))), "cells")
+    most, split = shared(cells)
     place = F.row_number().over(Window.partitionBy("p", "keys").orderBy(key)) - 1
-    rows = rows.withColumn("own", place).join(before, ["p", "keys"]).join(F.broadcast(total)).withColumn("at", F.col("own") + F.col("before"))
-    small, extra = F.floor(F.col("total") / bins), F.col("total") % bins
-    bin_ = F.when(F.col("at") < extra * (small + 1), F.floor(F.col("at") / (small + 1))).otherwise(extra + F.floor((F.col("at") - extra * (small + 1)) / F.greatest(small, F.lit(1))))
-    return rows.groupBy(bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg(F.col("y").cast("double")).alias("rate"))
+    single = rows.join(F.broadcast(split.select("p", "keys", "before", "total")), ["p", "keys"]).withColumn("bin", binned(F.col("before") + place))
+    rest = single.groupBy("bin", "p").agg(*sums)
+    out = whole.unionByName(most).unionByName(rest).groupBy("bin")
+    return out.agg(F.sum("n").alias("n"), (F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("mean_p"), F.try_divide(F.sum("pos"), F.sum("known")).alias("rate"))
 
 
 def ece(df: DataFrame, bins: int = 15) -> DataFrame:

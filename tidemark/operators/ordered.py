@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.shared import stored
 
-PARTS = 256
+PARTS, STEP = 256, 16
 
 
 def ranged(df: DataFrame, by: str, name: str, parts: int = PARTS) -> DataFrame:
     """``df`` with the number of the range that ``by`` falls into."""
     edges = df.agg(F.percentile_approx(F.col(by).cast("double"), [i / parts for i in range(1, parts)], 20 * parts).alias("__edges"))
-    where = F.size(F.filter("__edges", lambda e: e < F.col(by)))
-    return df.join(F.broadcast(edges)).withColumn(name, where).drop("__edges")
+    # Every STEP-th edge first, then those up to the next one: a row is compared with few of them.
+    count = lambda edges: F.size(F.filter(edges, lambda e: e < F.col(by)))
+    coarse = F.expr(f"filter(__edges, (e, i) -> i % {STEP} = {STEP - 1})")
+    where = (count("__coarse") * STEP).alias("__from")
+    rows = df.join(F.broadcast(edges.withColumn("__coarse", coarse))).select("*", where)
+    return rows.withColumn(name, F.col("__from") + count(F.slice("__edges", F.col("__from") + 1, STEP - 1))).drop("__edges", "__coarse", "__from")
 
 
 def cumulative(df: DataFrame, by: str, sums: Sequence[str], descending: bool = False, strict: bool = False, prefix: str = "c_") -> DataFrame:
