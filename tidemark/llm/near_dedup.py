@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.components import components
 from tidemark.llm.shared import written
 from tidemark.llm.substring_dedup import Hashes
-from tidemark.llm.textutil import arrow_map, mix64, split_words, word_hashes
+from tidemark.llm.textutil import arrow_map, mix64, releasing, split_words, word_hashes
 
 SHINGLE, VALUES = 5, 64
 LINK = 75  # per cent
@@ -228,7 +228,7 @@ def _candidates(classes: DataFrame, trees: int = TREES, branches: int = BRANCHES
             if over.limit(1).count():
                 large = rows.join(over, "path")
                 rows = rows.join(over, "path", "left_anti")
-        found = written(rows.repartition(F.col("path")).sortWithinPartitions("path").mapInArrow(_compare, FOUND), "nodes")
+        found = written(rows.repartition(F.col("path")).sortWithinPartitions("path").mapInArrow(releasing(_compare), FOUND), "nodes")
         new = found.where("a is not null").select("a", "b")
         pairs = new if pairs is None else pairs.unionByName(new)
         more = found.where("path is not null").select("path", "rep", "n", "sketch")
@@ -330,7 +330,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sides = pairs.select(F.col("a").alias("doc_id"), "a", "b").unionByName(pairs.select(F.col("b").alias("doc_id"), "a", "b"))
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(sides.hint("merge"), "doc_id").select("a", "b", "doc_id", "text")
-    return texts.repartition("a", "b").sortWithinPartitions("a", "b", "doc_id").select("a", "b", "doc_id", "text").mapInArrow(_confirm, "a long, b long, linked boolean")
+    return texts.repartition("a", "b").sortWithinPartitions("a", "b", "doc_id").select("a", "b", "doc_id", "text").mapInArrow(releasing(_confirm), "a long, b long, linked boolean")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -352,7 +352,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         texts = docs.join(named.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id").select("doc_id", "text").distinct()
         full = arrow_map(texts, _full_sets, "rep long, shingles binary", rows=128)
         rows = named.join(full, "rep").select("path", "rep", "n", "sketch", "label", "shingles")
-        more = written(rows.repartition(F.col("path")).sortWithinPartitions("path").mapInArrow(_exhaustive, "a long, b long").distinct(), "links")
+        more = written(rows.repartition(F.col("path")).sortWithinPartitions("path").mapInArrow(releasing(_exhaustive), "a long, b long").distinct(), "links")
         if more.limit(1).count():
             label = components(links.unionByName(more))
     copied = written(classes.where("copies > 1").select("one", "two", F.col("n").alias("n_shingles"), "rep"), "copied")

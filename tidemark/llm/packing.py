@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tidemark.llm.substring_dedup import Hashes
-from tidemark.llm.textutil import SLICE_ROWS, crc_of, mix64, small_batches, words_as_bytes
+from tidemark.llm.textutil import FORGET, SLICE_ROWS, crc_of, mix64, release, small_batches, words_as_bytes
 
 #: (document, start in it, ids, tokens of the document)
 Piece = tuple["int | None", int, np.ndarray, int]
@@ -258,6 +258,9 @@ def tokens_of(path: str, remember: int) -> WordTokens:
     return WordTokens(path, remember)
 
 
+FORGET.append(tokens_of.cache_clear)
+
+
 class SumOfSquares:
     """Open windows of one task by fill level; ``place`` and ``drain`` give the windows that are done."""
 
@@ -364,7 +367,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, size: int = 4096, with_ids
                     yield rows(done)
         if done := packer.drain(last=True):
             yield rows(done)
-        pa.default_memory_pool().release_unused()
+        release()
 
     small_batches(docs)
     return docs.select("doc_id", "text").mapInArrow(run, COLUMNS + (", ids array<int>" if with_ids else ""))

@@ -30,11 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Files of these tables have no second file with checksums where the folder is a local one (Parquet's pages have their own):
+#: Hadoop starts a process, a child of the executor, to set the mode of each file and folder that it makes there.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: a lost executor costs no more than what reads it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**PLAIN).parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -12,25 +13,52 @@ from pyspark.sql import DataFrame
 
 #: Rows of one Arrow batch handed to numpy code; bounds memory, never the result.
 SLICE_ROWS = 512
+#: What empties the tables that only one operator's tasks read; called when a worker turns to another operator.
+FORGET: list[Callable[[], None]] = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
 
 
-def small_batches(df: DataFrame, rows: int = 2048) -> None:
-    """Bounds the rows of a batch between Spark and Python for the session: texts are long."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, str(rows))
+def release() -> None:
+    """Gives the system back what is free: the worker lives on, idle ones beside it, and its heap would stay as large as it ever was."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def releasing(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` over all batches of a task, and ``release`` behind the last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        release()
+
+    return run
+
+
+def small_batches(df: DataFrame, rows: int = 2048, size: int = 4 << 20) -> None:
+    """Bounds the rows and bytes of a batch between Spark and Python for the session: texts are long, and both sides hold batches beside Spark's heap."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= size:
+        spark.conf.set(name, str(size))
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
     """Apply ``fn`` to slices of at most ``rows`` rows; the output has the DDL ``schema``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for forget in FORGET:
+            forget()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 out = fn(batch.slice(at, rows))
                 if out is not None and out.num_rows:
                     yield out
-        pa.default_memory_pool().release_unused()  # the worker lives on
+                del out
+            del batch
+        release()
 
     small_batches(df)
     return df.mapInArrow(run, schema)
