@@ -96,6 +96,36 @@ def test_boosting_learns_and_contributions_add_up(scored):
     assert abs(sum(m.importance().values()) - 1) < 1e-9
 
 
+@pytest.mark.parametrize("how", [{}, {"weight": "w"}, {"valid": True, "patience": 1}, {"gradients": N.focal_gradients}])
+def test_boosting_is_the_same_with_the_driver_and_spread(scored, monkeypatch, how):
+    df = scored.withColumns({"amount": F.when(F.col("txn_id") % 7 != 0, F.col("amount")), "w": 1.0 + 2 * F.col("y")})
+    how = how | ({"valid": df.where("txn_id % 3 = 0")} if "valid" in how else {})
+    held = N.fit_trees(df, ["p", "amount"], rounds=3, depth=3, bins=64, **how)
+    monkeypatch.setattr(N, "HELD", 0)
+    spread = N.fit_trees(df, ["p", "amount"], rounds=3, depth=3, bins=64, **how)
+    assert len(held.trees) == len(spread.trees) and all(t.left for t in held.trees)
+    rows = held.binned(df).select(held.margin().alias("a"), held.scores().alias("b"), spread.margin().alias("c")).collect()
+    assert all(r["a"] == r["b"] and abs(r["a"] - r["c"]) < 1e-9 for r in rows)
+
+
+def test_gradients_of_numbers_equal_those_of_columns(spark):
+    rows = [(float(m), float(y)) for m in (-40, -3, -0.5, 0, 0.1, 2, 40) for y in (0, 1)]
+    m, y = np.array(rows).T
+    df = spark.createDataFrame(rows, "m double, y double")
+    for columns, numbers in N.NUMBERS.items():
+        want = np.array([tuple(r) for r in df.select(*columns(F.col("m"), F.col("y"))).collect()])
+        assert np.allclose(np.column_stack(numbers(m, y)), want, rtol=1e-9, atol=1e-15)
+
+
+def test_places_equal_a_plain_count(spark):
+    from tidemark.operators.ordered import place
+
+    for n in (0, 1, 31, 32, 33, 47, 48, 49, 254):
+        edges = [float(i) for i in range(n)]
+        got = spark.range(-2, 2 * n + 4).select((F.col("id") / 2).alias("x")).select("x", place(F.col("x"), edges).alias("n")).collect()
+        assert all(r["n"] == sum(e <= r["x"] for e in edges) for r in got)
+
+
 def test_gradients_are_derivatives(spark):
     df = spark.createDataFrame([(float(m), y) for m in np.linspace(-3, 3, 13) for y in (0, 1)], "m double, y int")
     def loss(kind, m, y):

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import queries as Q
 
@@ -46,3 +47,26 @@ def test_what_if_leaves_no_trace_whatever_the_numbers_of_cards(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double, props string")
     df.selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id", "'view' AS event_type", "value", "props").write.parquet(str(tmp_path / "events.parquet"))
     assert Q.QUERIES["what_if_leaves_no_trace"](spark, str(tmp_path)).first()["n"] == 5
+
+
+def test_imbalance_study_fits_until_trees_stop_helping(spark, monkeypatch):
+    from tidemark.operators import models as N
+
+    fit, begin, turns, got = N.fit_trees, N._Held.begin, [], []
+
+    def counted(self, turn):
+        turns.append(turn)
+        return begin(self, turn)
+
+    def fitted(*a, **b):
+        got.append((b, fit(*a, **b), turns[-1] + 1))
+        return got[-1][1]
+
+    monkeypatch.setattr(N._Held, "begin", counted)
+    monkeypatch.setattr(N, "fit_trees", fitted)
+    monkeypatch.setattr(Q.E.M, "ece", lambda df: df.agg(F.avg("p").alias("ece")))  # not what is tested here, and slow
+    names = [r["strategy"] for r in Q.QUERIES["imbalance_study"](spark, DIR).collect()]
+    assert len(names) == 7 and len(got) == 6
+    for how, model, tried in got:
+        assert (how["rounds"], how["patience"], how["depth"], how["bins"]) == (3000, 100, 6, 255) and how.get("subsample", 1) == how.get("colsample", 1) == 1
+        assert tried in (3000, len(model.trees) + 100)

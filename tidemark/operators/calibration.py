@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import place
+
 
 def isotonic(df: DataFrame, label: str = "y", p: str = "p") -> tuple[np.ndarray, np.ndarray]:
     """Boundaries and values of the isotonic fit; equal scores count together with their weight."""
@@ -22,7 +24,7 @@ def interpolate(x: Column, boundaries: np.ndarray, values: np.ndarray) -> Column
     """Piecewise linear function with constant ends, as an expression."""
     b, v = F.array(*map(F.lit, map(float, boundaries))), F.array(*map(F.lit, map(float, values)))
     n = len(boundaries)
-    i = F.size(F.filter(b, lambda e: e <= x))
+    i = place(x, boundaries)
     lo_b, hi_b, lo_v, hi_v = F.get(b, i - 1), F.get(b, F.least(i, F.lit(n - 1))), F.get(v, i - 1), F.get(v, F.least(i, F.lit(n - 1)))
     inner = F.when(hi_b > lo_b, lo_v + (x - lo_b) / (hi_b - lo_b) * (hi_v - lo_v)).otherwise(lo_v)
     return F.when(i == 0, float(values[0])).when(i >= n, float(values[-1])).otherwise(inner)

@@ -17,7 +17,7 @@ from tidemark.operators import drift as X
 from tidemark.operators import labels as L
 from tidemark.operators import metrics as M
 from tidemark.operators import models as N
-from tidemark.sources.shared import shared_path, stored
+from tidemark.sources.shared import dropped, shared_path, stored
 
 #: Fits on rows of columns and y; gives rows the score p.
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
@@ -26,7 +26,7 @@ Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 def trees(columns: list[str], **how: object) -> Fit:
     def fit(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
         model = N.fit_trees(train, columns, **how)
-        return lambda rows: model.binned(rows).withColumn("p", N.sigmoid(model.margin())).drop("bins")
+        return lambda rows: rows.withColumn("p", N.sigmoid(model.scores()))
 
     return fit
 
@@ -104,11 +104,20 @@ def backtest(frame: DataFrame, columns: list[str], periods: Sequence[tuple[int,
     return frame.sparkSession.createDataFrame(out, "period int, policy string, average_precision double, retrained boolean")
 
 
-def imbalance_study(train: DataFrame, test: DataFrame, columns: list[str], **how: object) -> DataFrame:
-    """strategy, average_precision, log_loss and ece, raw and after isotonic calibration on the training rows."""
-    # Every strategy reads both parts several times, with all cores even where they came from few files.
+#: Trees of the imbalance study: as many as help on the rows to validate on, of 63 splits over all bins at most.
+WHOLE = {"rounds": 3000, "patience": 100, "rate": 0.05, "depth": 6, "bins": 255}
+
+
+def imbalance_study(train: DataFrame, valid: DataFrame, test: DataFrame, columns: list[str], **how: object) -> DataFrame:
+    """strategy, average_precision, log_loss and ece on the test rows, raw and after isotonic calibration.
+
+    Trees are fitted on the training rows (``WHOLE``, unless ``how`` says otherwise); the rows to validate on, as they are,
+    stop and calibrate them.
+    """
+    how = WHOLE | how
+    # Every strategy reads all parts several times, with all cores even where they came from few files.
     tasks = 2 * train.sparkSession.sparkContext.defaultParallelism
-    train, test = (stored(x.select("txn_id", "y", *columns).repartition(tasks, "txn_id"), "part") for x in (train, test))
+    train, valid, test = (stored(x.select("txn_id", "y", *columns).repartition(tasks, "txn_id"), "part") for x in (train, valid, test))
     n = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
     rate = n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0))
     balance = n.get(0, 1) / max(1, n.get(1, 1))
@@ -116,24 +125,28 @@ def imbalance_study(train: DataFrame, test: DataFrame, columns: list[str], **how
     keep = 0.25
     few = L.undersample(train, keep)
     made = L.smote(train, columns, set(), 0.3).withColumn("y", F.lit(1))
-    strategies: dict[str, tuple[DataFrame, dict, Callable[[Column], Column] | None]] = {
-        "none": (train, {}, None),
-        "sqrt weights": (weighed(balance**0.5), {"weight": "w"}, None),
-        "balanced weights": (weighed(balance), {"weight": "w"}, None),
-        "undersample": (few, {}, None),
-        "undersample, shifted": (few, {}, lambda p: C.prior_shift(p, rate / (rate + (1 - rate) * keep), rate)),
-        "smote": (train.select("y", *columns).unionByName(made.select("y", *columns)), {}, None),
-        "focal": (train, {"gradients": N.focal_gradients}, None),
+    strategies: dict[str, tuple[DataFrame, dict]] = {
+        "none": (train, {}),
+        "sqrt weights": (weighed(balance**0.5), {"weight": "w"}),
+        "balanced weights": (weighed(balance), {"weight": "w"}),
+        "undersample": (few, {}),
+        "smote": (stored(train.select("y", *columns).unionByName(made.select("y", *columns)), "made"), {}),
+        "focal": (train, {"gradients": N.focal_gradients}),
     }
     out = []
-    for name, (rows, own, after) in strategies.items():
-        score = trees(columns, **how, **own)(rows)
-        raw, base = (stored(score(x).select("txn_id", "y", "p"), "scores") for x in (test, train))
-        if after:
-            raw, base = raw.withColumn("p", after(F.col("p"))), base.withColumn("p", after(F.col("p")))
-        fixed = raw.withColumn("p", C.interpolate(F.col("p"), *C.isotonic(base)))
+
+    def judged(name: str, raw: DataFrame, base: DataFrame) -> None:
+        fixed = stored(raw.withColumn("p", C.interpolate(F.col("p"), *C.isotonic(base))), "fixed")
         a, b = (M.log_loss(x).join(M.ece(x)).first() for x in (raw, fixed))
         out.append((name, M.average_precision(raw).first()[0], a["log_loss"], a["ece"], b["log_loss"], b["ece"]))
+        dropped(fixed)
+
+    for name, (rows, own) in strategies.items():
+        score = trees(columns, valid=valid, **how, **own)(rows)
+        raw, base = (stored(score(x).select("txn_id", "y", "p"), "scores") for x in (test, valid))
+        judged(name, raw, base)
+        if name == "undersample":  # the same trees
+            judged("undersample, shifted", *(x.withColumn("p", C.prior_shift(F.col("p"), rate / (rate + (1 - rate) * keep), rate)) for x in (raw, base)))
     return train.sparkSession.createDataFrame(out, "strategy string, average_precision double, log_loss double, ece double, log_loss_isotonic double, ece_isotonic double")
 
 

@@ -1,9 +1,9 @@
-"""Models that are fitted by sums over rows: each step is one aggregation, the driver sees sums only."""
+"""Models that are fitted by sums over rows: the driver sees sums only."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,8 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import place
 from tidemark.sources.shared import dropped, stored
 
+#: Distinct rows of bins that the driver holds to fit trees, and that a task remembers to score them; more of them stay
+#: where they are, and each level of a tree is one aggregation.
+HELD = 1_000_000
+
 
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
@@ -142,6 +147,23 @@ def focal_gradients(margin: Column, y: Column, gamma: float = 2.0, alpha: float
     return g, F.greatest(a * q * (1 - q) * inner, F.lit(1e-6))
 
 
+def logloss_numbers(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = 1 / (1 + np.exp(-margin))
+    return p - y, np.maximum(p * (1 - p), 1e-6)
+
+
+def focal_numbers(margin: np.ndarray, y: np.ndarray, gamma: float = 2.0, alpha: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
+    p = 1 / (1 + np.exp(-margin))
+    a, s = np.where(y == 1, alpha, 1 - alpha), np.where(y == 1, 1.0, -1.0)
+    q = np.maximum(np.where(y == 1, p, 1 - p), 1e-12)
+    inner = (1 - q) ** gamma * (gamma * np.log(q) + gamma + 1) - gamma * (1 - q) ** (gamma - 1) * (gamma * q * np.log(q) + q - 1)
+    return a * s * (1 - q) ** gamma * (gamma * q * np.log(q) + q - 1), np.maximum(a * q * (1 - q) * inner, 1e-6)
+
+
+#: The same derivatives of numbers instead of columns.
+NUMBERS: dict[Callable, Callable] = {logloss_gradients: logloss_numbers, focal_gradients: focal_numbers}
+
+
 def rules(amount: Column, night: Column) -> Column:
     """Score without a model: the amount, three times as much by night."""
     return amount * (1 + 2 * night)
@@ -158,6 +180,36 @@ class Node:
     gain: float = 0.0
 
 
+class Flat:
+    """A tree's nodes as arrays, the root first; leaves lead to themselves."""
+
+    def __init__(self, nodes: Sequence[Node]) -> None:
+        at = {id(n): i for i, n in enumerate(nodes)}
+        self.feature = np.array([n.feature for n in nodes])
+        self.edge = np.array([n.edge for n in nodes])
+        self.missing_left = np.array([n.missing_left for n in nodes])
+        self.value = np.array([n.value for n in nodes])
+        self.left, self.right = (np.array([at[id(c or n)] for n, c in zip(nodes, of, strict=True)]) for of in ([n.left for n in nodes], [n.right for n in nodes]))
+
+    @classmethod
+    def of(cls, root: Node) -> Flat:
+        nodes = [root]
+        for n in nodes:
+            nodes += [n.left, n.right] if n.left is not None else []
+        return cls(nodes)
+
+    def step(self, bins: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The nodes that rows reach from those they are at."""
+        b = bins[np.arange(len(at)), self.feature[at]]
+        return np.where(np.where(b == 255, self.missing_left[at], b <= self.edge[at]), self.left[at], self.right[at])
+
+    def values(self, bins: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(bins), "int64")
+        while ((on := self.step(bins, at)) != at).any():
+            at = on
+        return self.value[at]
+
+
 @dataclass
 class Trees:
     """Boosted trees over binned columns: bin i holds values below the i-th edge and not below the one before, the last bin what is missing."""
@@ -169,8 +221,7 @@ class Trees:
 
     def bin(self, i: int) -> Column:
         x = F.col(self.columns[i]).cast("double")
-        e = F.array(*map(F.lit, self.edges[i])) if self.edges[i] else F.array().cast("array<double>")
-        return F.when(x.isNull() | F.isnan(x), 255).otherwise(F.size(F.filter(e, lambda v: v <= x)))
+        return F.when(x.isNull() | F.isnan(x), 255).otherwise(place(x, self.edges[i]))
 
     def _goes_left(self, n: Node) -> Column:
         b = F.get("bins", F.lit(n.feature))
@@ -194,6 +245,30 @@ class Trees:
             out = out + self.value(t)
         return out
 
+    def scores(self) -> Column:
+        """Margin from the columns, the same as ``margin`` for any number of trees: a task takes each distinct row of bins through them once."""
+        edges, trees, base = [np.array(e) for e in self.edges], [Flat.of(t) for t in self.trees], self.base
+
+        def run(parts):  # noqa: ANN001, ANN202
+            known: dict[bytes, float] = {}
+            for pdf in parts:
+                x = pdf.to_numpy(float)
+                bins = np.column_stack([np.where(np.isnan(v), 255, np.searchsorted(e, v, "right")) for v, e in zip(x.T, edges, strict=True)]).astype("uint8")
+                keys = [b.tobytes() for b in bins]
+                if len(known) > HELD:
+                    known.clear()
+                new = {k: i for i, k in enumerate(keys) if k not in known}
+                if new:
+                    cells = bins[list(new.values())]
+                    out = np.full(len(cells), base)
+                    for t in trees:
+                        out += t.values(cells)
+                    known.update(zip(new, out.tolist(), strict=True))
+                yield pd.Series([known[k] for k in keys], dtype="float64")
+
+        run.__annotations__ = {"parts": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
+        return F.pandas_udf(run, "double")(F.struct(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(self.columns))))
+
     def leaves(self) -> Column:
         """Number of the leaf that each tree puts the row in."""
         def numbered(t: Node) -> Column:
@@ -239,16 +314,139 @@ class Trees:
         return dict(sorted(zip(self.columns, share.tolist(), strict=True), key=lambda x: (-x[1], x[0])))
 
 
+class _Spread:
+    """Rows of bins in the shared folder: margins and gradients are stored once a tree, a level is one aggregation."""
+
+    def __init__(self, rows: DataFrame, model: Trees, gradients: Callable, subsample: float) -> None:
+        self.rows, self.model, self.gradients, self.subsample = stored(rows.withColumn("margin", F.lit(model.base)), "boost"), model, gradients, subsample
+
+    def begin(self, turn: int) -> tuple[float, float]:
+        g, h = self.gradients(F.col("margin"), F.col("y"))
+        rows = self.rows
+        if self.subsample < 1:
+            rows = rows.where(F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(1 << 52)) < F.lit(int(self.subsample * (1 << 52))))
+        self.grads = stored(rows.select("bins", (g * F.col("w")).alias("g"), (h * F.col("w")).alias("h")), "gradients")
+        total = self.grads.agg(F.sum("g").alias("g"), F.sum("h").alias("h")).first()
+        return total["g"] or 0.0, total["h"] or 0.0
+
+    def histogram(self, nodes: list[Node], open_: list[Node]) -> np.ndarray:
+        """Sums of gradients by open node, column and bin; partial sums combine before the shuffle."""
+        places = {id(n): i for i, n in enumerate(open_)}
+        where = self.model._fold(nodes[0], lambda n: F.lit(places.get(id(n), -1)))
+        sums = self.grads.withColumn("node", where).where("node >= 0").select("node", "g", "h", F.posexplode("bins").alias("feature", "bin")).groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        table = np.zeros((len(open_), len(self.model.columns), 256, 2))
+        for r in sums.collect():
+            table[r["node"], r["feature"], r["bin"]] = r["g"] or 0.0, r["h"] or 0.0
+        return table
+
+    def end(self, nodes: list[Node]) -> None:
+        dropped(self.grads)
+        self.add(nodes)
+
+    def add(self, nodes: list[Node]) -> None:
+        before, self.rows = self.rows, stored(self.rows.withColumn("margin", F.col("margin") + self.model.value(nodes[0])), "boost")
+        dropped(before)
+
+    def average_precision(self) -> float:
+        from tidemark.operators.metrics import average_precision
+
+        return average_precision(self.rows.select("y", F.col("margin").alias("p"))).first()[0] or 0.0
+
+    def close(self) -> None:
+        dropped(self.rows)
+
+
+class _Held:
+    """Distinct rows of bins and label in the driver's memory, with the weight of all rows that are the same."""
+
+    def __init__(self, cells: DataFrame, model: Trees, gradients: Callable) -> None:
+        k = len(model.columns)
+        got = cells.select(*(F.get("bins", F.lit(i)).alias(f"b{i}") for i in range(k)), "y", "w", "n").toArrow()
+        columns = [c.to_numpy() for c in got.columns]
+        by = np.lexsort(columns[: k + 1])
+        *bins, self.y, self.w, self.n = (c[by] for c in columns)
+        self.bins, self.w = np.column_stack(bins).astype("uint8"), np.nan_to_num(self.w)
+        self.margin, self.gradients = np.full(len(by), model.base), NUMBERS[gradients]
+
+    def begin(self, turn: int) -> tuple[float, float]:
+        with np.errstate(over="ignore"):
+            g, h = self.gradients(self.margin, self.y)
+        # As sums do that leave out what is null.
+        self.g, self.h = np.nan_to_num(g) * self.w, np.nan_to_num(h) * self.w
+        self.at = np.zeros(len(g), "int64")
+        return float(self.g.sum()), float(self.h.sum())
+
+    def histogram(self, nodes: list[Node], open_: list[Node]) -> np.ndarray:
+        if len(nodes) > 1:
+            self.at = Flat(nodes).step(self.bins, self.at)
+        places = {id(n): i for i, n in enumerate(open_)}
+        node = np.array([places.get(id(n), -1) for n in nodes])[self.at]
+        inside = node >= 0
+        node, bins, g, h = node[inside] * 256, self.bins[inside], self.g[inside], self.h[inside]
+        table = np.empty((len(open_), self.bins.shape[1], 256, 2))
+        for f in range(bins.shape[1]):
+            at = node + bins[:, f]
+            for i, v in enumerate((g, h)):
+                table[:, f, :, i] = np.bincount(at, v, len(open_) * 256).reshape(-1, 256)
+        return table
+
+    def end(self, nodes: list[Node]) -> None:
+        self.add(nodes)
+
+    def add(self, nodes: list[Node]) -> None:
+        self.margin = self.margin + Flat(nodes).values(self.bins)
+
+    def average_precision(self) -> float:
+        _, at = np.unique(-self.margin, return_inverse=True)
+        n, pos = np.bincount(at, self.n), np.bincount(at, self.n * np.nan_to_num(self.y))
+        return float((pos * pos.cumsum() / n.cumsum()).sum() / pos.sum()) if pos.sum() else 0.0
+
+    def close(self) -> None:
+        pass
+
+
+def _boosted(rows: DataFrame, model: Trees, gradients: Callable = logloss_gradients, subsample: float = 1.0) -> _Spread | _Held:
+    """Rows of bins, y and w by their cells, as they pass trees together: with the driver if it can hold them."""
+    if subsample < 1:
+        return _Spread(rows, model, gradients, subsample)
+    if gradients in NUMBERS:
+        cells = stored(rows.groupBy("bins", "y").agg(F.sum("w").alias("w"), F.count("*").cast("double").alias("n")), "cells")
+        held = _Held(cells, model, gradients) if cells.count() <= HELD else None
+        dropped(cells)
+        if held:
+            return held
+    return _Spread(rows, model, gradients, subsample)
+
+
+def _splits(table: np.ndarray, g: np.ndarray, h: np.ndarray, edges: list[list[float]], use: set[int], lam: float, least: float) -> list[tuple[float, int, int, bool, float, float] | None]:
+    """For each node the best gain with its column, edge, side of what is missing and sums of the left; the first among equals."""
+    sums, what = [], []
+    for f, e in enumerate(edges):
+        if f not in use or not e:
+            continue
+        cum = table[:, f, : len(e)].cumsum(1)
+        for left in (True, False):
+            sums.append(cum + table[:, f, 255:] if left else cum)
+            what += [(f, k, left) for k in range(len(e))]
+    if not what:
+        return [None] * len(g)
+    gl, hl = np.moveaxis(np.concatenate(sums, 1), 2, 0)
+    gr, hr = g[:, None] - gl, h[:, None] - hl
+    gain = gl**2 / (hl + lam) + gr**2 / (hr + lam) - (g**2 / (h + lam))[:, None]
+    gain[(hl < least) | (hr < least)] = -1
+    best = gain.argmax(1)
+    return [(float(gain[i, b]), *what[b], float(gl[i, b]), float(hl[i, b])) if gain[i, b] > 1e-9 else None for i, b in enumerate(best)]
+
+
 def fit_trees(df: DataFrame, columns: list[str], y: str = "y", rounds: int = 20, depth: int = 4, rate: float = 0.2, lam: float = 1.0, least: float = 1.0, bins: int = 32, gradients=logloss_gradients, weight: str | None = None, valid: DataFrame | None = None, patience: int = 5, subsample: float = 1.0, colsample: float = 1.0, seed: int = 0) -> Trees:  # noqa: ANN001
-    """Histogram boosting: a level of a tree is one aggregation by node, column and bin.
+    """Histogram boosting: a level of a tree is one sum of gradients by node, column and bin.
 
-    A column and bin come from exploding ``bins``; partial sums combine before the shuffle, and what returns to the
-    driver is bounded by nodes, columns and at most 255 ``bins``.  Gradients and margins are stored once a tree.  Each
+    Trees see bins only, so that rows with equal bins and labels have equal gradients: they are added up first, with their
+    weights.  Up to ``HELD`` such cells pass the trees in the driver's memory; more stay in the shared folder (``_Spread``),
+    where what returns to the driver is bounded by nodes, columns and at most 255 ``bins``.  Each
     tree sees a share ``subsample`` of the rows, by hash, and ``colsample`` of the columns.  With rows
     to validate on, trees stop ``patience`` rounds after the best average precision and those after it are dropped.
     """
-    from tidemark.operators.metrics import average_precision
-
     if not 2 <= bins <= 255:
         raise ValueError("bins are numbered in a byte, of which 255 stands for what is missing")
     rng = np.random.default_rng(seed)
@@ -256,61 +454,44 @@ def fit_trees(df: DataFrame, columns: list[str], y: str = "y", rounds: int = 20,
     got = df.agg(*(F.percentile(F.col(c).cast("double"), q).alias(c) for c in columns), F.avg(F.col(y).cast("double")).alias("__rate")).first()
     rate0 = min(max(got["__rate"] or 0.5, 1e-6), 1 - 1e-6)
     model = Trees(columns, [sorted(set(got[c] or [])) for c in columns], math.log(rate0 / (1 - rate0)))
-    rows = stored(model.binned(df).select("bins", F.col(y).cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), F.lit(model.base).alias("margin"), F.rand(seed).alias("u")), "boost")
+
+    def cells(part: DataFrame, w: Column) -> DataFrame:
+        return model.binned(part).select("bins", F.col(y).cast("double").alias("y"), w.cast("double").alias("w"), *([F.rand(seed).alias("u")] if subsample < 1 else []))
+
+    rows = _boosted(cells(df, F.col(weight) if weight else F.lit(1.0)), model, gradients, subsample)
+    judge = None if valid is None else _boosted(cells(valid, F.lit(1.0)), model)
     best_round, best_ap = 0, -1.0
     for turn in range(rounds):
-        g, h = gradients(F.col("margin"), F.col("y"))
-        drawn = F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(1 << 52)) < F.lit(int(subsample * (1 << 52)))
-        grads = stored(rows.where(drawn).select("bins", (g * F.col("w")).alias("g"), (h * F.col("w")).alias("h")), "gradients")
+        g_all, h_all = rows.begin(turn)
         use = set(rng.permutation(len(columns))[: max(1, round(colsample * len(columns)))].tolist())
-        total = grads.agg(F.sum("g").alias("g"), F.sum("h").alias("h")).first()
-        g_all, h_all = total["g"] or 0.0, total["h"] or 0.0
         root = Node(-rate * g_all / (h_all + lam))
-        open_ = [(root, g_all, h_all)]
+        nodes, open_ = [root], [(root, g_all, h_all)]
         for _ in range(depth):
-            place = {id(n): i for i, (n, _, _) in enumerate(open_)}
-            where = model._fold(root, lambda n, place=place: F.lit(place.get(id(n), -1)))
-            hist = grads.withColumn("node", where).where("node >= 0").select("node", "g", "h", F.posexplode("bins").alias("feature", "bin")).groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-            table = np.zeros((len(open_), len(columns), 256, 2))
-            for r in hist:
-                table[r["node"], r["feature"], r["bin"]] = r["g"], r["h"]
+            table = rows.histogram(nodes, [n for n, _, _ in open_])
+            found = _splits(table, np.array([g for _, g, _ in open_]), np.array([h for _, _, h in open_]), model.edges, use, lam, least)
             nxt = []
-            for i, (n, gn, hn) in enumerate(open_):
-                best = (1e-9, None)
-                for f, edges in enumerate(model.edges):
-                    if f not in use:
-                        continue
-                    cum = table[i, f, : len(edges)].cumsum(0)
-                    miss = table[i, f, 255]
-                    for left in (True, False):
-                        gl, hl = (cum + (miss if left else 0)).T
-                        gr, hr = gn - gl, hn - hl
-                        gain = gl**2 / (hl + lam) + gr**2 / (hr + lam) - gn**2 / (hn + lam)
-                        gain[(hl < least) | (hr < least)] = -1
-                        if len(gain) and gain.max() > best[0]:
-                            k = int(gain.argmax())
-                            best = (float(gain[k]), (f, k, left, gl[k], hl[k]))
-                if best[1] is None:
+            for (n, gn, hn), best in zip(open_, found, strict=True):
+                if best is None:
                     continue
-                f, k, left, gl, hl = best[1]
-                n.feature, n.edge, n.missing_left, n.gain = f, k, left, best[0]
+                n.gain, n.feature, n.edge, n.missing_left, gl, hl = best
                 n.left, n.right = Node(-rate * gl / (hl + lam)), Node(-rate * (gn - gl) / (hn - hl + lam))
                 nxt += [(n.left, gl, hl), (n.right, gn - gl, hn - hl)]
+            nodes += [n for n, _, _ in nxt]
             open_ = nxt
             if not open_:
                 break
         model.trees.append(root)
-        dropped(grads)
-        before, rows = rows, stored(rows.withColumn("margin", F.col("margin") + model.value(root)), "boost")
-        dropped(before)
-        if valid is not None:
-            ap = average_precision(model.binned(valid).select(F.col(y).alias("y"), model.margin().alias("p"))).first()[0] or 0.0
+        rows.end(nodes)
+        if judge is not None:
+            judge.add(nodes)
+            ap = judge.average_precision()
             if ap > best_ap:
                 best_round, best_ap = turn, ap
             elif turn - best_round >= patience:
                 break
-    dropped(rows)
-    if valid is not None:
+    rows.close()
+    if judge is not None:
+        judge.close()
         del model.trees[best_round + 1 :]
     return model
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.shared import stored
@@ -16,6 +16,18 @@ from tidemark.sources.shared import stored
 PARTS, STEP = 256, 16
 
 
+def place(x: Column, edges: Sequence[float]) -> Column:
+    """How many of the ascending edges are not above x, which is compared with few of them: every STEP-th, then those between two."""
+    edges = list(map(float, edges))
+    array = lambda of: F.array(*map(F.lit, of)) if of else F.array().cast("array<double>")
+    count = lambda of: F.size(F.filter(of, lambda e: e <= x))
+    if len(edges) <= 2 * STEP:
+        return count(array(edges))
+    coarse = count(array(edges[STEP - 1 :: STEP])) * STEP
+    # The array holds the places from which the count goes on: one, so that it is found once.
+    return F.get(F.transform(F.array(coarse), lambda at: at + count(F.slice(array(edges), at + 1, STEP - 1))), F.lit(0))
+
+
 def ranged(df: DataFrame, by: str, name: str, parts: int = PARTS) -> DataFrame:
     """``df`` with the number of the range that ``by`` falls into."""
     edges = df.agg(F.percentile_approx(F.col(by).cast("double"), [i / parts for i in range(1, parts)], 20 * parts).alias("__edges"))

@@ -1044,6 +1044,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 STUDY = ["level", "amount", "night"]
+VALID = HALF - 5 * DAY
 
 
 @query("hyper_search")
@@ -1060,7 +1061,8 @@ def retraining_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("imbalance_study")
 def imbalance_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.imbalance_study(*_parts(spark, sf_dir), STUDY, rounds=2, depth=2)
+    known, test = _parts(spark, sf_dir)
+    return E.imbalance_study(known.where(F.col("us") < VALID), known.where(F.col("us") >= VALID), test, STUDY)
 
 
 @query("model_comparison")
